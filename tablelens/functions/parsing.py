@@ -20,24 +20,38 @@ _NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|in
 _TIME = r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,9})?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
-# Formats a date column can be written in: (name, guard, rewrite to ISO).  A
-# rewrite of None keeps the text, a string is a regular-expression replacement.
+# Formats a date column can be written in: (name, cheap test, guard, rewrite to
+# ISO).  The cheap test spares most values the regular expression.  A rewrite
+# of None keeps the text, a string is a regular-expression replacement.
 DATE_FORMATS = [
-    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", None),
-    ("datetime", rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} {_TIME}$", None),
-    ("datetime_t", rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}$", None),
-    ("minute", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}$", None),
-    ("year_slash", r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),
-    ("month_slash", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2"),
-    ("month_dash", r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", "$3-$1-$2"),
-    ("digits", r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
-    ("month_only", r"^[0-9]{4}-[0-9]{2}$", None),
-    ("year_only", r"^[0-9]{4}$", None),
-    ("day_dot", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", "$3-$2-$1"),
-    ("day_name", r"^([0-9]{1,2}) ([A-Z][a-z]{2}) ([0-9]{4})$", "$3-$2-$1"),
-    ("name_day", r"^([A-Z][a-z]{2}) ([0-9]{1,2}), ([0-9]{4})$", "$3-$1-$2"),
-    ("short_year", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", "20$3-$1-$2"),
+    ("date", "char_length({t}) = 10 AND substr({t}, 5, 1) = '-'", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", None),
+    ("datetime", "substr({t}, 11, 1) = ' '", rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} {_TIME}$", None),
+    ("datetime_t", "substr({t}, 11, 1) = 'T'", rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}$", None),
+    ("minute", "char_length({t}) = 16", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}$", None),
+    ("year_slash", "substr({t}, 5, 1) = '/'", r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),
+    ("month_slash", "contains({t}, '/')", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2"),
+    ("month_dash", "contains({t}, '-')", r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", "$3-$1-$2"),
+    ("digits", "char_length({t}) = 8", r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
+    ("month_only", "char_length({t}) = 7", r"^[0-9]{4}-[0-9]{2}$", None),
+    ("year_only", "char_length({t}) = 4", r"^[0-9]{4}$", None),
+    ("day_dot", "substr({t}, -5, 1) = '.'", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", "$3-$2-$1"),
+    ("day_name", "substr({t}, -5, 1) = ' '", r"^([0-9]{1,2}) ([A-Z][a-z]{2}) ([0-9]{4})$", "$3-$2-$1"),
+    ("name_day", "substr({t}, -6, 1) = ','", r"^([A-Z][a-z]{2}) ([0-9]{1,2}), ([0-9]{4})$", "$3-$1-$2"),
+    ("short_year", "substr({t}, -3, 1) = '/'", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", "20$3-$1-$2"),
 ]
+# The same for the value shapes: a test every match passes.
+_CHEAP_SHAPE_TESTS = {
+    "YYYY-MM-DD": "substr({t}, 5, 1) = '-'",
+    "ISO_DATETIME": "substr({t}, 11, 1) = 'T'",
+    "MM/DD/YYYY": "substr({t}, 3, 1) = '/'",
+    "DATE_SLASH": "contains({t}, '/')",
+    "THREE_LETTER_CODE": "char_length({t}) <= 4",
+    "TWO_LETTER_CODE": "char_length({t}) <= 3",
+    "UUID": "char_length({t}) BETWEEN 36 AND 37",
+    "EMAIL": "contains({t}, '@')",
+    "PHONE": "char_length({t}) >= 8",
+    "DECIMAL_2DP": "contains({t}, '.')",
+}
 _NAMED_MONTH = {"day_name", "name_day"}
 # The day-first reading of the two formats above that do not tell the order.
 _DAY_FIRST = ("day_first", r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$", "$3-$2-$1")
@@ -82,16 +96,18 @@ def dated_sql(text: str) -> str:
     """Two digits naming the date format, then the ISO form; else null."""
     # no format is longer than an ISO datetime with zone, and all hold digits
     branches = [
-        f"WHEN {text} RLIKE {sql_string(guard)} THEN concat('{i:02d}', {_iso_sql(text, name, guard, rewrite)})"
-        for i, (name, guard, rewrite) in enumerate(DATE_FORMATS)
+        f"WHEN {cheap.format(t=text)} AND {text} RLIKE {sql_string(guard)} "
+        f"THEN concat('{i:02d}', {_iso_sql(text, name, guard, rewrite)})"
+        for i, (name, cheap, guard, rewrite) in enumerate(DATE_FORMATS)
     ]
-    likely = f"{text} RLIKE '[0-9]{{2}}' AND char_length({text}) BETWEEN 4 AND 40"
+    likely = f"char_length({text}) BETWEEN 4 AND 40"
     return f"CASE WHEN {likely} THEN CASE {' '.join(branches)} END END"
 
 
 def _day_first_sql(text: str) -> str:
     _, guard, rewrite = _DAY_FIRST
-    return f"CASE WHEN {text} RLIKE {sql_string(guard)} THEN regexp_replace({text}, {sql_string(guard)}, {sql_string(rewrite)}) END"
+    replaced = f"regexp_replace({text}, {sql_string(guard)}, {sql_string(rewrite)})"
+    return f"CASE WHEN {text} RLIKE {sql_string(guard)} THEN {replaced} END"
 
 
 def _valid_sql(iso: str) -> str:
@@ -112,13 +128,19 @@ def _bit(condition: str, i: int) -> str:
     return f"CASE WHEN {condition} THEN {1 << i}L ELSE 0L END"
 
 
+def shape_sql(text: str, label: str, regex: str) -> str:
+    cheap = _CHEAP_SHAPE_TESTS.get(label)
+    match = f"{text} RLIKE {sql_string(regex)}"
+    return f"{cheap.format(t=text)} AND {match}" if cheap else match
+
+
 def flags_sql(text: str, dated: str) -> str:
     """One bit per shape pattern, per date reading, and for booleans.
 
     ``dated`` names a column holding ``dated_sql`` of the same text.
     """
     iso = f"substr({dated}, 3)"
-    bits = [_bit(f"{text} RLIKE {sql_string(regex)}", i) for i, (_, regex) in enumerate(SHAPE_PATTERNS)]
+    bits = [_bit(shape_sql(text, label, regex), i) for i, (label, regex) in enumerate(SHAPE_PATTERNS)]
     bits.append(
         f"CASE WHEN {_valid_sql(iso)} THEN shiftleft(1L, {_DATE_BIT} + int(substr({dated}, 1, 2))) ELSE 0L END")
     bits.append(_bit(f"substr({dated}, 1, 2) IN ('05', '06') AND {_valid_sql(_day_first_sql(text))}", _BOOL_BIT - 1))
@@ -128,7 +150,7 @@ def flags_sql(text: str, dated: str) -> str:
 
 def long_flags_sql(text: str) -> str:
     """``flags_sql`` of a text too long for the bounded shapes."""
-    bits = [_bit(f"{text} RLIKE {sql_string(regex)}", i)
+    bits = [_bit(shape_sql(text, label, regex), i)
             for i, (label, regex) in enumerate(SHAPE_PATTERNS) if label in _UNBOUNDED]
     bits.append(_bit(boolean_sql(text), _BOOL_BIT))
     return " + ".join(bits)

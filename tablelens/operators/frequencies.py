@@ -1,13 +1,13 @@
 """The value-frequency table every column statistic is computed from.
 
-``column_frequencies`` turns a table into ``(pos, val, big, cnt)``: one row per
-column and distinct value.  It is the only step that shuffles data in
-proportion to the input, and it combines map-side first, so a value holding a
-third of all rows arrives as one partial count per task.
+``column_frequencies`` turns a table into one row per column and distinct
+value.  It is the only step that shuffles data in proportion to the input, and
+it combines map-side first, so a value holding a third of all rows arrives as
+one partial count per task.
 
 Values longer than ``INLINE_CHARS`` would drag whole documents through that
-shuffle.  They are read where they are scanned and travel as ``big``: their
-SHA-256 digest next to the readings taken from the whole text.
+shuffle.  They are read where they are scanned and travel as a SHA-256 digest
+next to the readings taken from the whole text.
 """
 
 from __future__ import annotations
@@ -29,30 +29,44 @@ def column_names(df: DataFrame, dataset: str = "dataset") -> DataFrame:
 
 
 def long_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(pos, text)``: one row per cell, nulls kept."""
+    """``(pos, text)``: one row per cell, nulls kept.
+
+    ``pos`` cannot be null and says so: no join on it then plants a null filter
+    below the aggregation that the branches of a profile share.
+    """
     columns = columns or df.columns
     position = {name: i for i, name in enumerate(df.columns)}
     wide = df.selectExpr(*[f"{as_text_sql(df, name)} AS `{position[name]}`" for name in columns])
-    return wide.unpivot([], wide.columns, "column", "text").selectExpr("int(column) AS pos", "text")
+    return wide.unpivot([], wide.columns, "column", "text").selectExpr("coalesce(int(column), -1) AS pos", "text")
 
 
 _LONG = f"char_length(text) > {INLINE_CHARS}"
-_BIG = (
-    f"CASE WHEN {_LONG} THEN named_struct('digest', sha2(text, 256), 'num', {number_sql('text')}, "
-    f"'flags', {long_flags_sql('text')}, 'length', char_length(text)) END"
-)
-_NO_BIG = "CAST(NULL AS struct<digest: string, num: double, flags: bigint, length: int>)"
+# what travels for a long value: its digest and the readings of the whole text
+_LONG_PARTS = {
+    "digest": ("sha2(text, 256)", "string"),
+    "long_num": (number_sql("text"), "double"),
+    "long_flags": (long_flags_sql("text"), "bigint"),
+    "long_length": ("char_length(text)", "int"),
+}
 
 
 def column_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(pos, val, big, cnt)`` for the given columns (all by default)."""
+    """One row per column and distinct value, with its count ``cnt``.
+
+    ``val`` is the value; a long one has ``val`` null and ``digest`` set, a
+    missing one has both null.
+    """
     cells = long_form(df, columns)
-    can_be_long = any(has_long_text(df, name) for name in columns or df.columns)
-    val, big = (f"CASE WHEN NOT {_LONG} THEN text END", _BIG) if can_be_long else ("text", _NO_BIG)
-    keys = ["pos", "val", "big"] if can_be_long else ["pos", "val"]
-    counted = cells.selectExpr("pos", f"{val} AS val", f"{big} AS big").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    return counted if can_be_long else counted.selectExpr("pos", "val", f"{big} AS big", "cnt")
+    if not any(has_long_text(df, name) for name in columns or df.columns):
+        nothing = [f"CAST(NULL AS {dtype}) AS {name}" for name, (_, dtype) in _LONG_PARTS.items()]
+        counted = cells.groupBy("pos", F.col("text").alias("val")).agg(F.count(F.lit(1)).alias("cnt"))
+        return counted.selectExpr("pos", "val", *nothing, "cnt")
+    parts = [f"CASE WHEN {_LONG} THEN {part} END AS {name}" for name, (part, _) in _LONG_PARTS.items()]
+    return (
+        cells.selectExpr("pos", f"CASE WHEN NOT {_LONG} THEN text END AS val", *parts)
+        .groupBy("pos", "val", *_LONG_PARTS)
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
 
 
 def has_long_text(df: DataFrame, name: str) -> bool:
@@ -69,12 +83,12 @@ def read_values(freq: DataFrame) -> DataFrame:
         "named_struct('num', num, 'flags', flags, 'length', length)"
     )
     return (
-        freq.selectExpr("pos", "val", "big", "cnt", f"{dated_sql('val')} AS dated")
+        freq.selectExpr("*", f"{dated_sql('val')} AS dated")
         .selectExpr(
             "pos", "cnt",
-            f"coalesce(big.num, {number_sql('val')}) AS num",
-            f"coalesce(big.flags, {flags_sql('val', 'dated')}) AS flags",
-            "coalesce(big.length, char_length(val)) AS length",
+            f"coalesce(long_num, {number_sql('val')}) AS num",
+            f"coalesce(long_flags, {flags_sql('val', 'dated')}) AS flags",
+            "coalesce(long_length, char_length(val)) AS length",
         )
         .selectExpr("pos", "cnt", f"inline(array({read}))")
     )
@@ -82,7 +96,7 @@ def read_values(freq: DataFrame) -> DataFrame:
 
 def read_numbers(freq: DataFrame) -> DataFrame:
     """``(pos, cnt, num)`` of the values that are numbers."""
-    read = f"named_struct('num', coalesce(big.num, {number_sql('val')}))"
+    read = f"named_struct('num', coalesce(long_num, {number_sql('val')}))"
     return freq.selectExpr("pos", "cnt", f"inline(array({read}))").where("num IS NOT NULL")
 
 

@@ -51,7 +51,8 @@ def _bits_sql(bits: slice) -> str:
 
 
 _STATISTICS = f"""
-WITH values AS (SELECT *, {slice_sql('num')} AS slice FROM {{read}}),
+WITH sliced AS (SELECT *, {slice_sql('num')} AS slice FROM {{read}}),
+values AS (SELECT *, num - {center_sql('slice')} AS off FROM sliced),
 -- per column, numeric slice and shape: a few thousand rows a column
 sums AS (
   SELECT pos, slice, flags,
@@ -63,38 +64,44 @@ sums AS (
          min(num) AS num_min, max(num) AS num_max,
          sum(num * cnt) AS num_sum,
          -- deviations from a value of the slice itself lose no digits
-         sum((num - {center_sql('slice')}) * (num - {center_sql('slice')}) * cnt) AS num_spread,
+         sum(off * off * cnt) AS num_spread,
          min(length) AS length_min, max(length) AS length_max, sum(length * cnt) AS length_sum
   FROM values GROUP BY pos, slice, flags
 ),
+numbers AS (SELECT *, {slice_sql('num')} AS slice FROM {{numbers}}),
 slices AS (
-  SELECT pos, slice, sum(num_count) AS num_count, sum(num_distinct) AS num_distinct,
-         min(num_min) AS num_min, max(num_max) AS num_max
-  FROM sums GROUP BY pos, slice
+  SELECT pos, slice, sum(cnt) AS num_count, count(*) AS num_distinct, min(num) AS num_min, max(num) AS num_max
+  FROM numbers GROUP BY pos, slice
 ),
-numbers AS (SELECT *, {slice_sql('num')} AS slice FROM {{numbers}}),
 {quantile_ctes('numbers', 'slices')},
 centered AS (
   SELECT *, sum(num_sum) OVER (PARTITION BY pos) / nullif(sum(num_count) OVER (PARTITION BY pos), 0) AS mean,
          num_sum / nullif(num_count, 0) AS slice_mean
   FROM sums
 ),
+shapes AS (
+  SELECT pos, flags, sum(row_count) AS row_count, sum(null_count) AS null_count,
+         sum(distinct_count) AS distinct_count, sum(num_count) AS num_count, sum(length_sum) AS length_sum,
+         min(num_min) AS num_min, max(num_max) AS num_max, max(mean) AS mean,
+         min(length_min) AS length_min, max(length_max) AS length_max,
+         sum(num_spread
+             - num_count * (slice_mean - {center_sql('slice')}) * (slice_mean - {center_sql('slice')})
+             + num_count * (slice_mean - mean) * (slice_mean - mean)) AS deviations
+  FROM centered GROUP BY pos, flags
+),
+-- a column has a handful of shapes, whatever its size
 columns AS (
   SELECT pos, sum(row_count) AS row_count, sum(null_count) AS null_count, sum(distinct_count) AS distinct_count,
          sum(num_count) AS num_count, sum(length_sum) AS length_sum, min(num_min) AS num_min, max(num_max) AS num_max,
          max(mean) AS mean, min(length_min) AS length_min, max(length_max) AS length_max,
-         sum(num_spread
-             - num_count * (slice_mean - {center_sql('slice')}) * (slice_mean - {center_sql('slice')})
-             + num_count * (slice_mean - mean) * (slice_mean - mean)) AS deviations
-  FROM centered GROUP BY pos
+         sum(deviations) AS deviations, collect_list(named_struct('flags', flags, 'n', row_count)) AS shapes
+  FROM shapes GROUP BY pos
 ),
-shapes AS (SELECT pos, flags, sum(row_count) AS n FROM sums GROUP BY pos, flags),
-shape_lists AS (SELECT pos, collect_list(named_struct('flags', flags, 'n', n)) AS shapes FROM shapes GROUP BY pos),
 counted AS (
   SELECT c.*, c.row_count - c.null_count AS non_null_count, q.quantiles,
          transform(sequence(0, {FLAG_BITS - 1}), bit ->
-           aggregate(filter(s.shapes, e -> getbit(e.flags, bit) = 1), 0L, (added, e) -> added + e.n)) AS shape_counts
-  FROM columns c JOIN shape_lists s ON c.pos = s.pos LEFT JOIN quantiles q ON c.pos = q.pos
+           aggregate(filter(c.shapes, e -> getbit(e.flags, bit) = 1), 0L, (added, e) -> added + e.n)) AS shape_counts
+  FROM columns c LEFT JOIN quantiles q ON c.pos = q.pos
 ),
 rated AS (
   SELECT *, {ratio_sql('num_count', 'non_null_count')} AS numeric_parse_ratio,
@@ -143,10 +150,10 @@ def ranked_values(freq: DataFrame, k: int = MAX_SAMPLE_VALUES, by: str = "freque
     order = ([F.col("cnt").desc()] if by == "frequency" else []) + value_order
     # naming cnt keeps the filter above the aggregation, so that this branch
     # and the statistics share one shuffle
-    present = F.when(F.col("val").isNotNull() | F.col("big").isNotNull(), F.col("cnt")) > 0
+    present = F.when(F.col("val").isNotNull() | F.col("digest").isNotNull(), F.col("cnt")) > 0
     return (
         freq.where(present)
-        .select("pos", "val", F.col("big.digest").alias("digest"), "cnt")
+        .select("pos", "val", "digest", "cnt")
         .withColumn("rn", F.row_number().over(Window.partitionBy("pos").orderBy(*order)))
         .where(F.col("rn") <= k)
     )
