@@ -316,7 +316,7 @@ def category_rows(domain: str) -> str:
 def categories_ctes(name: str, domain: str) -> str:
     return f"""{label_ctes(name, COLUMNS[name])},
     signals AS ({category_rows(domain)}),
-    summed AS (SELECT pos, category, sum(w)::DOUBLE AS score, min(o) AS o FROM signals GROUP BY pos, category),
+    summed AS (SELECT pos, category, sum(w::DOUBLE ORDER BY o) AS score, min(o) AS o FROM signals GROUP BY pos, category),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(score, 9) DESC, o) AS rn FROM summed),
     best AS (
       SELECT pos, max(category) FILTER (WHERE rn = 1) AS primary_category, max(score) FILTER (WHERE rn = 1) AS top,
@@ -330,7 +330,7 @@ def categories_ctes(name: str, domain: str) -> str:
     ),
     classified AS (
       SELECT pos, physical_name, primary_category, coalesce(secondary_categories, '') AS secondary_categories,
-             round(CASE WHEN second IS NOT NULL AND top - second > 0.3 + 1e-12 THEN least(1, least(1, top) + 0.1)
+             round(CASE WHEN second IS NOT NULL AND top - second > 0.3::DOUBLE THEN least(1, least(1, top) + 0.1::DOUBLE)
                         ELSE least(1, top) END, 3)::DOUBLE AS category_confidence
       FROM labelled JOIN best USING (pos) LEFT JOIN extra USING (pos)
     )"""
@@ -356,7 +356,7 @@ def category_variant(name: str, domain: str) -> str:
     rows.append("SELECT pos, 'Time Series Data', 0.4, 40 FROM labelled WHERE datetime_parse_ratio >= 0.9")
     return f"""WITH {label_ctes(name, COLUMNS[name])},
     signals AS ({' UNION ALL '.join(rows)}),
-    summed AS (SELECT pos, category, sum(w)::DOUBLE AS score, min(o) AS o FROM signals GROUP BY pos, category),
+    summed AS (SELECT pos, category, sum(w::DOUBLE ORDER BY o) AS score, min(o) AS o FROM signals GROUP BY pos, category),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(score, 9) DESC, o) AS rn FROM summed),
     best AS (SELECT pos, max(category) FILTER (WHERE rn = 1) AS primary_category, max(score) FILTER (WHERE rn = 1) AS top
              FROM ranked GROUP BY pos),
@@ -770,7 +770,7 @@ def all_oracles() -> dict[str, str]:
         "chart_candidates": f"{CANDIDATES} SELECT chart_key, 'business' AS category, chart_type, title, dimension, metric, aggregation, rank "
                             "FROM kept WHERE rank <= 3",
         "chart_rank": f"""{CANDIDATES},
-            scored AS (
+            relevant AS (
               SELECT k.chart_key, rank, ({w['domain_relevance']} + CASE WHEN mp.null_ratio < 0.5 THEN {w['data_availability']}
                      WHEN mp.null_ratio IS NOT NULL THEN {w['data_availability']} * 0.3 ELSE 0 END
                      + coalesce({w['metric_validity']} * mp.numeric_parse_ratio, 0)
@@ -781,7 +781,7 @@ def all_oracles() -> dict[str, str]:
                      * CASE WHEN dimension IS NOT NULL AND row_number() OVER (PARTITION BY dimension ORDER BY rank) > 1 THEN 0.7 ELSE 1 END AS s
               FROM kept k LEFT JOIN labelled mp ON k.metric = mp.physical_name LEFT JOIN labelled dp ON k.dimension = dp.physical_name
               WHERE rank <= 3)
-            SELECT chart_key, round(s::DOUBLE, 6) AS relevance, row_number() OVER (ORDER BY s DESC, rank) AS chart_rank FROM scored""",
+            SELECT chart_key, round(s::DOUBLE, 6) AS relevance, row_number() OVER (ORDER BY s DESC, rank) AS chart_rank FROM relevant""",
         "chart_validate": VALIDATE,
         "cube_orders": cube("orders", ["o_orderstatus", "o_orderpriority"], "o_totalprice"),
         "cube_geo": cube(geo(), ["region", "country", "customer"], "balance"),

@@ -104,6 +104,16 @@ def dated_sql(text: str) -> str:
     return f"CASE WHEN {likely} THEN CASE {' '.join(branches)} END END"
 
 
+def dated_once_sql(text: str) -> str:
+    """``dated_sql`` inside a lambda.
+
+    A higher-order function is not unrolled into generated code.  Together with
+    the statements around it the date formats would make a method beyond the
+    size the JVM compiles, which runs far slower than the lambda.
+    """
+    return f"get(transform(array({text}), v -> {dated_sql('v')}), 0)"
+
+
 def _day_first_sql(text: str) -> str:
     _, guard, rewrite = _DAY_FIRST
     replaced = f"regexp_replace({text}, {sql_string(guard)}, {sql_string(rewrite)})"
@@ -137,7 +147,8 @@ def shape_sql(text: str, label: str, regex: str) -> str:
 def flags_sql(text: str, dated: str) -> str:
     """One bit per shape pattern, per date reading, and for booleans.
 
-    ``dated`` names a column holding ``dated_sql`` of the same text.
+    ``dated`` names a column holding ``dated_sql`` of the same text.  The bits
+    are added up by a higher-order function for the reason given there.
     """
     iso = f"substr({dated}, 3)"
     bits = [_bit(shape_sql(text, label, regex), i) for i, (label, regex) in enumerate(SHAPE_PATTERNS)]
@@ -145,7 +156,7 @@ def flags_sql(text: str, dated: str) -> str:
         f"CASE WHEN {_valid_sql(iso)} THEN shiftleft(1L, {_DATE_BIT} + int(substr({dated}, 1, 2))) ELSE 0L END")
     bits.append(_bit(f"substr({dated}, 1, 2) IN ('05', '06') AND {_valid_sql(_day_first_sql(text))}", _BOOL_BIT - 1))
     bits.append(_bit(boolean_sql(text), _BOOL_BIT))
-    return " + ".join(bits)
+    return f"aggregate(array({', '.join(bits)}), 0L, (flags, bit) -> flags + bit)"
 
 
 def long_flags_sql(text: str) -> str:

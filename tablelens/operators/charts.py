@@ -58,6 +58,19 @@ def kpi_value(df: DataFrame, metric: str, aggregation: str = "sum", title: str |
         F.lit(1).alias("position"), F.lit(title or metric).alias("label"), "value")
 
 
+def _one_decimal(x: str) -> str:
+    """``%.1f`` rounding the binary value, as C and Python print it.
+
+    Tenths of a binary fraction are exact in double arithmetic here, so ties
+    are true ties and go to even.
+    """
+    whole, tenths = f"floor(abs({x}))", f"bigint(rint((abs({x}) - floor(abs({x}))) * 10))"
+    return (
+        f"CASE WHEN abs({x}) < 1e15 THEN concat(if({x} < 0, '-', ''), "
+        f"string(bigint({whole}) + {tenths} DIV 10), '.', string({tenths} % 10)) ELSE format_string('%.1f', {x}) END"
+    )
+
+
 _HISTOGRAM = """
 WITH spread AS (
   SELECT *, if(lo = hi, lo - 0.5D, lo) AS first, if(lo = hi, hi + 0.5D, hi) AS last,
@@ -86,10 +99,9 @@ exact AS (
   FROM rough
 ),
 counts AS (SELECT bin, count(*) AS n FROM exact GROUP BY bin)
-SELECT s.bin AS position, concat(format_string('%.1f', s.low), '-', format_string('%.1f', s.high)) AS label,
-       double(coalesce(c.n, 0L)) AS value
+SELECT s.bin AS position, concat(LOW_LABEL, '-', HIGH_LABEL) AS label, double(coalesce(c.n, 0L)) AS value
 FROM slots s LEFT JOIN counts c ON s.bin = c.bin
-"""
+""".replace("LOW_LABEL", _one_decimal("s.low")).replace("HIGH_LABEL", _one_decimal("s.high"))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.parsing import dated_sql, flags_sql, long_flags_sql, number_sql
+from tablelens.functions.parsing import dated_once_sql, flags_sql, long_flags_sql, number_sql
 from tablelens.functions.text import as_text_sql
 
 INLINE_CHARS = 256
@@ -83,7 +83,7 @@ def read_values(freq: DataFrame) -> DataFrame:
         "named_struct('num', num, 'flags', flags, 'length', length)"
     )
     return (
-        freq.selectExpr("*", f"{dated_sql('val')} AS dated")
+        freq.selectExpr("pos", "val", "cnt", "long_num", "long_flags", "long_length", f"{dated_once_sql('val')} AS dated")
         .selectExpr(
             "pos", "cnt",
             f"coalesce(long_num, {number_sql('val')}) AS num",
