@@ -14,6 +14,7 @@ from tablelens.config.domains import domain_config
 from tablelens.functions.text import duplicate_column_keys, unique_column_keys
 from tablelens.operators import categories, charts, cubes, dataset, hierarchy, labels, profile, quality, readiness, rules
 from tablelens.operators.frequencies import column_frequencies, column_names, with_full_text
+from tablelens.sources.settle import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,7 +88,12 @@ def listed_values(df: DataFrame, by: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return labels.label_columns(profile.column_profile(table(spark, sf, name), name))
+    """The profile, one row per column, is settled; labels are projections over it."""
+    return label(table(spark, sf, name), name)
+
+
+def label(df: DataFrame, name: str = "dataset") -> DataFrame:
+    return labels.label_columns(settled(profile.column_profile(df, name)))
 
 
 def labels_query(name: str) -> Query:
@@ -143,7 +149,7 @@ def chain_query(region: str) -> Query:
 def template_query(spark, sf):
     df = geo(spark, sf)
     found = hierarchy.template_matches(
-        labels.label_columns(profile.column_profile(df)), domain_config("Customer")["hierarchy_templates"])
+        label(df), domain_config("Customer")["hierarchy_templates"])
     return found.selectExpr(
         "template_key", "bigint(priority) AS priority", "array_join(level_columns, ' > ') AS levels",
         "array_join(missing_concepts, ', ') AS missing", "round(match_ratio, 6) AS match_ratio", "bigint(rank) AS rank")
@@ -220,9 +226,8 @@ def quality_parts(spark, sf):
     df = dirty_events(spark, sf)
     # quality needs counts, not value lists
     names = unique_column_keys(column_names(df)).select("dataset", "pos", F.col("name").alias("physical_name"), "normalized_key")
-    prof = names.join(F.broadcast(profile.column_statistics(df)), "pos")
-    results = rules.evaluate_rules(df, EVENT_RULES)
-    return prof, results
+    prof = settled(names.join(F.broadcast(profile.column_statistics(df)), "pos"))
+    return prof, settled(rules.evaluate_rules(df, EVENT_RULES))
 
 
 def dimensions_of(prof: DataFrame, results: DataFrame) -> DataFrame:
@@ -248,7 +253,7 @@ def overall_query(spark, sf):
 
 def semantic_quality_query(spark, sf):
     df = table(spark, sf, "orders")
-    found = labels.label_columns(profile.column_profile(df, "dataset"))
+    found = label(df)
     return quality.semantic_quality(
         labels.confirmed_roles(found), categories.data_categories(found, "Payments"),
         categories.secondary_domain(found, "Payments"),
@@ -258,7 +263,7 @@ def semantic_quality_query(spark, sf):
 
 def readiness_query(spark, sf):
     df = table(spark, sf, "orders")
-    found = labels.label_columns(profile.column_profile(df))
+    found = label(df)
     results = rules.evaluate_rules(df, ORDER_RULES, {"monetary_amount": "o_totalprice"})
     dims = (
         quality.completeness(found, ["o_orderkey", "o_custkey"])
@@ -307,9 +312,9 @@ def candidate_query(spark, sf):
 
 def rank_query(spark, sf):
     df = table(spark, sf, "orders")
-    prof = named_statistics(df)
-    specs = charts.chart_candidates(labelled(spark, sf, "orders").withColumn("dataset", F.lit("dataset")), quality=False)
-    return charts.rank_charts(specs.withColumn("has_data", F.lit(False)), prof).selectExpr(
+    found = label(df)
+    specs = charts.chart_candidates(found, quality=False)
+    return charts.rank_charts(specs.withColumn("has_data", F.lit(False)), found).selectExpr(
         "chart_key", "round(relevance, 6) AS relevance", "bigint(chart_rank) AS chart_rank")
 
 

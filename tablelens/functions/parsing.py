@@ -70,7 +70,7 @@ _UNBOUNDED = {"ISO_DATETIME", "EMAIL", "PHONE", "DECIMAL_2DP", "INTEGER", "NUMER
 
 
 def _trimmed(text: str) -> str:
-    return rf"trim(BOTH ' \t\n\r\f\u000B' FROM {text})"
+    return rf"trim(BOTH ' \t\n\r\u000B\u000C' FROM {text})"
 
 
 def number_sql(text: str) -> str:

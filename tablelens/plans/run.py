@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass, field, fields
 
@@ -12,24 +11,11 @@ from pyspark.sql import functions as F
 from tablelens.operators import categories, charts, cubes, hierarchy, labels, quality, readiness, rules
 from tablelens.operators.dataset import dataset_profile
 from tablelens.operators.profile import column_profile
+from tablelens.sources.settle import settled
 from tablelens.sources.results import record_status, write_result
 from tablelens.sources.tables import check_domain, check_table
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Compute a small result once and cut its lineage.
-
-    The checkpoint goes to the directory the cluster names, so it outlives any
-    executor.  Only a session without one (a test) gets a local directory.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tablelens-"))
-    return df.checkpoint()
-
-
 @dataclass
 class ProfileRun:
     """The result tables of one run; all but the table itself are small."""
