@@ -70,14 +70,14 @@ STATISTICS = [
 ]
 
 
-def named_statistics(df: DataFrame) -> DataFrame:
+def named_statistics(df: DataFrame, quantiles: bool = False) -> DataFrame:
     """Column statistics with the column's name, without the value lists."""
     names = column_names(df).withColumnRenamed("name", "physical_name")
-    return names.join(F.broadcast(profile.column_statistics(df)), "pos")
+    return names.join(F.broadcast(profile.column_statistics(df, quantiles=quantiles)), "pos")
 
 
 def statistics_query(name: str) -> Query:
-    return lambda spark, sf: named_statistics(table(spark, sf, name)).selectExpr(*STATISTICS)
+    return lambda spark, sf: named_statistics(table(spark, sf, name), True).selectExpr(*STATISTICS)
 
 
 def listed_values(df: DataFrame, by: str) -> DataFrame:
@@ -93,7 +93,7 @@ def labelled(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def label(df: DataFrame, name: str = "dataset") -> DataFrame:
-    return labels.label_columns(settled(profile.column_profile(df, name)))
+    return labels.label_columns(settled(profile.column_profile(df, name, quantiles=False)))
 
 
 def labels_query(name: str) -> Query:
@@ -226,7 +226,7 @@ def quality_parts(spark, sf):
     df = dirty_events(spark, sf)
     # quality needs counts, not value lists
     names = unique_column_keys(column_names(df)).select("dataset", "pos", F.col("name").alias("physical_name"), "normalized_key")
-    prof = settled(names.join(F.broadcast(profile.column_statistics(df)), "pos"))
+    prof = settled(names.join(F.broadcast(profile.column_statistics(df, quantiles=False)), "pos"))
     return prof, settled(rules.evaluate_rules(df, EVENT_RULES))
 
 
@@ -396,7 +396,7 @@ def all_queries() -> dict[str, Query]:
         "column_profile_orders": statistics_query("orders"),
         "column_profile_lineitem": statistics_query("lineitem"),
         "column_profile_documents": statistics_query("documents"),
-        "column_profile_dirty_events": lambda spark, sf: named_statistics(dirty_events(spark, sf)).selectExpr(*STATISTICS),
+        "column_profile_dirty_events": lambda spark, sf: named_statistics(dirty_events(spark, sf), True).selectExpr(*STATISTICS),
         "dataset_profile_lineitem": dataset_query("lineitem"),
         "dataset_profile_documents": dataset_query("documents"),
         "duplicate_rows_events": lambda spark, sf: dataset.duplicate_rows(

@@ -50,6 +50,14 @@ def _bits_sql(bits: slice) -> str:
     return f"slice(shape_counts, {bits.start + 1}, {bits.stop - bits.start})"
 
 
+_QUANTILES = f"""
+numbers AS (SELECT *, {slice_sql('num')} AS slice FROM {{numbers}}),
+slices AS (
+  SELECT pos, slice, sum(cnt) AS num_count, count(*) AS num_distinct, min(num) AS num_min, max(num) AS num_max
+  FROM numbers GROUP BY pos, slice
+),
+{quantile_ctes('numbers', 'slices')},"""
+_NO_QUANTILES = "quantiles AS (SELECT -1 AS pos, CAST(NULL AS array<double>) AS quantiles),"
 _STATISTICS = f"""
 WITH sliced AS (SELECT *, {slice_sql('num')} AS slice FROM {{read}}),
 values AS (SELECT *, num - {center_sql('slice')} AS off FROM sliced),
@@ -68,12 +76,7 @@ sums AS (
          min(length) AS length_min, max(length) AS length_max, sum(length * cnt) AS length_sum
   FROM values GROUP BY pos, slice, flags
 ),
-numbers AS (SELECT *, {slice_sql('num')} AS slice FROM {{numbers}}),
-slices AS (
-  SELECT pos, slice, sum(cnt) AS num_count, count(*) AS num_distinct, min(num) AS num_min, max(num) AS num_max
-  FROM numbers GROUP BY pos, slice
-),
-{quantile_ctes('numbers', 'slices')},
+QUANTILE_CTES
 centered AS (
   SELECT *, sum(num_sum) OVER (PARTITION BY pos) / nullif(sum(num_count) OVER (PARTITION BY pos), 0) AS mean,
          num_sum / nullif(num_count, 0) AS slice_mean
@@ -133,10 +136,17 @@ FROM rated
 """
 
 
-def column_statistics(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
-    """Counts, ratios, numeric and length statistics per ``pos``."""
+def column_statistics(df: DataFrame, freq: DataFrame | None = None, quantiles: bool = True) -> DataFrame:
+    """Counts, ratios, numeric and length statistics per ``pos``.
+
+    Labels, quality and readiness need no quantiles; without them, which leaves
+    ``median`` and ``q25`` to ``q75`` null, the values are read one time less.
+    """
     freq = column_frequencies(df) if freq is None else freq
-    return df.sparkSession.sql(_STATISTICS, read=read_values(freq), numbers=read_numbers(freq))
+    if not quantiles:
+        return df.sparkSession.sql(_STATISTICS.replace("QUANTILE_CTES", _NO_QUANTILES), read=read_values(freq))
+    return df.sparkSession.sql(
+        _STATISTICS.replace("QUANTILE_CTES", _QUANTILES), read=read_values(freq), numbers=read_numbers(freq))
 
 
 def ranked_values(freq: DataFrame, k: int = MAX_SAMPLE_VALUES, by: str = "frequency") -> DataFrame:
@@ -194,7 +204,8 @@ FROM {names} n LEFT JOIN {stats} s ON n.pos = s.pos LEFT JOIN {lists} l ON n.pos
 """
 
 
-def column_profile(df: DataFrame, dataset: str = "dataset", max_values: int = MAX_SAMPLE_VALUES) -> DataFrame:
+def column_profile(df: DataFrame, dataset: str = "dataset", max_values: int = MAX_SAMPLE_VALUES,
+                   quantiles: bool = True) -> DataFrame:
     """The full profile of a table: one row per column, keyed ``(dataset, pos)``.
 
     The name list decides which rows exist, so an empty table has a profile.
@@ -203,7 +214,7 @@ def column_profile(df: DataFrame, dataset: str = "dataset", max_values: int = MA
     return df.sparkSession.sql(
         _PROFILE,
         names=unique_column_keys(column_names(df, dataset)),
-        stats=F.broadcast(column_statistics(df, freq)),
+        stats=F.broadcast(column_statistics(df, freq, quantiles)),
         lists=F.broadcast(_value_lists(df, freq, max_values)),
     )
 
