@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, connection, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(entry_module.all_queries()) == set(entry_module.all_oracles())
 
 
 def test_profile_shuffles_values_once(spark):
