@@ -45,6 +45,16 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([quoted(c) for c in df.columns if c.lower() not in gone])
 
 
+def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """The table, marked for broadcast if its measured size in text form stays below the bound.
+
+    For tables that are cheap to read (checkpointed).  A larger one is left to
+    an ordinary join.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def raw_bytes(values: pa.Array) -> Iterable[bytes]:
     """UTF-8 bytes of each value, one at a time; null is empty."""
     return (v.as_py() or b"" for v in values)

@@ -4,27 +4,179 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import simhash
+from tablelens.llm import licenses, mixing, quality, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The explicit rules of the URL query.
+URL_RULES = [
+    url_rules.PrefixRule("block", "net", "/"),
+    url_rules.PrefixRule("allow", "example.net", "/en/"),
+    url_rules.PrefixRule("block", "example.com", "/de/"),
+    url_rules.PrefixRule("allow", "org", "/fr/"),
+]
+TOXIC_FROM = 0.3
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def fold(id_col: str, folds: int, held: int) -> Column:
+    """Whether a row belongs to the fold that is held out; a null id does not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf, "documents"), shingle=3, distance=2)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
 
 
+def op6_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = url_rules.judge(table(spark, sf, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
+def toxicity_model(spark: SparkSession, sf: str) -> toxicity.Model:
+    labels = table(spark, sf, "labels").where(~fold("doc_id", 4, 2))
+    return toxicity.train(table(spark, sf, "documents"), labels)
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    model = toxicity_model(spark, sf)
+    scored = table(spark, sf, "documents").select(
+        "doc_id", fold("doc_id", 4, 2).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    rated = quality.ledger(table(spark, sf, "documents").select("doc_id", "text"))
+    return rated.select("doc_id", *quality.MEASURES, "failures",
+                        (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM documents),
+windows AS (
+    SELECT row_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+    FROM d, unnest(range(1, greatest(1, len(w)::BIGINT - 1))) AS r(i)),
+again AS (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, g) AS c FROM windows),
+covered AS (
+    SELECT row_id, count(DISTINCT i + k) AS n
+    FROM again, (VALUES (0), (1), (2)) AS s(k) WHERE c > 1 GROUP BY row_id),
+m AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words,
+           length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+           (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+           coalesce(n, 0)::BIGINT AS n_repeat_words
+    FROM d LEFT JOIN covered USING (row_id)),
+f AS (
+    SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
+            + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+            + (CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END)
+            + (CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END)
+            + (CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END)
+            + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 32 ELSE 0 END)
+            + (CASE WHEN n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines THEN 64 ELSE 0 END) AS failures
+    FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures::BIGINT AS failures,
+       (failures & 3) != 0 AS base_failed, failures = 0 AS kept
+FROM f
+"""
+
+
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    planned = mixing.copies(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+                          F.col("copies").cast("long").alias("copies"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) AS k
+    FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+p AS (
+    SELECT *, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) AS place FROM s),
+w AS (SELECT *, [5.0, 2.0, 1.0][((place - 1) % 3) + 1]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM p),
+r AS (
+    SELECT *, (sum(source_size) OVER ())::DOUBLE
+              - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+           sum(weight) OVER ()
+              - coalesce(sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_rest
+    FROM w),
+lv AS (
+    SELECT rest / weight_rest AS level FROM r
+    WHERE rest / weight_rest * weight <= most ORDER BY most / weight, place LIMIT 1),
+t AS (
+    SELECT source, source_size,
+           CASE WHEN (SELECT level FROM lv) IS NULL OR (SELECT level FROM lv) * weight >= most THEN most
+                ELSE (SELECT level FROM lv) * weight END AS target
+    FROM r),
+x AS (
+    SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END::DOUBLE AS rate FROM t),
+draws AS (
+    SELECT d.source, seed, sum(CASE WHEN ('0x' || substr(md5(seed::VARCHAR || ':' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+                                         < rate - floor(rate) THEN size ELSE 0 END) AS got,
+           any_value((rate - floor(rate)) * source_size) AS wanted
+    FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source, range(32) AS g(seed)
+    GROUP BY d.source, seed),
+best AS (
+    SELECT source, seed FROM draws QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(got - wanted), seed) = 1)
+SELECT doc_id, size, x.source_size, x.target,
+       c::BIGINT * size AS taken, c::BIGINT AS copies
+FROM (
+    SELECT d.*, least(3, floor(rate) + CASE WHEN ('0x' || substr(md5(seed::VARCHAR || ':' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+                                                 < rate - floor(rate) THEN 1 ELSE 0 END) AS c
+    FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source JOIN best ON d.source IS NOT DISTINCT FROM best.source) AS d
+JOIN x ON d.source IS NOT DISTINCT FROM x.source
+"""
+
+
+def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"), licenses.known_digests(spark))
+    return found.select("doc_id", "license_digest", "license")
+
+
+def _canonical_sql(text: str) -> str:
+    form = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10))"
+    for _ in range(2):
+        form = f"regexp_replace({form}, '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+    form = f"' ' || regexp_replace({form}, '[^a-z0-9]+', ' ', 'g') || ' '"
+    for old, new in licenses.EQUIVALENT_SPELLINGS:
+        form = f"replace({form}, ' {old} ', ' {new} ')"
+    return f"sha256(trim({form}))"
+
+
+def op10_sql() -> str:
+    listed = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN_LICENSES.items())
+    return f"""
+WITH known AS (SELECT {_canonical_sql('t')} AS license_digest, min(name) AS license FROM (VALUES {listed}) AS k(name, t) GROUP BY 1)
+SELECT doc_id, license_digest, license
+FROM (SELECT doc_id, {_canonical_sql('text')} AS license_digest FROM documents) AS d LEFT JOIN known USING (license_digest)
+"""
+
+
 def all_queries() -> dict[str, Query]:
-    return {"op3_simhash": op3_simhash}
+    return {
+        "op3_simhash": op3_simhash,
+        "op6_url_rules": op6_url_rules,
+        "op7_toxicity": op7_toxicity,
+        "op8_quality": op8_quality,
+        "op9_mixing": op9_mixing,
+        "op10_licenses": op10_licenses,
+    }
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op8_quality": OP8_SQL, "op9_mixing": OP9_SQL, "op10_licenses": op10_sql()}
