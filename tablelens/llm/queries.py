@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import licenses, mixing, quality, simhash, toxicity, url_rules
+from tablelens.llm import language_model, licenses, mixing, pieces, quality, simhash, token_counts, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,7 @@ URL_RULES = [
     url_rules.PrefixRule("allow", "org", "/fr/"),
 ]
 TOXIC_FROM = 0.3
+TOKEN_LIMIT = 2048
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,12 +32,33 @@ def fold(id_col: str, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
 
 
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text encoded, and whether decoding gives it back."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = table(spark, sf, "documents").select("doc_id", "text", pieces.piece_ids(F.col("text"), path).alias("piece_ids"))
+    same = pieces.decoded(F.col("piece_ids"), path) == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip"))
+
+
+def op2_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    scored = language_model.scores(table(spark, sf, "documents"), fold("doc_id", 5, 1))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf, "documents"), shingle=3, distance=2)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
 
 
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counted = table(spark, sf, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        token_counts.token_count(F.col("text"), path).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op6_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = url_rules.judge(table(spark, sf, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
@@ -169,7 +192,10 @@ FROM (SELECT doc_id, {_canonical_sql('text')} AS license_digest FROM documents)
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op2_language_model": op2_language_model,
         "op3_simhash": op3_simhash,
+        "op5_token_counts": op5_token_counts,
         "op6_url_rules": op6_url_rules,
         "op7_toxicity": op7_toxicity,
         "op8_quality": op8_quality,
