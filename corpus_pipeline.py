@@ -1,6 +1,66 @@
+"""From raw documents to encoded training data, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+and read again before the next one; all but the last return the columns of
+documents.  Tables other than documents are read from sf_dir.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablelens.llm import mixing, pieces, quality, simhash, toxicity
+from tablelens.llm.common import cut
+from tablelens.llm.queries import TOXIC_FROM, fold, table
+
+#: Learned models and sampling by digests: no SQL over the tables gives these rows.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def leave_out_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the labelled documents at hand."""
+    labels = table(spark, sf_dir, "labels").where(~fold("doc_id", 4, 2))
+    model = toxicity.train(docs, labels)
+    return docs.where(toxicity.score(F.col("text"), model) < TOXIC_FROM)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality.accepted(docs, "v1")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicated(docs, shingle=3, distance=2)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources ask."""
+    return mixing.mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, and whether decoding gives its text back."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = docs.select("doc_id", "lang", "source", "text", pieces.piece_ids(F.col("text"), path).alias("piece_ids"))
+    same = pieces.decoded(F.col("piece_ids"), path) == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return encoded.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", leave_out_toxic),
+    ("quality rules", keep_quality),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is settled before the next stage reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -115,6 +115,12 @@ def passes(policy: str) -> Column:
     return F.col("failures").bitwiseAND(F.lit(rule_bits(POLICIES[policy])).cast("long")) == 0
 
 
+def accepted(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows that pass a policy, with the columns they had."""
+    rated = ledger(docs.select(F.struct([quoted(c) for c in docs.columns]).alias("row"), quoted(text_col).alias("text")))
+    return rated.where(passes(policy)).select("row.*")
+
+
 def ablation(kept_ledger: DataFrame, policy: str = "v1") -> DataFrame:
     """Per rule of a policy: rows it rejects, rows that only it rejects, rows kept without it.
 

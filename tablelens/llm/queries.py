@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import language_model, licenses, mixing, pieces, quality, simhash, token_counts, toxicity, url_rules
+from tablelens.llm import caps, language_model, licenses, mixing, pieces, quality, simhash, token_counts, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,12 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op4_embedding_caps(spark: SparkSession, sf: str) -> DataFrame:
+    found = caps.cap_components(table(spark, sf, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     counted = table(spark, sf, "documents").select(
@@ -195,6 +201,7 @@ def all_queries() -> dict[str, Query]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_language_model": op2_language_model,
         "op3_simhash": op3_simhash,
+        "op4_embedding_caps": op4_embedding_caps,
         "op5_token_counts": op5_token_counts,
         "op6_url_rules": op6_url_rules,
         "op7_toxicity": op7_toxicity,

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import components, cut, quoted, raw_bytes
+from tablelens.llm.common import components, cut, free_name, quoted, raw_bytes
 
 HASH_SEED = 42
 #: Shingles hashed at a time: bounds memory for texts of any length.
@@ -130,20 +130,43 @@ def fingerprint_links(fingerprints: DataFrame, distance: int = 2, full_bucket: i
     return verified.selectExpr("a", "fp AS b").union(met.selectExpr("a", "fp AS b"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                       distance: int = 2, full_bucket: int = FULL_BUCKET) -> DataFrame:
-    """(id, fp long, component) for every row: component is the smallest id reachable by links.
+def _grouped(each: DataFrame, distance: int, full_bucket: int) -> DataFrame:
+    """Rows (id, fp, ...) with `root`, equal for all rows that links hold together, and `component`.
 
     Rows with equal fingerprints are one node, so copies cost nothing beyond
     their fingerprint.
     """
-    each = cut(docs.select(quoted(id_col).alias("id"), fingerprint(quoted(text_col), shingle).alias("fp")))
     nodes = cut(each.groupBy("fp").agg(F.min("id").alias("least_id")))
     links = fingerprint_links(nodes.select("fp"), distance, full_bucket)
     joined = components(links, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = nodes.join(joined, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component"))
-    return each.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    return each.join(rooted.join(least, "root").select("fp", "root", "component"), "fp")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                       distance: int = 2, full_bucket: int = FULL_BUCKET) -> DataFrame:
+    """(id, fp long, component) for every row: component is the smallest id reachable by links."""
+    each = cut(docs.select(quoted(id_col).alias("id"), fingerprint(quoted(text_col), shingle).alias("fp")))
+    return _grouped(each, distance, full_bucket).select("id", "fp", "component")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 distance: int = 2, full_bucket: int = FULL_BUCKET) -> DataFrame:
+    """One row of each group stays: that of the smallest id (null last), of several the one of the smallest hash.
+
+    Only ids, fingerprints and two hashes of each row are grouped; the rows
+    themselves move once, to meet the hashes of those that stay.
+    """
+    comparable = [F.to_json(quoted(f.name)) if "map<" in f.dataType.simpleString() else quoted(f.name) for f in docs.schema.fields]
+    first, second = free_name(docs, "__row"), free_name(docs, "__row2")
+    hashes = [F.xxhash64(*comparable).alias(first), F.xxhash64(F.lit(1), *comparable).alias(second)]
+    each = cut(docs.select(quoted(id_col).alias("id"), fingerprint(quoted(text_col), shingle).alias("fp"), *hashes))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", first, second)).alias("best")
+    stays = _grouped(each, distance, full_bucket).groupBy("root").agg(best).select(f"best.{first}", f"best.{second}")
+    # equal rows have equal hashes, and one of them is enough
+    met = docs.select("*", *hashes).join(stays, [first, second])
+    return met.dropDuplicates([first, second]).select([quoted(c) for c in docs.columns])
 
 
 def hex_digits(fp: Column) -> Column:
