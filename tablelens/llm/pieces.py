@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.merges import Borders, merge_all
 
 MARK = "▁"
-SEGMENTS_REMEMBERED = 500_000
+SEGMENTS_REMEMBERED = 250_000
 #: Segments longer than this are relaxed edge by edge, the others side by side.
 SIDE_BY_SIDE = 48
 #: Characters indexed at a time.
@@ -40,6 +40,18 @@ INDEX_CHARS = 1 << 19
 CACHE_BITS = 20
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places in order of their key, keys in order, distinct keys, rank of each place)."""
+    places = np.argsort(key)
+    ordered = key[places]
+    first = np.empty(len(key), bool)
+    first[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    rank = np.empty(len(key), np.uint64)
+    rank[places] = np.cumsum(first) - 1
+    return places, ordered, ordered[first], rank
+
+
 class PieceCoder:
     """Encodes and decodes with one model file."""
 
@@ -125,6 +137,7 @@ class PieceCoder:
         self.cache_keys = np.full(1 << CACHE_BITS, -1, np.int64)
         self.cache_values = np.zeros(1 << CACHE_BITS, bool)
         self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # the index
 
@@ -137,10 +150,6 @@ class PieceCoder:
         key = np.zeros(size, np.uint64)
         for k in range(4):
             key |= wide[k:k + size] << np.uint64(16 * (3 - k))
-        first = self.piece_letters[:, :4]
-        low = np.zeros(len(first), np.uint64)
-        for k in range(4):
-            low |= first[:, k] << np.uint64(16 * (3 - k))
         columns = [(self.piece_letters[:, at:at + 4]) for at in range(0, self.width, 4)]
         blocks = []
         for at, block in enumerate(columns):
@@ -149,26 +158,21 @@ class PieceCoder:
                 packed |= block[:, k] << np.uint64(16 * (3 - k))
             filled = np.clip(self.piece_sizes - 4 * at, 0, 4)
             blocks.append((packed, filled))
-        suffixes = np.argsort(key, kind="stable")
-        ordered = key[suffixes]
+        suffixes, ordered, distinct, rank = _ranked(key)
         # of each block of four letters of each piece: the ranks that begin with it
-        distinct = np.unique(ordered)
         spans = []
         for packed, filled in blocks:
             step = np.where(filled > 0, np.uint64(1) << (16 * (4 - np.maximum(filled, 1))).astype(np.uint64), 0).astype(np.uint64)
             begin = np.searchsorted(distinct, packed)
             end = np.where(filled > 0, np.searchsorted(distinct, packed + step), len(distinct))
             spans.append((np.where(filled > 0, begin, 0), end))
-        rank = np.searchsorted(distinct, key).astype(np.uint64)
         reach = 4
         while reach < self.width:
             # twice the letters: pairs of ranks
             after = np.zeros(size, np.uint64)
             after[:size - reach] = rank[reach:]
             key = rank << np.uint64(32) | after
-            suffixes = np.argsort(key, kind="stable")
-            ordered = key[suffixes]
-            distinct = np.unique(ordered)
+            suffixes, ordered, distinct, rank = _ranked(key)
             doubled = []
             for (a, b), (c, d) in zip(spans[::2], spans[1::2], strict=True):
                 # a block that is not full decides alone; after a full one, the next block narrows its rank
@@ -179,7 +183,6 @@ class PieceCoder:
                 begin, end = np.searchsorted(distinct, start), np.searchsorted(distinct, stop)
                 doubled.append((begin, np.where(missing, begin, end)))
             spans = doubled
-            rank = np.searchsorted(distinct, key).astype(np.uint64)
             reach *= 2
         begin, end = spans[0]
         found = end > begin
@@ -301,8 +304,15 @@ class PieceCoder:
         split = re.compile(" +[^ ]*").findall
         cut = [split(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self.segments) >= SEGMENTS_REMEMBERED:
-            self.segments.clear()
-        new = list({s: None for segments in cut for s in segments if s not in self.segments})
+            # what is not met again until the next turn is forgotten
+            self.older, self.segments = self.segments, {}
+        new = []
+        for segment in {s for segments in cut for s in segments}.difference(self.segments):
+            known = self.older.get(segment)
+            if known is None:
+                new.append(segment)
+            else:
+                self.segments[segment] = known
         at = 0
         while at < len(new):
             end, chars = at, 0
@@ -328,7 +338,7 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
-def _texts(values: pa.Array, most_chars: int = 8 << 20) -> Iterable[list[str]]:
+def _texts(values: pa.Array, most_chars: int = 4 << 20) -> Iterable[list[str]]:
     """Texts in lists of bounded size."""
     held, chars = [], 0
     for value in values:
