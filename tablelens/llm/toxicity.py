@@ -49,7 +49,7 @@ TAIL = b"~and-a-tail-behind-it~"
 WINDOW_BYTES = 64
 #: Distances from which a window counts as found.
 THRESHOLDS = (3, 5)
-WORDS_REMEMBERED = 400_000
+WORDS_REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
