@@ -37,7 +37,7 @@ DATE_FORMATS = [
     ("day_dot", "substr({t}, -5, 1) = '.'", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", "$3-$2-$1"),
     ("day_name", "substr({t}, -5, 1) = ' '", r"^([0-9]{1,2}) ([A-Z][a-z]{2}) ([0-9]{4})$", "$3-$2-$1"),
     ("name_day", "substr({t}, -6, 1) = ','", r"^([A-Z][a-z]{2}) ([0-9]{1,2}), ([0-9]{4})$", "$3-$1-$2"),
-    ("short_year", "substr({t}, -3, 1) = '/'", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", "20$3-$1-$2"),
+    ("short_year", "substr({t}, -3, 1) = '/'", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", "$3-$1-$2"),
 ]
 # The same for the value shapes: a test every match passes.
 _CHEAP_SHAPE_TESTS = {
@@ -89,6 +89,8 @@ def _iso_sql(text: str, name: str, guard: str, rewrite: str | None) -> str:
         # a name that is no month gives month 0 or a fraction, which no date has
         month = f"((position(substr({iso}, 6, 3), '{_MONTHS}') + 2) / 3)"
         return f"concat(substr({iso}, 1, 5), if({month} % 1 = 0, int({month}), 0), substr({iso}, 9))"
+    if name == "short_year":
+        return f"concat(if(substr({text}, -2) >= '69', '19', '20'), {iso})"
     return iso
 
 

@@ -10,13 +10,12 @@ from tablelens.functions.text import as_text, quoted
 
 
 def _row_key(df: DataFrame, name: str) -> Column:
-    """A column as grouping key: long text by digest, nested values as text."""
+    """A column as grouping key: texts and bytes by digest, nested values by that of their text."""
     dtype = df.schema[name].dataType
-    if isinstance(dtype, T.StringType):
-        value = F.col(quoted(name))
-        return F.when(F.octet_length(value) > 64, F.sha2(value, 256)).otherwise(value)
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.unhex(F.sha2(F.col(quoted(name)).cast("binary"), 256))
     if isinstance(dtype, (T.MapType, T.ArrayType, T.StructType)):
-        return F.sha2(F.to_json(F.col(quoted(name))), 256)
+        return F.unhex(F.sha2(F.to_json(F.col(quoted(name))), 256))
     return F.col(quoted(name))
 
 

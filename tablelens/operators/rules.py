@@ -201,14 +201,22 @@ def _finished(counted: DataFrame, dataset: str) -> DataFrame:
     )
 
 
-def review_suggestions(suggestions: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+def review_suggestions(suggestions: DataFrame, reviews: DataFrame, order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply ``(suggestion_id, action, comment)`` to suggestions.
 
-    Only a proposed suggestion can be approved or rejected.  Returns the
-    suggestions after review and the transitions refused.
+    Only a proposed suggestion can be approved or rejected.  Of several reviews
+    of one suggestion the first in ``order_by`` (a column such as their time;
+    ties and no such column: by action, then comment) decides and the others are
+    refused.  Returns the suggestions after review and the transitions refused.
     """
-    joined = suggestions.join(reviews, "suggestion_id", "left")
-    allowed = (F.col("status") == "proposed") & F.col("action").isin("approve", "reject")
+    allowed = F.col("action").isin("approve", "reject")
+    place = F.struct(*([F.col(order_by)] if order_by else []), F.col("action"), F.col("comment"))
+    # equal reviews are one row with their number; the first review is a minimum, merged before the shuffle
+    reviews = reviews.groupBy("suggestion_id", "action", "comment", place.alias("place")).agg(F.count(F.lit(1)).alias("times"))
+    first = reviews.where(allowed).groupBy("suggestion_id").agg(F.min("place").alias("place"))
+    first = first.select("suggestion_id", "place", F.col("place.action").alias("action"), F.col("place.comment").alias("comment"))
+    joined = suggestions.join(first, "suggestion_id", "left")
+    allowed = (F.col("status") == "proposed") & allowed
     new = F.when(F.col("action") == "approve", "approved").otherwise("rejected")
     reviewed = joined.select(
         *[c for c in suggestions.columns if c != "status"],
@@ -216,9 +224,16 @@ def review_suggestions(suggestions: DataFrame, reviews: DataFrame) -> tuple[Data
         F.when(allowed & (F.col("action") == "approve"), F.col("comment")).alias("comment"),
         F.when(allowed & (F.col("action") == "reject"), F.col("comment")).alias("rejection_reason"),
     )
-    refused = joined.where(F.col("action").isNotNull() & ~F.coalesce(allowed, F.lit(False))).select(
-        "suggestion_id", "status", "action", F.lit("INVALID_RULE_TRANSITION").alias("code"))
+    reviewed_at = first.select("suggestion_id", F.col("place").alias("decisive"))
+    both = suggestions.select("suggestion_id", "status").join(reviews, "suggestion_id").join(reviewed_at, "suggestion_id", "left")
+    applied = F.coalesce((F.col("status") == "proposed") & (F.col("place") == F.col("decisive")), F.lit(False))
+    over = F.explode(F.array_repeat(F.lit(1), (F.col("times") - applied.cast("int")).cast("int")))
+    # after the decision the suggestion is no longer proposed
+    decided = F.when(F.col("decisive.action") == "approve", "approved").when(F.col("decisive.action") == "reject", "rejected")
+    status = F.when(F.col("status") == "proposed", F.coalesce(decided, F.col("status"))).otherwise(F.col("status"))
+    refused = both.where("action IS NOT NULL").select(
+        "suggestion_id", status.alias("status"), "action", F.lit("INVALID_RULE_TRANSITION").alias("code"), over.alias("n")).drop("n")
     missing = reviews.join(suggestions, "suggestion_id", "left_anti").select(
         "suggestion_id", F.lit(None).cast("string").alias("status"), "action",
-        F.lit("RULE_SUGGESTION_NOT_FOUND").alias("code"))
+        F.lit("RULE_SUGGESTION_NOT_FOUND").alias("code"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("n")).drop("n")
     return reviewed, refused.unionByName(missing)

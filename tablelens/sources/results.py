@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,19 @@ STATUS_ORDER = ["pending", "processing", "completed", "failed"]
 
 
 def write_result(df: DataFrame, root: str, table: str, run_id: str, extra_partitions: list[str] | None = None) -> None:
-    """Append the rows of one run to a result table."""
+    """Write the rows of one run to a result table; a run written again replaces its rows.
+
+    Status rows are the exception: they add up.
+    """
     if table not in TABLES:
         raise ValueError(f"unknown result table {table}")
     if table == "quality_assessments":
         df = df.withColumn("display_score", F.round(F.col("score") * 100, 2))
-    tagged = df.withColumn("run_id", F.lit(run_id))
-    tagged.write.mode("append").partitionBy("run_id", *(extra_partitions or [])).parquet(f"{root}/{table}")
+    # the folder as Spark itself names a partition
+    folder = f"{root}/{table}/run_id=" + re.sub(r"[^\w .-]", lambda c: f"%{ord(c[0]):02X}", run_id)
+    # the folder of a run is replaced whole, with partitions that this writing no longer has
+    writer = df.drop("run_id").write.mode("append" if table == "runs" else "overwrite")
+    (writer.partitionBy(*extra_partitions) if extra_partitions else writer).parquet(folder)
 
 
 def read_result(spark: SparkSession, root: str, table: str, run_id: str | None = None) -> DataFrame:
@@ -43,15 +51,15 @@ def record_status(spark: SparkSession, root: str, run_id: str, status: str, doma
         F.lit(column_count).cast("int").alias("column_count"),
         F.lit(secondary_domain).cast("string").alias("secondary_domain"),
         F.lit(error_code).cast("string").alias("error_code"),
-        F.lit(error_message[:1000] if error_message else None).cast("string").alias("error_message"),
+        F.lit(error_message).cast("string").alias("error_message"),
     )
     write_result(row, root, "runs", run_id)
 
 
 def run_states(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
-    """The latest status row of every run."""
+    """The newest status row of every run; of rows of one instant, the later step."""
     rows = read_result(spark, root, "runs", run_id)
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c != "run_id"]), F.struct("step", "at")).alias("r")
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c != "run_id"]), F.struct("at", "step")).alias("r")
     return rows.groupBy("run_id").agg(newest).select("run_id", "r.*")
 
 

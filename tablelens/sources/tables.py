@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.config.domains import supported_domains
-from tablelens.config.fixed_values import MAX_FILE_MB
 from tablelens.errors import ProfileError
 from tablelens.functions.text import null_if_missing, quoted
 
 FORMATS = ("csv", "parquet", "orc", "json")
 
 
-def read_csv(spark: SparkSession, path, sep: str = ",", encoding: str = "UTF-8", **options) -> DataFrame:
-    """A CSV with header; every column a string, missing tokens null."""
+def read_csv(spark: SparkSession, path, sep: str = ",", encoding: str = "UTF-8", multiLine: bool = False, **options) -> DataFrame:
+    """A CSV with header; every column a string, missing tokens null.
+
+    Files are split over many tasks.  With ``multiLine`` values may hold line
+    breaks, and each file is read by one task.
+    """
     df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding, quote='"', escape='"',
-                        multiLine=True, **options)
+                        multiLine=multiLine, **options)
     return missing_to_null(df)
 
 
@@ -30,25 +33,27 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_table(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
-    """Any supported format by name or file extension."""
+def read_table(spark: SparkSession, path: str, format: str | None = None, max_mb: float | None = None, **options) -> DataFrame:
+    """Any supported format by name or file extension; with ``max_mb`` no file may be empty or larger."""
     chosen = format or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if chosen == "table":
         return spark.table(path)
     if chosen not in FORMATS:
         raise ProfileError("UNSUPPORTED_FILE_TYPE", f"cannot read {chosen!r}", {"allowed": list(FORMATS) + ["table"]})
+    if max_mb is not None:
+        check_file_sizes(spark, path, max_mb)
     if chosen == "csv":
         return read_csv(spark, path, **options)
     return spark.read.format(chosen).options(**options).load(path)
 
 
-def check_file_sizes(spark: SparkSession, path: str, max_mb: float = MAX_FILE_MB) -> None:
-    """Refuse empty and oversized files; reads file listings only."""
+def check_file_sizes(spark: SparkSession, path: str, max_mb: float | None = None) -> None:
+    """Refuse empty files, and files over a limit where one is set; reads file listings only."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     worst = files.agg(F.min("length").alias("smallest"), F.max("length").alias("largest")).first()
     if not worst["smallest"]:
         raise ProfileError("EMPTY_FILE", "a file is empty", {"path": path})
-    if worst["largest"] > max_mb * 1024 * 1024:
+    if max_mb is not None and worst["largest"] > max_mb * 1024 * 1024:
         raise ProfileError("FILE_SIZE_EXCEEDED", "a file is larger than the limit",
                            {"actual_bytes": worst["largest"], "maximum_bytes": int(max_mb * 1024 * 1024)})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from tablelens.errors import ProfileError
 from tablelens.operators import charts, cubes, hierarchy, quality, rules
 from tablelens.plans.run import run
-from tablelens.sources.results import list_suggestions, read_result, run_states
+from tablelens.sources.results import list_suggestions, read_result, record_status, run_states, write_result
 from tablelens.sources.tables import check_domain, check_file_sizes, check_table, read_csv, read_table
 
 
@@ -74,6 +75,59 @@ def test_review(spark):
     assert list_suggestions(reviewed, status="approved").count() == 2
 
 
+def test_first_review_decides(spark):
+    suggestions = spark.createDataFrame([(1, "proposed"), (2, "proposed")], "suggestion_id int, status string")
+    reviews = spark.createDataFrame(
+        [(1, "approve", "late", 5), (1, "reject", "early", 3), (2, "undo", "no such", 1), (2, "approve", "yes", 2),
+         (2, "approve", "yes", 2)], "suggestion_id int, action string, comment string, at int")
+    reviewed, refused = rules.review_suggestions(suggestions, reviews, "at")
+    assert {(r.suggestion_id, r.status, r.comment, r.rejection_reason) for r in reviewed.collect()} == {
+        (1, "rejected", None, "early"), (2, "approved", "yes", None)}
+    assert sorted((r.suggestion_id, r.status, r.action) for r in refused.collect()) == [
+        (1, "rejected", "approve"), (2, "approved", "approve"), (2, "approved", "undo")]
+
+
+def test_two_digit_years(spark):
+    from tablelens.functions.parsing import timestamp
+
+    df = spark.createDataFrame([("12/31/99",), ("1/2/69",), ("1/2/68",)], "t string")
+    assert [str(r.d) for r in df.select(timestamp("t").cast("date").alias("d")).collect()] == ["1999-12-31", "1969-01-02", "2068-01-02"]
+
+
+def test_a_digest_is_no_copy_of_its_text(spark):
+    from tablelens.operators.dataset import duplicate_rows
+
+    text = "x" * 100
+    df = spark.createDataFrame([(text,), (hashlib.sha256(text.encode()).hexdigest(),)], "t string")
+    assert duplicate_rows(df).first().duplicate_row_count == 0
+
+
+def test_newest_state_and_rewritten_rows(spark):
+    root = tempfile.mkdtemp(prefix="tablelens-test-")
+    for status in ("processing", "failed", "processing", "completed"):
+        record_status(spark, root, "r1", status, "Payments", error_message="e" * 3000 if status == "failed" else None)
+    assert run_states(spark, root, "r1").first().status == "completed"
+    failed = read_result(spark, root, "runs").where("status = 'failed'").first()
+    assert len(failed.error_message) == 3000
+    for _ in range(2):
+        write_result(spark.range(3), root, "column_profiles", "r1")
+        write_result(spark.range(2), root, "column_profiles", "r2")
+    assert read_result(spark, root, "column_profiles").groupBy("run_id").count().orderBy("run_id").collect() == [("r1", 3), ("r2", 2)]
+
+
+def test_csv_is_split(spark):
+    path = f"{tempfile.mkdtemp(prefix='tablelens-test-')}/long.csv"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("id,note\n" + "".join(f"{i},some text of a line\n" for i in range(20000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = read_csv(spark, path)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_overall_score_skips_what_is_unknown(spark):
     dims = spark.createDataFrame(
         [("d", 1, "completeness", 1.0, "assessed"), ("d", 3, "validity", 0.5, "assessed"), ("d", 9, "accuracy", None, "not_assessable")],
@@ -159,11 +213,13 @@ def test_csv_and_guards(spark):
     path = f"{folder}/in.csv"
     with open(path, "w", encoding="utf-8") as f:
         f.write('id;note\n1;"a;b"\n2;N/A\n3;""\nNULL;"two\nlines"\n')
-    df = read_csv(spark, path, sep=";")
+    df = read_csv(spark, path, sep=";", multiLine=True)
     assert {(r.id, r.note) for r in df.collect()} == {("1", "a;b"), ("2", None), ("3", None), (None, "two\nlines")}
     check_file_sizes(spark, path)
     with pytest.raises(ProfileError, match="FILE_SIZE_EXCEEDED"):
         check_file_sizes(spark, path, max_mb=1e-6)
+    with pytest.raises(ProfileError, match="FILE_SIZE_EXCEEDED"):
+        read_table(spark, path, max_mb=1e-6, sep=";")
     with pytest.raises(ProfileError, match="UNSUPPORTED_FILE_TYPE"):
         read_table(spark, "x.xlsx")
     with pytest.raises(ProfileError, match="NO_DATA_ROWS"):
