@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import caps, language_model, licenses, mixing, pieces, quality, simhash, token_counts, toxicity, url_rules
+from tablelens.llm import (
+    caps,
+    fill_middle,
+    hard_negatives,
+    language_model,
+    licenses,
+    mixing,
+    pieces,
+    quality,
+    secrets,
+    simhash,
+    token_counts,
+    toxicity,
+    url_rules,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -196,6 +210,75 @@ FROM (SELECT doc_id, {_canonical_sql('text')} AS license_digest FROM documents)
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = hard_negatives.hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+OP11_SQL = """
+WITH r AS (
+    SELECT row_number() OVER () AS row_id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+    SELECT a.row_id AS anchor, a.vec_id AS anchor_id, b.row_id, b.vec_id, a.label = b.label AS same,
+           list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM r AS a JOIN r AS b ON a.row_id != b.row_id AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 50 = 0),
+p AS (
+    SELECT anchor, anchor_id, row_id, vec_id, score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row_id) <= 5),
+n AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+           (row_number() OVER (PARTITION BY p.anchor, p.row_id ORDER BY s.score DESC, s.vec_id, s.row_id))::INTEGER AS rank
+    FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op12_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "documents").select("doc_id", secrets.secret_spans(F.col("text")).alias("found"))
+    spans = F.col("found")
+    counts = [secrets.of_kind(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(secrets.strong_only(spans)), 256).alias("base_sha256"),
+                        secrets.listed(spans).alias("spans"))
+
+
+def op13_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = table(spark, sf, "documents").select("doc_id", fill_middle.fill_middle(F.col("text"), F.col("doc_id")).alias("m"))
+    back = fill_middle.restored(F.col("m.output"), F.col("m.form"))
+    return made.select("doc_id", "m.n", "m.form", "m.prefix_chars", "m.middle_chars",
+                       F.sha2("m.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+           sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest
+    FROM documents),
+h AS (
+    SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || digest[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || digest[9:16])::BIGINT % (len(u) + 1) AS y,
+           ('0x' || digest[17:24])::BIGINT % 100 AS z, ('0x' || digest[25:32])::BIGINT % 100 AS w
+    FROM d),
+c AS (
+    SELECT doc_id, text, n, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+           array_to_string(u[greatest(x, y) + 1:], '') AS s,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR z >= 90 THEN 'plain'
+                WHEN w < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM h)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN form != 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -208,8 +291,12 @@ def all_queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_licenses": op10_licenses,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_secrets": op12_secrets,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op8_quality": OP8_SQL, "op9_mixing": OP9_SQL, "op10_licenses": op10_sql()}
+    return {"op8_quality": OP8_SQL, "op9_mixing": OP9_SQL, "op10_licenses": op10_sql(),
+            "op11_hard_negatives": OP11_SQL, "op13_fill_middle": OP13_SQL}
