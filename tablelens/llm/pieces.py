@@ -20,6 +20,7 @@ extra columns do no harm.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -32,12 +33,17 @@ from pyspark.sql import functions as F
 from tablelens.llm.merges import Borders, merge_all
 
 MARK = "▁"
-SEGMENTS_REMEMBERED = 250_000
+#: Bytes of encoded segments a worker remembers, in each of two generations; longer segments are not kept.
+REMEMBERED_BYTES = 32 << 20
+REMEMBERED_CHARS = 64
 #: Segments longer than this are relaxed edge by edge, the others side by side.
 SIDE_BY_SIDE = 48
 #: Characters indexed at a time.
 INDEX_CHARS = 1 << 19
+#: Characters of text encoded at a time (a longer text goes alone).
+TEXT_CHARS = 2 << 20
 CACHE_BITS = 20
+BORDERS_REMEMBERED = 50_000
 
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +120,8 @@ class PieceCoder:
             token = joined(a, b)
             return None if token is None else order_of[token]
 
-        self.borders = Borders(parts, order, merge_order)
+        # the array of answers below is asked first
+        self.borders = Borders(parts, order, merge_order, BORDERS_REMEMBERED)
         self.alphabet = np.zeros(0x110000, np.uint16)
         self.alphabet[:] = len(letters) + 1
         for k, c in enumerate(letters):
@@ -138,6 +145,7 @@ class PieceCoder:
         self.cache_values = np.zeros(1 << CACHE_BITS, bool)
         self.segments: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.room = REMEMBERED_BYTES
 
     # the index
 
@@ -211,8 +219,8 @@ class PieceCoder:
             self.cache_values[slot[missed]] = answers[where]
         return out
 
-    def _encode_new(self, segments: list[str]) -> None:
-        """Encode distinct segments and remember them."""
+    def _encode_new(self, segments: list[str]) -> list[bytes]:
+        """Encode distinct segments."""
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
         begins = np.concatenate(([0], np.cumsum(lengths + 1)))
@@ -247,7 +255,7 @@ class PieceCoder:
             inner = np.flatnonzero(~fits)
             fits[inner] = self._stay(last[s[inner]], t[inner])
             last[e[fits]] = t[fits]
-        self._read_back(segments, begins, ends, last, codes, np.concatenate(([0], np.cumsum(lengths))))
+        return self._read_back(segments, begins, ends, last)
 
     def _relax_long(self, starts, stops, tokens, last, openings: set[int]) -> None:
         order = np.argsort(stops, kind="stable")
@@ -256,7 +264,7 @@ class PieceCoder:
             if s in openings or stays(int(last[s]), t):
                 last[e] = t
 
-    def _read_back(self, segments, begins, ends, last, codes, first_code) -> None:
+    def _read_back(self, segments, begins, ends, last) -> list[bytes]:
         """Pieces of each segment, from its end to its beginning."""
         here, active = ends.copy(), np.arange(len(segments))
         active = active[here > begins[:-1]]
@@ -279,11 +287,8 @@ class PieceCoder:
         strange = set(row[piece >= len(self.text)].tolist())
         piece = piece.astype(np.int32)
         raw = piece.tobytes()
-        for i, segment in enumerate(segments):
-            if i in strange:
-                self.segments[segment] = self._with_bytes(piece[cuts[i]:cuts[i + 1]], segment)
-            else:
-                self.segments[segment] = raw[4 * cuts[i]:4 * cuts[i + 1]]
+        return [self._with_bytes(piece[a:b], segments[i]) if i in strange else raw[4 * a:4 * b]
+                for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
     def _with_bytes(self, pieces: np.ndarray, segment: str) -> bytes:
         """Bytes in place of letters without a piece."""
@@ -303,26 +308,38 @@ class PieceCoder:
         """Piece ids of each text, as bytes of 32-bit integers."""
         split = re.compile(" +[^ ]*").findall
         cut = [split(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        if len(self.segments) >= SEGMENTS_REMEMBERED:
-            # what is not met again until the next turn is forgotten
-            self.older, self.segments = self.segments, {}
-        new = []
-        for segment in {s for segments in cut for s in segments}.difference(self.segments):
-            known = self.older.get(segment)
-            if known is None:
-                new.append(segment)
-            else:
-                self.segments[segment] = known
+        known, new = {}, []
+        for segment in {s for segments in cut for s in segments}:
+            pieces = self.segments.get(segment)
+            if pieces is None:
+                pieces = self.older.get(segment)
+                if pieces is None:
+                    new.append(segment)
+                    continue
+                self._remember(segment, pieces)
+            known[segment] = pieces
         at = 0
         while at < len(new):
             end, chars = at, 0
             while end < len(new) and (chars == 0 or chars + len(new[end]) <= INDEX_CHARS):
                 chars += len(new[end]) + 1
                 end += 1
-            self._encode_new(new[at:end])
+            for segment, pieces in zip(new[at:end], self._encode_new(new[at:end]), strict=True):
+                known[segment] = pieces
+                self._remember(segment, pieces)
             at = end
-        known = self.segments.__getitem__
-        return [b"".join(map(known, segments)) for segments in cut]
+        found = known.__getitem__
+        return [b"".join(map(found, segments)) for segments in cut]
+
+    def _remember(self, segment: str, pieces: bytes) -> None:
+        """Keep a segment; when there is no more room, what is not met again until the next time is forgotten."""
+        if len(segment) > REMEMBERED_CHARS:
+            return
+        # both values and their place in the table
+        self.room -= sys.getsizeof(segment) + sys.getsizeof(pieces) + 100
+        if self.room < 0:
+            self.older, self.segments, self.room = self.segments, {}, REMEMBERED_BYTES
+        self.segments[segment] = pieces
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids."""
@@ -338,7 +355,7 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
-def _texts(values: pa.Array, most_chars: int = 4 << 20) -> Iterable[list[str]]:
+def _texts(values: pa.Array, most_chars: int = TEXT_CHARS) -> Iterable[list[str]]:
     """Texts in lists of bounded size."""
     held, chars = [], 0
     for value in values:
@@ -352,14 +369,43 @@ def _texts(values: pa.Array, most_chars: int = 4 << 20) -> Iterable[list[str]]:
         yield held
 
 
+def _listed(encoded: list[bytes]) -> pa.ListArray:
+    """Arrays of ids of texts, from their bytes."""
+    offsets = np.concatenate(([0], np.cumsum([len(e) // 4 for e in encoded]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+
+
 def piece_ids(text: Column, path: str) -> Column:
     """Piece ids of a text, by the model at a path that all executors have."""
 
     @F.arrow_udf("array<int>")
     def of(values: pa.Array) -> pa.Array:
-        encoded = [e for some in _texts(values) for e in coder(path).encode(some)]
-        offsets = np.concatenate(([0], np.cumsum([len(e) // 4 for e in encoded]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+        # arrays of a few texts at a time, so that ids are held once and not twice
+        parts = [_listed(coder(path).encode(some)) for some in _texts(values)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    return of(text)
+
+
+_CODED = pa.struct([("piece_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+
+
+def coded(text: Column, path: str) -> Column:
+    """Struct of piece_ids and round_trip: whether decoding them gives the text back.
+
+    Texts are encoded and decoded in one call.  As two columns, the ids that
+    decoding starts from would be computed once more.  A mark for a space in the
+    text counts as the space it decodes to.
+    """
+
+    @F.arrow_udf("struct<piece_ids: array<int>, round_trip: boolean>")
+    def of(values: pa.Array) -> pa.Array:
+        own, parts = coder(path), []
+        for some in _texts(values):
+            encoded = own.encode(some)
+            same = [own.decode(np.frombuffer(e, np.int32).tolist()) == t.replace(MARK, " ") for e, t in zip(encoded, some, strict=True)]
+            parts.append(pa.StructArray.from_arrays([_listed(encoded), pa.array(same, pa.bool_())], fields=list(_CODED)))
+        return pa.concat_arrays(parts) if parts else pa.array([], _CODED)
 
     return of(text)
 
