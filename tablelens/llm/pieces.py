@@ -41,7 +41,7 @@ SIDE_BY_SIDE = 48
 #: Characters indexed at a time.
 INDEX_CHARS = 1 << 19
 #: Characters of text encoded at a time (a longer text goes alone).
-TEXT_CHARS = 2 << 20
+TEXT_CHARS = 1 << 20
 CACHE_BITS = 20
 BORDERS_REMEMBERED = 50_000
 

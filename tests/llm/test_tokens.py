@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablelens.llm.pieces import coder, decoded, piece_ids
+from tablelens.llm.pieces import coded, coder, decoded, piece_ids
 from tablelens.llm.token_counts import bytes_within, counter, token_count
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -67,10 +67,23 @@ def test_pieces_equal_the_library():
         assert own.decode(ids) == text.replace("▁", " ")
 
 
+def test_forgetting_changes_nothing(monkeypatch):
+    from tablelens.llm import pieces
+
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 2000)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceCoder(PIECES)
+    own.room = 0
+    some = texts(400, 5)
+    for at in range(0, len(some), 7):
+        got = own.encode(some[at:at + 7])
+        assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode(t) for t in some[at:at + 7]]
+    assert len(own.segments) < 40
+
+
 def test_odd_rows(spark, odd_rows):
     df = spark.createDataFrame([(*r, "x") for r in odd_rows], "doc_id long, text string, n_tokens string")
     got = df.select("text", token_count(F.col("text"), WORDS).alias("n"), bytes_within(F.col("text"), WORDS, 5).alias("b"),
-                    piece_ids(F.col("text"), PIECES).alias("ids"))
+                    piece_ids(F.col("text"), PIECES).alias("ids"), coded(F.col("text"), PIECES).alias("c"))
     got = got.withColumn("back", decoded(F.col("ids"), PIECES)).collect()
     words, pieces = Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     assert len(got) == len(odd_rows)
@@ -80,5 +93,6 @@ def test_odd_rows(spark, odd_rows):
         assert r["b"] <= len(text.encode())
         assert r["ids"] == pieces.encode(text)
         assert r["back"] == text.replace("▁", " ")
+        assert r["c"]["piece_ids"] == r["ids"] and r["c"]["round_trip"]
     empty = spark.createDataFrame([], "text string")
     assert empty.select(token_count(F.col("text"), WORDS), piece_ids(F.col("text"), PIECES)).collect() == []
