@@ -44,9 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and whether decoding gives its text back."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = docs.select("doc_id", "lang", "source", "text", pieces.piece_ids(F.col("text"), path).alias("piece_ids"))
-    same = pieces.decoded(F.col("piece_ids"), path) == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
-    return encoded.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip"))
+    done = docs.select("doc_id", "lang", "source", pieces.coded(F.col("text"), path).alias("c"))
+    return done.select("doc_id", "lang", "source", F.size("c.piece_ids").cast("long").alias("n_pieces"), "c.piece_ids", "c.round_trip")
 
 
 STAGES = [
