@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -60,6 +62,19 @@ def raw_bytes(values: pa.Array) -> Iterable[bytes]:
     return (v.as_py() or b"" for v in values)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system.
+
+    Workers live on between stages; what the allocators of Arrow and C keep for
+    later would add up to the memory of all stages.
+    """
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected links: (node, component), component the smallest node.
 

@@ -30,6 +30,7 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablelens.llm.common import give_back
 from tablelens.llm.merges import Borders, merge_all
 
 MARK = "▁"
@@ -382,6 +383,7 @@ def piece_ids(text: Column, path: str) -> Column:
     def of(values: pa.Array) -> pa.Array:
         # arrays of a few texts at a time, so that ids are held once and not twice
         parts = [_listed(coder(path).encode(some)) for some in _texts(values)]
+        give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return of(text)
@@ -405,6 +407,7 @@ def coded(text: Column, path: str) -> Column:
             encoded = own.encode(some)
             same = [own.decode(np.frombuffer(e, np.int32).tolist()) == t.replace(MARK, " ") for e, t in zip(encoded, some, strict=True)]
             parts.append(pa.StructArray.from_arrays([_listed(encoded), pa.array(same, pa.bool_())], fields=list(_CODED)))
+        give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], _CODED)
 
     return of(text)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import components, cut, free_name, quoted, raw_bytes
+from tablelens.llm.common import components, cut, free_name, give_back, quoted, raw_bytes
 
 HASH_SEED = 42
 #: Shingles hashed at a time: bounds memory for texts of any length.
@@ -67,7 +67,9 @@ def fingerprint(text: Column, size: int) -> Column:
 
     @F.arrow_udf("long")
     def of(values: pa.Array) -> pa.Array:
-        return pa.array((simhash(v, size) for v in raw_bytes(values)), pa.int64(), size=len(values))
+        found = pa.array((simhash(v, size) for v in raw_bytes(values)), pa.int64(), size=len(values))
+        give_back()
+        return found
 
     return of(text.cast("binary"))
 

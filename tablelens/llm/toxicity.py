@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import cut, quoted, raw_bytes
+from tablelens.llm.common import cut, give_back, quoted, raw_bytes
 
 #: Bounds of what training collects.
 PER_CLASS = 4000
@@ -128,7 +128,9 @@ def score(text: Column, model: Model) -> Column:
         if not model.weights:
             return pa.array([model.constant] * len(values), pa.float64())
         each = (_probability(features(v, model.ordinary, model.toxic), model) for v in raw_bytes(values))
-        return pa.array(each, pa.float64(), size=len(values))
+        scores = pa.array(each, pa.float64(), size=len(values))
+        give_back()
+        return scores
 
     return of(text.cast("binary"))
 
