@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablelens.config.domains import domain_config
 from tablelens.functions.text import duplicate_column_keys, unique_column_keys
 from tablelens.operators import categories, charts, cubes, dataset, hierarchy, labels, profile, quality, readiness, rules
-from tablelens.operators.frequencies import column_frequencies, column_names, with_full_text
+from tablelens.operators.frequencies import column_frequencies, column_names, first_values, text_cells
 from tablelens.sources.settle import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,9 +81,9 @@ def statistics_query(name: str) -> Query:
 
 
 def listed_values(df: DataFrame, by: str) -> DataFrame:
-    ranked = profile.ranked_values(column_frequencies(df), 10, by)
+    found = first_values(column_frequencies(df), text_cells(df), 10, (by,))
     names = column_names(df).select("pos", F.col("name").alias("physical_name"))
-    return with_full_text(ranked, df).join(F.broadcast(names), "pos").selectExpr(
+    return found.join(F.broadcast(names), "pos").selectExpr(
         "physical_name", "bigint(rn) AS position", "val AS value", "cnt AS occurrences")
 
 

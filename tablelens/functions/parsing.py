@@ -11,34 +11,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.config.fixed_values import BOOLEAN_WORDS, DETECTOR_PATTERNS, SHAPE_PATTERNS
+from tablelens.config.fixed_values import BOOLEAN_WORDS, DETECTOR_PATTERNS, MONTH_NAMES, SHAPE_PATTERNS
 from tablelens.functions.text import as_text_sql, is_numeric, quoted, sql_list, sql_string
 
 # Java's double parser also takes "1d" and "5f"; this guard does not.
 _NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
-_TIME = r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,9})?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
-_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+# A text is a date, or a date, a blank or T, and a time of the day.  How far the
+# time goes (not at all, to the minute, to the second) belongs to the format.
+_TIME = r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
+_DATED = rf"^([^:]+?)[ T]({_TIME})$"
+TIME_KINDS = 3
+_MONTH_NAME = "[A-Z][a-z]{2,8}"
 
-# Formats a date column can be written in: (name, cheap test, guard, rewrite to
-# ISO).  The cheap test spares most values the regular expression.  A rewrite
-# of None keeps the text, a string is a regular-expression replacement.
+# Ways to write a date: (name, cheap test, guard, year, month and day of the guard's groups, may a time follow).
+# The cheap test spares most values the regular expression.
 DATE_FORMATS = [
-    ("date", "char_length({t}) = 10 AND substr({t}, 5, 1) = '-'", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", None),
-    ("datetime", "substr({t}, 11, 1) = ' '", rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} {_TIME}$", None),
-    ("datetime_t", "substr({t}, 11, 1) = 'T'", rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}$", None),
-    ("minute", "char_length({t}) = 16", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}$", None),
-    ("year_slash", "substr({t}, 5, 1) = '/'", r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),
-    ("month_slash", "contains({t}, '/')", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2"),
-    ("month_dash", "contains({t}, '-')", r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", "$3-$1-$2"),
-    ("digits", "char_length({t}) = 8", r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
-    ("month_only", "char_length({t}) = 7", r"^[0-9]{4}-[0-9]{2}$", None),
-    ("year_only", "char_length({t}) = 4", r"^[0-9]{4}$", None),
-    ("day_dot", "substr({t}, -5, 1) = '.'", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", "$3-$2-$1"),
-    ("day_name", "substr({t}, -5, 1) = ' '", r"^([0-9]{1,2}) ([A-Z][a-z]{2}) ([0-9]{4})$", "$3-$2-$1"),
-    ("name_day", "substr({t}, -6, 1) = ','", r"^([A-Z][a-z]{2}) ([0-9]{1,2}), ([0-9]{4})$", "$3-$1-$2"),
-    ("short_year", "substr({t}, -3, 1) = '/'", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", "$3-$1-$2"),
+    ("year_dash", "char_length({d}) = 10 AND substr({d}, 5, 1) = '-'", "^([0-9]{4})-([0-9]{2})-([0-9]{2})$", "123", True),
+    ("year_slash", "substr({d}, 5, 1) = '/'", "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "123", True),
+    ("month_slash", "substr({d}, -5, 1) = '/'", "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "312", True),
+    ("month_dash", "substr({d}, -5, 1) = '-'", "^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", "312", True),
+    ("digits", "char_length({d}) = 8", "^([0-9]{4})([0-9]{2})([0-9]{2})$", "123", True),
+    ("month_only", "char_length({d}) = 7", "^([0-9]{4})-([0-9]{2})$", "12", False),
+    ("year_only", "char_length({d}) = 4", "^([0-9]{4})$", "1", False),
+    ("day_dot", "substr({d}, -5, 1) = '.'", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", "321", True),
+    ("day_name", "substr({d}, -5, 1) IN (' ', '-')", f"^([0-9]{{1,2}})[ -]({_MONTH_NAME})[ -]([0-9]{{4}})$", "321", True),
+    ("name_day", "substr({d}, -6, 1) = ','", f"^({_MONTH_NAME}) ([0-9]{{1,2}}), ([0-9]{{4}})$", "312", True),
+    ("short_year", "substr({d}, -3, 1) = '/'", "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", "312", True),
 ]
+_NAMED_MONTH = {"day_name", "name_day"}
+# Formats that do not tell whether the month or the day comes first: month first, unless only day first gives a date.
+_OPEN_ORDER = ["month_slash", "month_dash", "short_year"]
+_NAMES = [name for name, *_ in DATE_FORMATS]
+# No date is shorter than a year; none is longer than the longest date, a blank and the longest time.
+SHORTEST_DATE = 4
+LONGEST_DATE = len("30 September 2024") + 1 + len("10:00:00.123456789+00:00")
+
 # The same for the value shapes: a test every match passes.
 _CHEAP_SHAPE_TESTS = {
     "YYYY-MM-DD": "substr({t}, 5, 1) = '-'",
@@ -52,13 +60,12 @@ _CHEAP_SHAPE_TESTS = {
     "PHONE": "char_length({t}) >= 8",
     "DECIMAL_2DP": "contains({t}, '.')",
 }
-_NAMED_MONTH = {"day_name", "name_day"}
-# The day-first reading of the two formats above that do not tell the order.
-_DAY_FIRST = ("day_first", r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$", "$3-$2-$1")
 
 PATTERN_LABELS = [label for label, _ in SHAPE_PATTERNS]
 _DATE_BIT = len(SHAPE_PATTERNS)
-_BOOL_BIT = _DATE_BIT + len(DATE_FORMATS) + 1
+# one bit per format and time kind, then one per open order and time kind for its day-first reading
+_DAY_FIRST_BIT = _DATE_BIT + TIME_KINDS * len(DATE_FORMATS)
+_BOOL_BIT = _DAY_FIRST_BIT + TIME_KINDS * len(_OPEN_ORDER)
 FLAG_BITS = _BOOL_BIT + 1
 PATTERN_BITS = slice(0, _DATE_BIT)
 DATE_BITS = slice(_DATE_BIT, _BOOL_BIT)
@@ -81,59 +88,80 @@ def boolean_sql(text: str) -> str:
     return f"lower({_trimmed(text)}) IN {sql_list(BOOLEAN_WORDS)}"
 
 
-def _iso_sql(text: str, name: str, guard: str, rewrite: str | None) -> str:
-    if rewrite is None:
-        return text
-    iso = f"regexp_replace({text}, {sql_string(guard)}, {sql_string(rewrite)})"
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is computed once.
+
+    A higher-order function is not unrolled into generated code.  Together with
+    the statements around it the date formats would make a method beyond the
+    size the JVM compiles, which runs far slower than the lambda.
+    """
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _iso_sql(name: str, guard: str, order: str, day_first: bool = False) -> str:
+    """The date of a text ``p.d`` as year-month-day."""
+    year, month, day = (f"${order[i]}" if i < len(order) else "01" for i in range(3))
+    if day_first:
+        month, day = day, month
+    groups = f"regexp_replace(p.d, {sql_string(guard)}, {sql_string(f'{year}-{month}-{day}')})"
     if name in _NAMED_MONTH:
-        # a name that is no month gives month 0 or a fraction, which no date has
-        month = f"((position(substr({iso}, 6, 3), '{_MONTHS}') + 2) / 3)"
-        return f"concat(substr({iso}, 1, 5), if({month} % 1 = 0, int({month}), 0), substr({iso}, 9))"
+        # the name stands between two dashes; three letters of a month or all of it, else there is no such month
+        named = f"substring_index(substring_index({groups}, '-', 2), '-', -1)"
+        number = (f"CASE WHEN char_length({named}) = 3 OR array_contains(array{sql_list(MONTH_NAMES)}, {named}) "
+                  f"THEN array_position(transform(array{sql_list(MONTH_NAMES)}, m -> left(m, 3)), left({named}, 3)) ELSE 0 END")
+        return f"concat(left({groups}, 5), {number}, '-', substring_index({groups}, '-', -1))"
     if name == "short_year":
-        return f"concat(if(substr({text}, -2) >= '69', '19', '20'), {iso})"
-    return iso
+        # the century of two-digit years turns at 69
+        return f"concat(if(substr(p.d, -2) >= '69', '19', '20'), {groups})"
+    return groups
 
 
-def dated_sql(text: str) -> str:
-    """Two digits naming the date format, then the ISO form; else null."""
-    # no format is longer than an ISO datetime with zone, and all hold digits
-    branches = [
-        f"WHEN {cheap.format(t=text)} AND {text} RLIKE {sql_string(guard)} "
-        f"THEN concat('{i:02d}', {_iso_sql(text, name, guard, rewrite)})"
-        for i, (name, cheap, guard, rewrite) in enumerate(DATE_FORMATS)
-    ]
-    likely = f"char_length({text}) BETWEEN 4 AND 40"
-    return f"CASE WHEN {likely} THEN CASE {' '.join(branches)} END END"
+def _dated(readings: list[tuple[int, str, str, str, str, bool]]) -> str:
+    """The first of (bit, cheap test, guard, ISO form, ...) that a text ``p`` fits: struct of bit and ISO form."""
+    branches = " ".join(
+        f"WHEN {cheap.format(d='p.d')} AND p.d RLIKE {sql_string(guard)}{'' if timed else ' AND p.kind = 0'} "
+        f"THEN named_struct('bit', {bit} + p.kind, 'iso', concat({iso}, p.time))"
+        for bit, cheap, guard, iso, _, timed in readings
+    )
+    return f"CASE {branches} END"
 
 
-def dated_once_sql(text: str) -> str:
-    """``dated_sql`` inside a lambda.
+_FIRST = _dated([(_DATE_BIT + TIME_KINDS * i, cheap, guard, _iso_sql(name, guard, order), name, timed)
+                 for i, (name, cheap, guard, order, timed) in enumerate(DATE_FORMATS)])
+_SECOND = _dated([(_DAY_FIRST_BIT + TIME_KINDS * k, *DATE_FORMATS[_NAMES.index(name)][1:3],
+                   _iso_sql(name, DATE_FORMATS[_NAMES.index(name)][2], DATE_FORMATS[_NAMES.index(name)][3], day_first=True), name, True)
+                  for k, name in enumerate(_OPEN_ORDER)])
 
-    A higher-order function is not unrolled into generated code.  Together with
-    the statements around it the date formats would make a method beyond the
-    size the JVM compiles, which runs far slower than the lambda.
-    """
-    return f"get(transform(array({text}), v -> {dated_sql('v')}), 0)"
 
+def _valid_sql(dated: str) -> str:
+    """A reading that names a time a nanosecond timestamp can hold, with that time; else null."""
+    year = f"left({dated}.iso, 4)"
+    return (f"CASE WHEN {year} BETWEEN '1678' AND '2261' THEN "
+            f"{_let(f'try_cast({dated}.iso AS timestamp)', 'ts', f'if(ts IS NULL, NULL, named_struct({chr(39)}bit{chr(39)}, {dated}.bit, {chr(39)}ts{chr(39)}, ts))')} END")
 
-def _day_first_sql(text: str) -> str:
-    _, guard, rewrite = _DAY_FIRST
-    replaced = f"regexp_replace({text}, {sql_string(guard)}, {sql_string(rewrite)})"
-    return f"CASE WHEN {text} RLIKE {sql_string(guard)} THEN {replaced} END"
 
+def dates_sql(text: str) -> str:
+    """The readings of a text as a date: month first or order known, and day first where the order is open.
 
-def _valid_sql(iso: str) -> str:
-    """The ISO form names a time a nanosecond timestamp can hold."""
-    return f"substr({iso}, 1, 4) >= '1678' AND substr({iso}, 1, 4) <= '2261' AND try_cast({iso} AS timestamp) IS NOT NULL"
+    A struct of ``first`` and ``second``, each null or a bit and a timestamp.
+    """
+    parts = (
+        f"CASE WHEN contains({text}, ':') THEN named_struct('d', regexp_extract({text}, {sql_string(_DATED)}, 1), "
+        f"'time', concat('T', regexp_extract({text}, {sql_string(_DATED)}, 2)), "
+        # a second colon before any zone
+        f"'kind', if(regexp_extract({text}, {sql_string(_DATED)}, 2) RLIKE '^[0-9]+:[0-9]+:', 2, 1)) "
+        f"ELSE named_struct('d', {text}, 'time', '', 'kind', 0) END"
+    )
+    first, second = _let(_FIRST, "r", _valid_sql("r")), _let(_SECOND, "r", _valid_sql("r"))
+    read = _let(parts, "p", f"named_struct('first', {first}, 'second', {second})")
+    # most texts hold no digit at either end, and no date lacks one there
+    likely = f"char_length({text}) BETWEEN {SHORTEST_DATE} AND {LONGEST_DATE} AND {text} RLIKE '[0-9]Z?$'"
+    return f"CASE WHEN {likely} THEN {read} END"
 
 
 def timestamp_sql(text: str) -> str:
     """Month-first where the order is open, else day-first."""
-    first, second = f"substr({dated_sql(text)}, 3)", _day_first_sql(text)
-    return (
-        f"coalesce(CASE WHEN {_valid_sql(first)} THEN try_cast({first} AS timestamp) END, "
-        f"CASE WHEN {_valid_sql(second)} THEN try_cast({second} AS timestamp) END)"
-    )
+    return _let(dates_sql(text), "dates", "coalesce(dates.first.ts, dates.second.ts)")
 
 
 def _bit(condition: str, i: int) -> str:
@@ -146,19 +174,12 @@ def shape_sql(text: str, label: str, regex: str) -> str:
     return f"{cheap.format(t=text)} AND {match}" if cheap else match
 
 
-def flags_sql(text: str, dated: str) -> str:
-    """One bit per shape pattern, per date reading, and for booleans.
-
-    ``dated`` names a column holding ``dated_sql`` of the same text.  The bits
-    are added up by a higher-order function for the reason given there.
-    """
-    iso = f"substr({dated}, 3)"
-    bits = [_bit(shape_sql(text, label, regex), i) for i, (label, regex) in enumerate(SHAPE_PATTERNS)]
-    bits.append(
-        f"CASE WHEN {_valid_sql(iso)} THEN shiftleft(1L, {_DATE_BIT} + int(substr({dated}, 1, 2))) ELSE 0L END")
-    bits.append(_bit(f"substr({dated}, 1, 2) IN ('05', '06') AND {_valid_sql(_day_first_sql(text))}", _BOOL_BIT - 1))
-    bits.append(_bit(boolean_sql(text), _BOOL_BIT))
-    return f"aggregate(array({', '.join(bits)}), 0L, (flags, bit) -> flags + bit)"
+def flags_sql(text: str) -> str:
+    """One bit per shape pattern, per date reading, and for booleans."""
+    bits = [_bit(shape_sql("v", label, regex), i) for i, (label, regex) in enumerate(SHAPE_PATTERNS)]
+    bits.append(_let(dates_sql("v"), "dates", "coalesce(shiftleft(1L, dates.first.bit), 0L) + coalesce(shiftleft(1L, dates.second.bit), 0L)"))
+    bits.append(_bit(boolean_sql("v"), _BOOL_BIT))
+    return _let(text, "v", f"aggregate(array({', '.join(bits)}), 0L, (flags, bit) -> flags + bit)")
 
 
 def long_flags_sql(text: str) -> str:
@@ -195,10 +216,12 @@ def numeric_value(df: DataFrame, name: str) -> Column:
 
 
 def timestamp_value(df: DataFrame, name: str) -> Column:
-    """A column as timestamp; native for temporal types, parsed for others."""
+    """A column as timestamp; native for temporal types, parsed for text, null for numbers."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.expr(f"CAST({quoted(name)} AS timestamp)")
+    if is_numeric(dtype) or isinstance(dtype, T.BooleanType):
+        return F.expr("CAST(NULL AS timestamp)")
     return timestamp(as_text_sql(df, name))
 
 

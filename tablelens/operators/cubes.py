@@ -1,12 +1,13 @@
-"""Drill-down cubes: a rollup over the levels of a hierarchy.
+"""Drill-down cubes: sums at every depth of a hierarchy.
 
-One ``ROLLUP`` computes every depth from a single scan.  Groups under the
-minimum size are suppressed so that no cell describes a few rows only.
+One grouping by all levels shuffles the table once; every depth above is summed
+from its groups, and cells and their parents read the same exchange.  Groups
+under the minimum size are suppressed so that no cell describes a few rows only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.config.fixed_values import MAX_CUBE_LABELS, MAX_CUBE_PATHS, MIN_CUBE_GROUP
@@ -26,48 +27,58 @@ def cube_cells(df: DataFrame, levels: list[str], metric: str, min_group: int = M
     """
     count = len(levels)
     keys = [f"level{i}" for i in range(count)]
-    values = df.select(*[as_text(df, name).alias(key) for name, key in zip(levels, keys)],
+    values = df.select(*[as_text(df, name).alias(key) for name, key in zip(levels, keys, strict=True)],
                        numeric_value(df, metric).alias("x"))
-    rolled = values.rollup(*keys).agg(
-        F.count("x").alias("count"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("total"),
-        F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("gid"),
-    )
-    # gid has one bit per rolled-up level, so depth follows from it, and a null
-    # value is not taken for a rolled-up one
-    grouped = F.lit(count) - F.bit_count("gid")
-    names = F.array(*[F.lit(name) for name in levels])
-    level_values = F.array(*keys)
-    cells = rolled.select(
-        grouped.alias("grouped"), level_values.alias("all_values"), "count", "total", "rows",
-    ).where(~F.exists(F.slice("all_values", F.lit(1), F.col("grouped")), lambda v: v.isNull())).select(
-        F.slice("all_values", F.lit(1), F.col("grouped")).alias("values"), "grouped", "count", "total", "rows")
-    # parents of depth d are the cells of depth d - 1; the grand total is the
-    # parent of the top level.  Only the first paths of a depth are parents.
-    ordered = Window.partitionBy("grouped").orderBy("values")
-    parents = (
-        cells.where(F.col("grouped") < count)
-        .withColumn("rank", F.row_number().over(ordered))
-        .where((F.col("rank") <= max_paths) & ((F.col("rows") >= min_group) | (F.col("grouped") == 0)))
-        .select(F.col("values").alias("parent"), F.col("grouped").alias("level_depth"), F.col("rows").alias("record_count"))
-    )
-    children = cells.where((F.col("grouped") > 0) & (F.col("count") >= min_group)).select(
-        (F.col("grouped") - 1).alias("level_depth"),
-        F.slice("values", F.lit(1), F.col("grouped") - 1).alias("parent"),
-        F.element_at("values", -1).alias("label"),
-        F.round("total", 2).alias("value"), "count",
-    )
-    # max_paths rows per depth
-    by_label = Window.partitionBy("level_depth", "parent").orderBy("label")
-    return (
-        children.join(F.broadcast(parents), ["level_depth", "parent"])
-        .withColumn("rank", F.row_number().over(by_label))
-        .where(F.col("rank") <= max_labels)
-        .select(
-            "level_depth", names[F.col("level_depth")].alias("level_column"),
-            F.map_from_arrays(F.slice(names, F.lit(1), F.col("level_depth")), F.col("parent")).alias("path"),
-            "label", "value", "count", "record_count",
+    base = values.groupBy(*keys).agg(
+        F.count("x").alias("count"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("total"), F.count(F.lit(1)).alias("rows"))
+
+    def at_depth(depth: int) -> DataFrame:
+        """One row per path of so many levels."""
+        if depth == count:
+            return base
+        sums = [F.sum(c).alias(c) for c in ("count", "total", "rows")]
+        return base.groupBy(*keys[:depth]).agg(*sums) if depth else base.agg(*sums)
+
+    def whole(depth: int, condition: Column) -> Column:
+        """A path without missing values that meets a condition.
+
+        Naming all three sums keeps the filter above the groups and their
+        columns the same, so that all readers of a grouping share its exchange.
+        """
+        named = (F.col("count") <= F.col("rows")) & ((F.abs("total") >= 0) | F.isnan("total")) & condition
+        for key in keys[:depth]:
+            named = named & F.col(key).isNotNull()
+        return F.when(named, F.col("rows")) > 0
+
+    cells = None
+    for depth, level in enumerate(levels):
+        above = keys[:depth]
+        # the first paths of a depth are its parents; the top has one, the table itself
+        first = at_depth(depth).where(whole(depth, F.lit(True)))
+        if depth:
+            first = first.orderBy(*above).limit(max_paths).where(F.col("rows") >= min_group)
+        # one row at the top meets all cells by a number that is 0 everywhere; names that cannot be null spare the
+        # join a filter below the grouping, which would make it another one
+        named = [F.coalesce(key, F.lit("")).alias(f"path{i}") for i, key in enumerate(above)]
+        named.append(F.coalesce(F.least("rows", F.lit(0)), F.lit(0)).alias("place"))
+        met_by = [*(f"path{i}" for i in range(depth)), "place"]
+        parents = first.select(*named, F.col("rows").alias("record_count"))
+        part = at_depth(depth + 1).where(whole(depth + 1, F.col("count") >= min_group))
+        by_label = Window.partitionBy(*met_by).orderBy("label")
+        part = (
+            part.select(*named, F.col(keys[depth]).alias("label"), "total", "count")
+            # at most max_paths rows
+            .join(F.broadcast(parents), met_by)
+            .withColumn("rank", F.row_number().over(by_label))
+            .where(F.col("rank") <= max_labels)
+            .select(
+                F.lit(depth).alias("level_depth"), F.lit(level).alias("level_column"),
+                F.map_from_arrays(F.array(*[F.lit(c) for c in levels[:depth]]).cast("array<string>"), F.array(*met_by[:-1]).cast("array<string>")).alias("path"),
+                "label", F.round("total", 2).alias("value"), "count", "record_count",
+            )
         )
-    )
+        cells = part if cells is None else cells.unionByName(part)
+    return cells
 
 
 def cubes(df: DataFrame, levels: list[str], metric: str, **bounds) -> DataFrame:

@@ -6,8 +6,8 @@ it combines map-side first, so a value holding a third of all rows arrives as
 one partial count per task.
 
 Values longer than ``INLINE_CHARS`` would drag whole documents through that
-shuffle.  They are read where they are scanned and travel as a SHA-256 digest
-next to the readings taken from the whole text.
+shuffle.  They are read where they are scanned and travel as their beginning and
+a SHA-256 digest, next to the readings taken from the whole text.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tablelens.functions.parsing import dated_once_sql, flags_sql, long_flags_sql, number_sql
+from tablelens.functions.parsing import flags_sql, long_flags_sql, number_sql
 from tablelens.functions.text import as_text_sql
 
 INLINE_CHARS = 256
@@ -28,20 +29,20 @@ def column_names(df: DataFrame, dataset: str = "dataset") -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "dataset string, pos int, name string, dtype string")
 
 
-def long_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(pos, text)``: one row per cell, nulls kept.
+def long_form(df: DataFrame, columns: list[str] | None = None, offset: int = 0) -> DataFrame:
+    """``(pos, text)``: one row per cell, nulls kept; ``offset`` is added to positions.
 
     ``pos`` cannot be null and says so: no join on it then plants a null filter
     below the aggregation that the branches of a profile share.
     """
     columns = columns or df.columns
-    position = {name: i for i, name in enumerate(df.columns)}
+    position = {name: i + offset for i, name in enumerate(df.columns)}
     wide = df.selectExpr(*[f"{as_text_sql(df, name)} AS `{position[name]}`" for name in columns])
     return wide.unpivot([], wide.columns, "column", "text").selectExpr("coalesce(int(column), -1) AS pos", "text")
 
 
 _LONG = f"char_length(text) > {INLINE_CHARS}"
-# what travels for a long value: its digest and the readings of the whole text
+# what travels for a long value beside its beginning: its digest and the readings of the whole text
 _LONG_PARTS = {
     "digest": ("sha2(text, 256)", "string"),
     "long_num": (number_sql("text"), "double"),
@@ -50,25 +51,29 @@ _LONG_PARTS = {
 }
 
 
-def column_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column and distinct value, with its count ``cnt``.
-
-    ``val`` is the value; a long one has ``val`` null and ``digest`` set, a
-    missing one has both null.
-    """
-    cells = long_form(df, columns)
-    if not any(has_long_text(df, name) for name in columns or df.columns):
+def count_values(cells: DataFrame, long_texts: bool = True) -> DataFrame:
+    """Frequencies of ``(pos, text)`` cells; see ``column_frequencies``."""
+    if not long_texts:
         nothing = [f"CAST(NULL AS {dtype}) AS {name}" for name, (_, dtype) in _LONG_PARTS.items()]
         counted = cells.groupBy("pos", F.col("text").alias("val")).agg(F.count(F.lit(1)).alias("cnt"))
         return counted.selectExpr("pos", "val", *nothing, "cnt")
     parts = [f"CASE WHEN {_LONG} THEN {part} END AS {name}" for name, (part, _) in _LONG_PARTS.items()]
     return (
-        cells.selectExpr("pos", f"CASE WHEN NOT {_LONG} THEN text END AS val", *parts)
+        cells.selectExpr("pos", f"left(text, {INLINE_CHARS}) AS val", *parts)
         .groupBy("pos", "val", *_LONG_PARTS)
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
 
+def column_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per column and distinct value, with its count ``cnt``.
+
+    ``val`` is the value, null if missing; of a long one it is the beginning,
+    and ``digest`` tells it from others that begin alike.
+    """
+    return count_values(long_form(df, columns), any(has_long_text(df, name) for name in columns or df.columns))
+
+
 def has_long_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType))
 
@@ -79,48 +84,75 @@ def read_values(freq: DataFrame) -> DataFrame:
     The readings come out of a generator: filters on them, which Spark infers
     freely, then stay above the aggregation that all branches share.
     """
+    short = "digest IS NULL"
     read = (
-        "named_struct('num', num, 'flags', flags, 'length', length)"
-    )
-    return (
-        freq.selectExpr("pos", "val", "cnt", "long_num", "long_flags", "long_length", f"{dated_once_sql('val')} AS dated")
-        .selectExpr(
-            "pos", "cnt",
-            f"coalesce(long_num, {number_sql('val')}) AS num",
-            f"coalesce(long_flags, {flags_sql('val', 'dated')}) AS flags",
-            "coalesce(long_length, char_length(val)) AS length",
-        )
-        .selectExpr("pos", "cnt", f"inline(array({read}))")
+        f"named_struct('num', if({short}, {number_sql('val')}, long_num), "
+        f"'flags', if({short}, {flags_sql('val')}, long_flags), "
+        f"'length', if({short}, char_length(val), long_length))"
     )
+    return freq.selectExpr("pos", "cnt", f"inline(array({read}))")
 
 
 def read_numbers(freq: DataFrame) -> DataFrame:
     """``(pos, cnt, num)`` of the values that are numbers."""
-    read = f"named_struct('num', coalesce(long_num, {number_sql('val')}))"
+    read = f"named_struct('num', if(digest IS NULL, {number_sql('val')}, long_num))"
     return freq.selectExpr("pos", "cnt", f"inline(array({read}))").where("num IS NOT NULL")
 
 
-def with_full_text(ranked: DataFrame, df: DataFrame) -> DataFrame:
-    """Replace digests in a short ``(pos, val, digest, ...)`` list by their text.
+def ranked_values(freq: DataFrame, k: int, by: str = "frequency") -> DataFrame:
+    """Candidates for the ``k`` first values per column: ``(pos, rank, val, digest, cnt)``.
 
-    ``ranked`` holds a fixed number of rows per column, so it is the side that
-    is broadcast.  The source is only scanned again if a digest is present:
-    with none, the join has an empty side and is dropped at run time.
+    ``by="frequency"``: most frequent first, ties by value.  ``by="value"``:
+    smallest first (a distributed table has no first rows).  Long values with
+    one beginning share a rank here; ``first_values`` orders them by the rest.
+    The limit is applied in every task before the shuffle.
     """
-    strings = [name for name in df.columns if has_long_text(df, name)]
-    if not strings:
-        return ranked.drop("digest")
-    wanted = ranked.where(F.col("digest").isNotNull()).select("pos", "digest").distinct()
-    texts = (
-        long_form(df, strings)
-        .where(_LONG)
-        .withColumn("digest", F.sha2("text", 256))
-        .join(F.broadcast(wanted), ["pos", "digest"])
-        .groupBy("pos", "digest")
-        .agg(F.min("text").alias("full_text"))
+    value_order = [F.col("val").asc(), F.col("digest").isNotNull().asc()]
+    order = ([F.col("cnt").desc()] if by == "frequency" else []) + value_order
+    # naming cnt keeps the filter above the aggregation, so that this branch
+    # and the statistics share one shuffle
+    present = F.when(F.col("val").isNotNull(), F.col("cnt")) > 0
+    return (
+        freq.where(present)
+        .select("pos", "val", "digest", "cnt")
+        .withColumn("rank", F.rank().over(Window.partitionBy("pos").orderBy(*order)))
+        .where(F.col("rank") <= k)
     )
+
+
+def first_values(freq: DataFrame, texts: DataFrame | None, k: int, orders: tuple[str, ...] = ("frequency", "value")) -> DataFrame:
+    """The ``k`` first values per column and order: ``(pos, by, rn, val, cnt)``.
+
+    One order for values of any length: by their characters, whole.  Candidates
+    that are long are fetched by a second scan of ``texts`` (the ``(pos, text)``
+    cells), for their beginnings alone, of which a list has at most ``k``.  The
+    scan is dropped at run time if there are none.  Of values that share a
+    beginning at the end of a list all are fetched, so the list is exact.
+    """
+    candidates = None
+    for by in orders:
+        part = ranked_values(freq, k, by).withColumn("by", F.lit(by))
+        candidates = part if candidates is None else candidates.unionByName(part)
+    if texts is not None:
+        wanted = candidates.where("digest IS NOT NULL").select("pos", "val").distinct()
+        full = (
+            texts.where(_LONG)
+            .withColumn("val", F.left("text", F.lit(INLINE_CHARS)))
+            .join(F.broadcast(wanted), ["pos", "val"])
+            .select("pos", F.sha2("text", 256).alias("digest"), "text")
+            .groupBy("pos", "digest")
+            .agg(F.min("text").alias("text"))
+        )
+        candidates = candidates.join(full, ["pos", "digest"], "left").withColumn("val", F.coalesce("text", "val"))
+    order = Window.partitionBy("pos", "by").orderBy("rank", "val")
     return (
-        ranked.join(F.broadcast(texts), ["pos", "digest"], "left")
-        .withColumn("val", F.coalesce("full_text", "val"))
-        .drop("digest", "full_text")
+        candidates.withColumn("rn", F.row_number().over(order))
+        .where(F.col("rn") <= k)
+        .select("pos", "by", "rn", "val", "cnt")
     )
+
+
+def text_cells(df: DataFrame, offset: int = 0) -> DataFrame | None:
+    """``(pos, text)`` of the columns that may hold long values; None if there is no such column."""
+    names = [name for name in df.columns if has_long_text(df, name)]
+    return long_form(df, names, offset) if names else None

@@ -1,8 +1,10 @@
 """Dimension hierarchies: template matching and functional dependencies.
 
 An edge parent -> child is sound when every child value has one parent value.
-All edges are checked in one job over the distinct (edge, child, parent)
-triples, which combine map-side before the shuffle.
+A child violates it if the smallest and the largest hash of its parents differ,
+so all edges are checked by one aggregation per (edge, child) that combines
+map-side and never holds a pair.  Parents themselves are fetched for the few
+children that are shown as conflicts.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tablelens.config.domains import domain_config
 from tablelens.config.fixed_values import FD_ACCEPTED, FD_MIN_COVERAGE, FD_WARNING, MAX_CONFLICT_SAMPLES
 from tablelens.functions.text import as_text_sql, sql_string
+from tablelens.sources.settle import settled
 
 EDGE_KEYS = ["edge", "parent_column", "child_column"]
 
@@ -64,13 +67,26 @@ def template_matches(labelled: DataFrame, templates: list[dict]) -> DataFrame:
     return matched.withColumn("rank", F.row_number().over(order)).drop("template_pos")
 
 
-def edge_pairs(df: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
-    """Distinct ``(edge, child, parent)`` with a child, for all edges at once."""
+def edge_values(df: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
+    """``(edge, child, parent)`` of every row with a child, for all edges at once."""
     entries = ", ".join(
         f"named_struct('edge', {i}, 'child', {as_text_sql(df, child)}, 'parent', {as_text_sql(df, parent)})"
         for i, (parent, child) in enumerate(edges)
     )
-    return df.selectExpr(f"inline(array({entries}))").where("child IS NOT NULL").distinct()
+    return df.selectExpr(f"inline(array({entries}))").where("child IS NOT NULL")
+
+
+def edge_children(df: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
+    """``(edge, child, mapped, violates)``: one row per child value.
+
+    Two hashes of the parent, so that different parents pass for one only if
+    both agree, 128 bits in all.
+    """
+    hashed = edge_values(df, edges).selectExpr(
+        "edge", "child", "if(parent IS NULL, NULL, xxhash64(parent)) AS a", "if(parent IS NULL, NULL, xxhash64(parent, 1)) AS b")
+    return hashed.groupBy("edge", "child").agg(
+        F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"),
+    ).selectExpr("edge", "child", "a0 IS NOT NULL AS mapped", "coalesce(a0 != a1 OR b0 != b1, false) AS violates")
 
 
 def _edge_names(df: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
@@ -79,17 +95,30 @@ def _edge_names(df: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
 
 
 def validate_edges(df: DataFrame, edges: list[tuple[str, str]], accepted: float = FD_ACCEPTED,
-                   warning: float = FD_WARNING, min_coverage: float = FD_MIN_COVERAGE) -> DataFrame:
-    """One row per ``(parent, child)`` edge with its counts, ratios and status."""
-    children = edge_pairs(df, edges).groupBy("edge", "child").agg(F.count("parent").alias("parents"))
+                   warning: float = FD_WARNING, min_coverage: float = FD_MIN_COVERAGE,
+                   samples: int = MAX_CONFLICT_SAMPLES) -> DataFrame:
+    """One row per ``(parent, child)`` edge with its counts, ratios and status.
+
+    ``conflict_children`` lists the first violating children, from the same pass.
+    """
+    children = edge_children(df, edges)
     counts = children.groupBy("edge").agg(
         F.count(F.lit(1)).alias("distinct_child_count"),
-        F.count_if(F.col("parents") > 0).alias("mapped_child_count"),
-        F.count_if(F.col("parents") > 1).alias("violating_child_count"),
+        F.count_if("mapped").alias("mapped_child_count"),
+        F.count_if("violates").alias("violating_child_count"),
+    )
+    by_child = Window.partitionBy("edge").orderBy("child")
+    # at most so many children an edge; naming mapped keeps the aggregation the same as above
+    shown = (
+        children.where(F.when(F.col("mapped") & F.col("violates"), F.col("violates")))
+        .withColumn("rn", F.row_number().over(by_child))
+        .where(F.col("rn") <= samples)
+        .groupBy("edge").agg(F.sort_array(F.collect_list("child")).alias("conflict_children"))
     )
     return (
-        _edge_names(df, edges).join(F.broadcast(counts), "edge", "left")
+        _edge_names(df, edges).join(F.broadcast(counts), "edge", "left").join(F.broadcast(shown), "edge", "left")
         .fillna(0, ["distinct_child_count", "mapped_child_count", "violating_child_count"])
+        .withColumn("conflict_children", F.coalesce("conflict_children", F.expr("CAST(array() AS array<string>)")))
         .selectExpr(
             "*",
             "if(distinct_child_count > 0, 1 - violating_child_count / distinct_child_count, 1D) AS fd_consistency",
@@ -104,27 +133,37 @@ def validate_edges(df: DataFrame, edges: list[tuple[str, str]], accepted: float
     )
 
 
-def edge_conflicts(df: DataFrame, edges: list[tuple[str, str]], samples: int = MAX_CONFLICT_SAMPLES) -> DataFrame:
-    """The first violating children per edge, each with its first parents.
+def conflict_parents(df: DataFrame, checked: DataFrame, edges: list[tuple[str, str]], samples: int = MAX_CONFLICT_SAMPLES) -> DataFrame:
+    """The violating children that ``validate_edges`` lists, each with its first parents.
 
-    Both limits rank inside the tasks before any shuffle, so neither a child
-    with a million parents nor an edge with a million conflicts is gathered.
+    ``checked``: its result, whose ``edge`` numbers ``edges``.  Without a
+    violating child the scan is dropped at run time.  Limits rank inside the
+    tasks before any shuffle, so a child with a million parents is not gathered.
     """
-    pairs = edge_pairs(df, edges).where("parent IS NOT NULL")
-    violating = pairs.groupBy("edge", "child").agg(F.count(F.lit(1)).alias("parents")).where("parents > 1")
-    by_child = Window.partitionBy("edge").orderBy("child")
-    sampled = violating.withColumn("rn", F.row_number().over(by_child)).where(F.col("rn") <= samples)
-    by_parent = Window.partitionBy("edge", "child").orderBy("parent")
     # at most ``samples`` children an edge: bounded by the number of edges
-    parents = (
-        pairs.join(F.broadcast(sampled.select("edge", "child", "rn", "parents")), ["edge", "child"])
+    wanted = checked.selectExpr(*EDGE_KEYS, "posexplode(conflict_children) AS (place, child)")
+    pairs = edge_values(df, edges).where("parent IS NOT NULL").join(F.broadcast(wanted), ["edge", "child"])
+    pairs = pairs.groupBy(*EDGE_KEYS, "place", "child", "parent").agg(F.count(F.lit(1)).alias("rows"))
+    counted = pairs.groupBy("edge", "place").agg(F.count(F.lit(1)).alias("parent_count"))
+    by_parent = Window.partitionBy("edge", "place").orderBy("parent")
+    first = (
+        pairs.where(F.col("rows") > 0)
         .withColumn("parent_rn", F.row_number().over(by_parent))
         .where(F.col("parent_rn") <= samples)
-        .groupBy("edge", "rn", "child", "parents")
-        .agg(F.sort_array(F.collect_list("parent")).alias("parent_values"))
+        .groupBy(*EDGE_KEYS, "place", "child").agg(F.sort_array(F.collect_list("parent")).alias("parent_values"))
     )
-    return _edge_names(df, edges).join(F.broadcast(parents), "edge").select(
-        *EDGE_KEYS, "rn", F.col("child").alias("child_value"), "parent_values", F.col("parents").alias("parent_count"))
+    return first.join(F.broadcast(counted), ["edge", "place"]).select(
+        *EDGE_KEYS, (F.col("place") + 1).alias("rn"), F.col("child").alias("child_value"), "parent_values", "parent_count")
+
+
+def edge_conflicts(df: DataFrame, edges: list[tuple[str, str]], samples: int = MAX_CONFLICT_SAMPLES) -> DataFrame:
+    """The first violating children per edge, each with its first parents."""
+    return conflict_parents(df, validate_edges(df, edges, samples=samples), edges, samples)
+
+
+def _chain_edges(matches: list[tuple[str, list[str]]]) -> list[tuple[str, str]]:
+    """All (parent, child) edges between neighbouring levels, each once."""
+    return sorted({(levels[e], levels[e + 1]) for _, levels in matches for e in range(len(levels) - 1)})
 
 
 def select_chain(df: DataFrame, matches: list[tuple[str, list[str]]], dataset: str = "dataset", **thresholds) -> DataFrame:
@@ -135,7 +174,13 @@ def select_chain(df: DataFrame, matches: list[tuple[str, list[str]]], dataset: s
     length.  Between templates: longer, then more confident, then better
     matched.  A chain has two levels at least.
     """
-    spark = df.sparkSession
+    edges = _chain_edges(matches)
+    checked = validate_edges(df, edges, **thresholds) if edges else None
+    return chain_of(df.sparkSession, matches, checked, dataset)
+
+
+def chain_of(spark, matches: list[tuple[str, list[str]]], checked: DataFrame | None, dataset: str = "dataset") -> DataFrame:
+    """``select_chain`` over edges that are checked already."""
     viable = [(key, levels) for key, levels in matches if len(levels) >= 2]
     places = [
         (t, key, levels, e, levels[e], levels[e + 1])
@@ -144,15 +189,13 @@ def select_chain(df: DataFrame, matches: list[tuple[str, list[str]]], dataset: s
     ]
     base = spark.range(1).select(F.lit(dataset).alias("dataset"))
     reason = "no template matches two columns" if not viable else "no two levels hold together"
-    if not places:
+    if not places or checked is None:
         return _unresolved(base, reason)
-    distinct_edges = sorted({(parent, child) for *_, parent, child in places})
-    checked = validate_edges(df, distinct_edges, **thresholds)
     positioned = spark.createDataFrame(
         places, "template int, template_key string, levels array<string>, edge_pos int, "
                 "parent_column string, child_column string")
     in_template = Window.partitionBy("template").orderBy("edge_pos")
-    edges = positioned.join(F.broadcast(checked), ["parent_column", "child_column"]).withColumn(
+    edges = positioned.join(F.broadcast(checked.drop("edge", "conflict_children")), ["parent_column", "child_column"]).withColumn(
         "island", F.sum(F.when(F.col("status") == "rejected", 1).otherwise(0)).over(in_template))
     rejected = edges.groupBy("template").agg(F.count_if(F.col("status") == "rejected").alias("rejected_edge_count"))
     segments = edges.where("status <> 'rejected'").groupBy("template", "template_key", "levels", "island").agg(
@@ -191,11 +234,33 @@ def _unresolved(base: DataFrame, reason: str) -> DataFrame:
     )
 
 
-def build_hierarchy(df: DataFrame, labelled: DataFrame, domain: str, dataset: str = "dataset") -> DataFrame:
-    """Match the domain's templates, check their edges, choose one chain."""
-    templates = domain_config(domain)["hierarchy_templates"]
+def examine_hierarchy(df: DataFrame, labelled: DataFrame, domain: str,
+                      dataset: str = "dataset") -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Match the domain's templates, check their edges, choose one chain: (chain, edges, conflicts).
+
+    All edges of all templates are checked in one pass, settled, and read by the
+    chain, by the report of its own edges and by the conflicts of these.
+    """
+    spark, templates = df.sparkSession, domain_config(domain)["hierarchy_templates"]
     if not templates:
-        return _unresolved(df.sparkSession.range(1).select(F.lit(dataset).alias("dataset")), "no template configured")
+        return _unresolved(spark.range(1).select(F.lit(dataset).alias("dataset")), "no template configured"), None, None
     # a handful of rows: one per configured template
-    matches = template_matches(labelled, templates).orderBy("rank").select("template_key", "level_columns").collect()
-    return select_chain(df, [(m["template_key"], list(m["level_columns"])) for m in matches], dataset)
+    found = template_matches(labelled, templates).orderBy("rank").select("template_key", "level_columns").collect()
+    matches = [(m["template_key"], list(m["level_columns"])) for m in found]
+    edges = _chain_edges(matches)
+    if not edges:
+        return chain_of(spark, matches, None, dataset), None, None
+    checked = settled(validate_edges(df, edges))
+    chain = settled(chain_of(spark, matches, checked, dataset))
+    levels = list(chain.first()["level_columns"])
+    own = list(zip(levels, levels[1:], strict=False))
+    if not own:
+        return chain, None, None
+    places = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(own)], "place int, parent_column string, child_column string")
+    reported = checked.join(F.broadcast(places), ["parent_column", "child_column"]).withColumn("edge", F.col("place")).drop("place")
+    return chain, reported, conflict_parents(df, reported, own)
+
+
+def build_hierarchy(df: DataFrame, labelled: DataFrame, domain: str, dataset: str = "dataset") -> DataFrame:
+    """The chain alone; see ``examine_hierarchy``."""
+    return examine_hierarchy(df, labelled, domain, dataset)[0]

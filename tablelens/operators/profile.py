@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tablelens.config.fixed_values import MAX_SAMPLE_VALUES
 from tablelens.functions.parsing import (
@@ -20,9 +19,10 @@ from tablelens.functions.text import as_text, sql_list, unique_column_keys
 from tablelens.operators.frequencies import (
     column_frequencies,
     column_names,
+    first_values,
     read_numbers,
     read_values,
-    with_full_text,
+    text_cells,
 )
 from tablelens.operators.quantiles import center_sql, quantile_ctes, slice_sql
 
@@ -135,50 +135,27 @@ FROM rated
 """
 
 
-def column_statistics(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
+def column_statistics(df: DataFrame) -> DataFrame:
     """Counts, ratios, numeric and length statistics per ``pos``."""
-    freq = column_frequencies(df) if freq is None else freq
-    return df.sparkSession.sql(
-        _STATISTICS.replace("QUANTILE_CTES", _QUANTILES), read=read_values(freq), numbers=read_numbers(freq))
-
+    return statistics_of(column_frequencies(df))
 
-def ranked_values(freq: DataFrame, k: int = MAX_SAMPLE_VALUES, by: str = "frequency") -> DataFrame:
-    """The ``k`` first values per column as ``(pos, rn, val, digest)``.
 
-    ``by="frequency"``: most frequent first, ties by value.  ``by="value"``:
-    smallest first (a distributed table has no first rows).  Long values sort
-    after short ones.  The limit is applied in every task before the shuffle.
-    """
-    value_order = [F.col("val").asc_nulls_last(), F.col("digest").asc()]
-    order = ([F.col("cnt").desc()] if by == "frequency" else []) + value_order
-    # naming cnt keeps the filter above the aggregation, so that this branch
-    # and the statistics share one shuffle
-    present = F.when(F.col("val").isNotNull() | F.col("digest").isNotNull(), F.col("cnt")) > 0
-    return (
-        freq.where(present)
-        .select("pos", "val", "digest", "cnt")
-        .withColumn("rn", F.row_number().over(Window.partitionBy("pos").orderBy(*order)))
-        .where(F.col("rn") <= k)
-    )
+def statistics_of(freq: DataFrame) -> DataFrame:
+    """``column_statistics`` of a frequency table."""
+    return freq.sparkSession.sql(
+        _STATISTICS.replace("QUANTILE_CTES", _QUANTILES), read=read_values(freq), numbers=read_numbers(freq))
 
 
 _LISTS = """
 SELECT pos,
-       transform(array_sort(collect_list(if(kind = 'sample', named_struct('rn', rn, 'val', val), NULL))), e -> e.val)
+       transform(array_sort(collect_list(if(by = 'value', named_struct('rn', rn, 'val', val), NULL))), e -> e.val)
          AS sample_values,
-       transform(array_sort(collect_list(if(kind = 'frequent', named_struct('rn', rn, 'val', val), NULL))), e -> e.val)
+       transform(array_sort(collect_list(if(by = 'frequency', named_struct('rn', rn, 'val', val), NULL))), e -> e.val)
          AS representative_values
-FROM {both} GROUP BY pos
+FROM {values} GROUP BY pos
 """
 
 
-def _value_lists(df: DataFrame, freq: DataFrame, k: int) -> DataFrame:
-    frequent = ranked_values(freq, k, "frequency").withColumn("kind", F.lit("frequent"))
-    smallest = ranked_values(freq, k, "value").withColumn("kind", F.lit("sample"))
-    both = with_full_text(frequent.unionByName(smallest), df)
-    return df.sparkSession.sql(_LISTS, both=both)
-
-
 _PROFILE = """
 SELECT n.dataset, n.pos, n.name AS physical_name, n.normalized_key, n.dtype,
        coalesce(s.row_count, 0L) AS row_count, coalesce(s.non_null_count, 0L) AS non_null_count,
@@ -193,22 +170,27 @@ SELECT n.dataset, n.pos, n.name AS physical_name, n.normalized_key, n.dtype,
        coalesce(s.numeric_parse_ratio, 0D) AS numeric_parse_ratio,
        coalesce(s.boolean_parse_ratio, 0D) AS boolean_parse_ratio,
        coalesce(s.dominant_patterns, array()) AS dominant_patterns, coalesce(s.warnings, array()) AS warnings
-FROM {names} n LEFT JOIN {stats} s ON n.pos = s.pos LEFT JOIN {lists} l ON n.pos = l.pos
+FROM {names} n LEFT JOIN {stats} s ON n.cell_pos = s.pos LEFT JOIN {lists} l ON n.cell_pos = l.pos
 """
 
 
-def column_profile(df: DataFrame, dataset: str = "dataset", max_values: int = MAX_SAMPLE_VALUES) -> DataFrame:
-    """The full profile of a table: one row per column, keyed ``(dataset, pos)``.
+def profile_of(names: DataFrame, freq: DataFrame, texts: DataFrame | None, max_values: int = MAX_SAMPLE_VALUES) -> DataFrame:
+    """The full profile of all named columns: one row each, keyed ``(dataset, pos)``.
 
-    The name list decides which rows exist, so an empty table has a profile.
+    ``names`` is ``(dataset, pos, name, dtype, cell_pos)``; ``cell_pos`` is the
+    position under which ``freq`` and ``texts`` know the column.  The name list
+    decides which rows exist, so an empty table has a profile.
     """
-    freq = column_frequencies(df)
-    return df.sparkSession.sql(
-        _PROFILE,
-        names=unique_column_keys(column_names(df, dataset)),
-        stats=F.broadcast(column_statistics(df, freq)),
-        lists=F.broadcast(_value_lists(df, freq, max_values)),
-    )
+    spark = freq.sparkSession
+    # a list holds whole values, however long, so it is joined by size and not broadcast
+    lists = spark.sql(_LISTS, values=first_values(freq, texts, max_values))
+    return spark.sql(_PROFILE, names=unique_column_keys(names), stats=F.broadcast(statistics_of(freq)), lists=lists)
+
+
+def column_profile(df: DataFrame, dataset: str = "dataset", max_values: int = MAX_SAMPLE_VALUES) -> DataFrame:
+    """The full profile of a table: one row per column, keyed ``(dataset, pos)``."""
+    names = column_names(df, dataset).withColumn("cell_pos", F.col("pos"))
+    return profile_of(names, column_frequencies(df), text_cells(df), max_values)
 
 
 def pattern_counts(df: DataFrame, column: str) -> DataFrame:

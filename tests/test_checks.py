@@ -109,6 +109,7 @@ def test_newest_state_and_rewritten_rows(spark):
     assert run_states(spark, root, "r1").first().status == "completed"
     failed = read_result(spark, root, "runs").where("status = 'failed'").first()
     assert len(failed.error_message) == 3000
+    record_status(spark, root, "r2", "completed", "Payments")
     for _ in range(2):
         write_result(spark.range(3), root, "column_profiles", "r1")
         write_result(spark.range(2), root, "column_profiles", "r2")
