@@ -8,14 +8,24 @@ from tablelens.config import variant_values as variant
 from tablelens.config.domains import DOMAINS
 
 COLUMNS = {
-    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split(),
-    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
-                "l_returnflag l_linestatus l_shipdate".split(),
-    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split(),
-    "part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(),
-    "events": "event_id ts user_id event_type value props".split(),
-    "documents": "doc_id text lang source n_chars".split(),
-    "labels": "doc_id quality toxic".split(),
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
+# Written out, so that a wrong weight in the library does not pass unseen.
+QUALITY_WEIGHTS = {
+    "completeness": 0.20, "uniqueness": 0.15, "validity": 0.15, "conformity": 0.10, "consistency": 0.15,
+    "business_rule_compliance": 0.10, "timeliness": 0.05, "integrity": 0.03, "accuracy": 0.02, "semantic_quality": 0.05,
+}
+CHART_WEIGHTS = {
+    "domain_relevance": 0.30, "data_availability": 0.25, "metric_validity": 0.15, "dimension_cardinality": 0.10, "temporal_coverage": 0.10,
 }
 DIRTY = (
     "(SELECT event_id, ts, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type, "
@@ -345,9 +355,9 @@ def category_variant(name: str, domain: str) -> str:
     strong, weak = variant.CATEGORY_BOOSTS[domain]
     rows = []
     for i, (c, keywords, hints) in enumerate(variant.CATEGORY_KEYWORDS):
-        rows.append(f"SELECT pos, {text(c)} AS category, 0.4 AS w, {i} AS o FROM labelled WHERE {words('key', keywords.split())}")
+        rows.append(f"SELECT pos, {text(c)} AS category, 0.4 AS w, {i} AS o FROM labelled WHERE {words('key', keywords)}")
         if hints:
-            rows.append(f"SELECT pos, {text(c)}, 0.5, {i} FROM labelled WHERE {words('semantic_type', hints.split())}")
+            rows.append(f"SELECT pos, {text(c)}, 0.5, {i} FROM labelled WHERE {words('semantic_type', hints)}")
     at = {c: i for i, (c, _, _) in enumerate(variant.CATEGORY_KEYWORDS)}
     rows.append(f"SELECT pos, 'Time Series Data', 0.3, {at['Time Series Data']} FROM labelled WHERE role = 'temporal_dimension'")
     rows.append(f"SELECT pos, 'Master Data', 0.3, {at['Master Data']} FROM labelled WHERE role = 'identifier'")
@@ -543,7 +553,7 @@ def quality_ctes() -> str:
 QUALITY = f"""WITH {quality_ctes()}
 SELECT dimension, round(score, 6) AS score, status, CAST(coalesce(a, 0) AS BIGINT) AS assessed_count,
        CAST(coalesce(v, 0) AS BIGINT) AS violation_count FROM scored"""
-_WEIGHT = cases([(f"dimension = '{d}'", str(w)) for d, w in fixed.QUALITY_WEIGHTS.items()], "0")
+_WEIGHT = cases([(f"dimension = '{d}'", str(w)) for d, w in QUALITY_WEIGHTS.items()], "0")
 OVERALL = f"""WITH {quality_ctes()},
 total AS (SELECT sum(score * ({_WEIGHT})::DOUBLE) FILTER (WHERE score IS NOT NULL) / sum(({_WEIGHT})::DOUBLE) FILTER (WHERE score IS NOT NULL) AS s,
                  string_agg(dimension, ', ' ORDER BY ord) FILTER (WHERE score IS NOT NULL) AS assessed,
@@ -700,7 +710,7 @@ DATE_COMPARE = rules(
 
 
 def all_oracles() -> dict[str, str]:
-    w = fixed.CHART_WEIGHTS
+    w = CHART_WEIGHTS
     return {
         "column_profile_orders": statistics("orders", COLUMNS["orders"]),
         "column_profile_lineitem": statistics("lineitem", COLUMNS["lineitem"]),

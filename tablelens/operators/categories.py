@@ -101,8 +101,8 @@ def data_categories_variant(labelled: DataFrame, domain: str) -> DataFrame:
     boosted_order = {category: count + i for i, category in enumerate(strong + weak)}
     for i, (category, keywords, hints) in enumerate(variant.CATEGORY_KEYWORDS):
         role = {"Time Series Data": "temporal_dimension", "Master Data": "identifier"}.get(category)
-        named = words_sql("normalized_key", keywords.split())
-        hinted = words_sql("coalesce(candidate_semantic_type, '')", hints.split())
+        named = words_sql("normalized_key", keywords)
+        hinted = words_sql("coalesce(candidate_semantic_type, '')", hints)
         in_role = f"candidate_role = '{role}'" if role else "false"
         own = f"if({named}, 0.4D, 0D) + if({hinted}, 0.5D, 0D) + if({in_role}, 0.3D, 0D)"
         boost = 0.2 if category in strong else 0.1 if category in weak else 0

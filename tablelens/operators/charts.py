@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelens.config.fixed_values import CHART_LIMIT, CHART_MAX_POINTS, CHART_WEIGHTS
 from tablelens.functions.parsing import month, numeric_sql, numeric_value, timestamp_value
-from tablelens.functions.text import as_text
+from tablelens.functions.text import as_text, sql_string
 
 CATEGORICAL = ("bar", "pie", "donut", "stacked_bar")
 SPEC_SCHEMA = (
@@ -186,6 +186,81 @@ def chart_candidates(labelled: DataFrame, levels: list[str] | None = None, missi
         "dataset", "ord", "c.*", "ord + 1 AS rank")
 
 
+def _matches_role(role: str) -> str:
+    """How well a column ``c`` plays a template's role: 1 best, null not at all."""
+    name = f"'{role}'"
+    return (
+        f"CASE WHEN c.semantic = {name} THEN 1 WHEN c.role = {name} THEN 2 WHEN c.key = {name} THEN 3 "
+        f"WHEN contains(c.semantic, {name}) OR contains({name}, c.semantic) AND c.semantic != '' THEN 4 "
+        f"WHEN contains(c.key, {name}) THEN 5 END"
+    )
+
+
+def template_charts(labelled: DataFrame, templates: list[dict], levels: list[str] | None = None) -> DataFrame:
+    """Chart specifications of the templates whose roles the columns can play.
+
+    A role takes, in the template's order, the column that plays it best (same
+    semantic type, same role, same key, part of either; then table order) and
+    that no earlier role of the chart has taken.  A template with a role left
+    over gives no chart.  ``hierarchy_dimension`` is the top level of the chosen
+    hierarchy.  Everything is an expression over one row per data set.
+    """
+    # one data set's columns: as many entries as the table has columns
+    columns = labelled.groupBy("dataset").agg(F.expr(
+        "array_sort(collect_list(named_struct('pos', pos, 'name', physical_name, 'key', normalized_key, 'role', candidate_role, "
+        "'semantic', lower(coalesce(candidate_semantic_type, '')), 'numeric', numeric_parse_ratio > 0.5))) AS columns"))
+    top = f"'{levels[0]}'" if levels else "CAST(NULL AS string)"
+    specs = []
+    for place, template in enumerate(templates):
+        taken = "CAST(array() AS array<string>)"
+        for role in template.get("required_roles", []):
+            free = "filter(columns, c -> NOT array_contains(taken, c.name))"
+            ranked = f"transform({free}, c -> named_struct('fit', {_matches_role(role)}, 'pos', c.pos, 'name', c.name))"
+            best = f"array_min(filter({ranked}, r -> r.fit IS NOT NULL)).name"
+            found = f"coalesce({top}, {best})" if role == "hierarchy_dimension" else best
+            taken = f"get(transform(array({taken}), taken -> concat(taken, array({found}))), 0)"
+        specs.append(
+            f"named_struct('place', {place}, 'chart_key', '{template['key']}', 'category', '{template['category']}', "
+            f"'chart_type', '{template['chart_type']}', 'aggregation', '{template.get('aggregation', 'value')}', "
+            f"'title', {sql_string(template['title_template'])}, 'roles', {len(template.get('required_roles', []))}, 'taken', {taken})")
+    if not specs:
+        specs = ["CAST(NULL AS struct<place: int, chart_key: string, category: string, chart_type: string, aggregation: string, "
+                 "title: string, roles: int, taken: array<string>>)"]
+    found = columns.selectExpr("dataset", "columns", f"inline(filter(array({', '.join(specs)}), s -> s IS NOT NULL))")
+    found = found.where("size(array_compact(taken)) = roles")
+    # the value drawn is the last column taken that is a number; a count needs none, a distribution nothing else
+    numeric = "filter(columns, c -> c.numeric AND array_contains(taken, c.name)).name"
+    metric = ("CASE WHEN chart_type = 'histogram' THEN get(taken, 0) WHEN aggregation IN ('sum', 'mean') "
+              f"THEN get(filter(reverse(taken), t -> array_contains({numeric}, t)), 0) END")
+    return found.withColumn("metric", F.expr(metric)).selectExpr(
+        "dataset", "place AS ord", "chart_key", "category", "chart_type",
+        f"replace(title, '{{hierarchy_level}}', coalesce({top}, '')) AS title",
+        "CASE WHEN chart_type != 'histogram' THEN get(filter(taken, t -> NOT t <=> metric), 0) END AS dimension", "metric", "aggregation",
+        f"CASE WHEN array_contains(taken, {top}) THEN {top} END AS current_level",
+        f"CASE WHEN array_contains(taken, {top}) THEN {sql_string(levels[1]) if levels and len(levels) > 1 else 'CAST(NULL AS string)'} END AS next_level",
+    )
+
+
+def profiling_charts(labelled: DataFrame, templates: list[dict]) -> DataFrame:
+    """The charts any table has: those of the whole profile once, distributions once per measured column."""
+    whole = [t for t in templates if "{column_name}" not in t["title_template"]]
+    each = [t for t in templates if "{column_name}" in t["title_template"]]
+    empty = "CAST(NULL AS string)"
+    rows = None
+    for kind, source in ((whole, labelled.select("dataset").distinct().selectExpr("dataset", "0 AS pos", f"{empty} AS name")),
+                         (each, labelled.where("candidate_role = 'metric'").selectExpr("dataset", "pos", "physical_name AS name"))):
+        for template in kind:
+            place = templates.index(template)
+            part = source.selectExpr(
+                "dataset", f"1000 * {place + 1} + pos AS ord",
+                f"concat_ws('_', name, '{template['key']}') AS chart_key", f"'{template['category']}' AS category",
+                f"'{template['chart_type']}' AS chart_type",
+                f"replace({sql_string(template['title_template'])}, '{{column_name}}', coalesce(name, '')) AS title",
+                f"{empty} AS dimension", "name AS metric", "'value' AS aggregation", f"{empty} AS current_level", f"{empty} AS next_level")
+            rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def chart_data(df: DataFrame, spec: dict) -> DataFrame | None:
     """Data of one chart; None for a chart without data of its own."""
     kind, dimension, metric = spec["chart_type"], spec.get("dimension"), spec.get("metric")

@@ -22,7 +22,7 @@ TABLES = [
     "chart_specifications", "chart_data", "rule_evaluations", "rule_suggestions", "drill_down_cubes",
 ]
 STATUS_ORDER = ["pending", "processing", "completed", "failed"]
-FIRST_ATTEMPT = "0"
+FIRST_ATTEMPT = "first"
 
 
 def _folder(root: str, table: str, run_id: str, attempt: str | None) -> str:
@@ -43,7 +43,8 @@ def write_result(df: DataFrame, root: str, table: str, run_id: str, extra_partit
         raise ValueError(f"unknown result table {table}")
     if table == "quality_assessments":
         df = df.withColumn("display_score", F.round(F.col("score") * 100, 2))
-    df = df.drop("run_id", "attempt")
+    # rows keep the run's name: of a folder's name Spark would make a number where it can
+    df = df.drop("run_id", "attempt").withColumn("run_key", F.lit(run_id))
     if table == "runs":
         df.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(_folder(root, table, run_id, None))
         return
@@ -52,9 +53,9 @@ def write_result(df: DataFrame, root: str, table: str, run_id: str, extra_partit
     (writer.partitionBy(*extra_partitions) if extra_partitions else writer).parquet(_folder(root, table, run_id, attempt))
 
 
-def _as_text(df: DataFrame) -> DataFrame:
-    """Run and attempt as the texts they are, whatever their folders look like."""
-    return df.withColumns({c: F.col(c).cast("string") for c in ("run_id", "attempt")})
+def _named(df: DataFrame) -> DataFrame:
+    """Rows under the run's own name."""
+    return df.drop("run_id").withColumnRenamed("run_key", "run_id")
 
 
 def record_status(spark: SparkSession, root: str, run_id: str, status: str, domain: str, source: str = "",
@@ -78,8 +79,7 @@ def record_status(spark: SparkSession, root: str, run_id: str, status: str, doma
 
 def run_rows(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
     """All status rows, of one run or of every run."""
-    rows = _as_text(spark.read.parquet(f"{root}/runs"))
-    return rows if run_id is None else rows.where(F.col("run_id") == run_id)
+    return _named(spark.read.parquet(f"{root}/runs" if run_id is None else _folder(root, "runs", run_id, None)))
 
 
 def run_states(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
@@ -106,9 +106,9 @@ def read_result(spark: SparkSession, root: str, table: str, run_id: str | None =
         if taken is None:
             raise ProfileError("RUN_NOT_PUBLISHED", f"no attempt of run {run_id!r} has completed", {"run_id": run_id})
         # the run's own folder: no other is listed
-        return spark.read.parquet(_folder(root, table, run_id, taken["attempt"])).withColumn("run_id", F.lit(run_id))
-    # the pairs prune partitions at run time, however many runs there are
-    rows = _as_text(spark.read.parquet(f"{root}/{table}"))
+        return _named(spark.read.parquet(_folder(root, table, run_id, taken["attempt"])))
+    # attempts, which are partitions, prune at run time, however many runs there are
+    rows = _named(spark.read.parquet(f"{root}/{table}"))
     return rows.join(published(spark, root), ["run_id", "attempt"], "left_semi").drop("attempt")
 
 
