@@ -29,7 +29,7 @@ NEEDS = {
 }
 
 
-def _dimension(dimension: str, assessed: Column, violated: Column, present: Column, reason: str) -> list[Column]:
+def _dimension(dimension: str, assessed: Column, violated: Column, present: Column, reason: str | Column) -> list[Column]:
     score = F.when(present & (assessed > 0), 1 - violated / assessed).when(present, F.lit(1.0))
     return [
         F.lit(dimension).alias("dimension"),
@@ -37,37 +37,53 @@ def _dimension(dimension: str, assessed: Column, violated: Column, present: Colu
         F.when(present, "assessed").otherwise("not_assessable").alias("status"),
         F.when(present, assessed).otherwise(F.lit(0)).cast("bigint").alias("assessed_count"),
         F.when(present, violated).otherwise(F.lit(0)).cast("bigint").alias("violation_count"),
-        F.when(~present, reason).alias("reason"),
+        F.when(~present, reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"),
     ]
 
 
-def _over_columns(profile: DataFrame, dimension: str, names: list[str], violations: str) -> DataFrame:
-    """1 - violations / rows over the named columns, by name or key."""
-    named = F.col("physical_name").isin(names) | F.col("normalized_key").isin(names)
+def _over_columns(profile: DataFrame, dimension: str, names: list[str] | DataFrame, violations: str) -> DataFrame:
+    """1 - violations / rows over the named columns, by name or key.
+
+    ``names`` is a list, or for many data sets a relation ``(dataset, column_name)``.
+    """
+    reason = F.lit("the named columns are not in the data set")
+    if isinstance(names, list):
+        named = F.col("physical_name").isin(names) | F.col("normalized_key").isin(names)
+        asked = F.lit(bool(names))
+    else:
+        # the columns that callers named, a list per data set
+        lists = names.groupBy("dataset").agg(F.collect_set("column_name").alias("asked_names"))
+        profile = profile.join(F.broadcast(lists), "dataset", "left")
+        named = F.coalesce(F.array_contains("asked_names", F.col("physical_name")) | F.array_contains("asked_names", F.col("normalized_key")), F.lit(False))
+        asked = F.bool_or(F.col("asked_names").isNotNull())
     sums = profile.groupBy("dataset").agg(
         F.sum(F.when(named, F.col("row_count"))).alias("assessed"),
         F.sum(F.when(named, F.col(violations))).alias("violated"),
         F.count_if(named).alias("found"),
+        (F.first(asked) if isinstance(names, list) else asked).alias("asked"),
     )
-    reason = "no column is named for it" if not names else "the named columns are not in the data set"
     return sums.select("dataset", *_dimension(
-        dimension, F.col("assessed"), F.col("violated"), F.col("found") > 0, reason))
+        dimension, F.col("assessed"), F.col("violated"), F.col("found") > 0,
+        F.when(F.col("asked"), reason).otherwise(F.lit("no column is named for it"))))
 
 
-def completeness(profile: DataFrame, mandatory: list[str]) -> DataFrame:
+def completeness(profile: DataFrame, mandatory: list[str] | DataFrame) -> DataFrame:
     return _over_columns(profile, "completeness", mandatory, "null_count")
 
 
-def uniqueness(profile: DataFrame, expected_unique: list[str]) -> DataFrame:
+def uniqueness(profile: DataFrame, expected_unique: list[str] | DataFrame) -> DataFrame:
     return _over_columns(profile, "uniqueness", expected_unique, "duplicate_count")
 
 
-def rule_dimensions(rule_results: DataFrame, dataset: str = "dataset") -> DataFrame:
-    """Validity, conformity, consistency and compliance, from one aggregation."""
+def rule_dimensions(rule_results: DataFrame, dataset: str | DataFrame = "dataset") -> DataFrame:
+    """Validity, conformity, consistency and compliance, from one aggregation.
+
+    ``dataset`` names the one data set, or is the ``(dataset)`` relation of many.
+    """
     sound = F.col("error").isNull()
     conditions = {name: sound & F.col("rule_type").isin(kinds) for name, kinds in RULE_DIMENSIONS.items()}
     conditions["business_rule_compliance"] = sound & (F.col("records_checked") > 0)
-    sums = rule_results.agg(*[
+    aggregates = [
         aggregate
         for name, condition in conditions.items()
         for aggregate in (
@@ -75,13 +91,19 @@ def rule_dimensions(rule_results: DataFrame, dataset: str = "dataset") -> DataFr
             F.sum(F.when(condition, F.col("fail_count"))).alias(f"{name}_failed"),
             F.count_if(condition).alias(f"{name}_rules"),
         )
-    ])
+    ]
+    if isinstance(dataset, str):
+        sums = rule_results.agg(*aggregates).withColumn("dataset", F.lit(dataset))
+    else:
+        # a data set without rules has a row too
+        sums = dataset.select("dataset").distinct().join(rule_results.groupBy("dataset").agg(*aggregates), "dataset", "left")
+        sums = sums.fillna(0, [f"{name}_rules" for name in conditions])
     rows = F.array(*[
         F.struct(*_dimension(name, F.col(f"{name}_checked"), F.col(f"{name}_failed"), F.col(f"{name}_rules") > 0,
                              "no rule of its kind was evaluated"))
         for name in conditions
     ])
-    return sums.select(F.lit(dataset).alias("dataset"), F.inline(rows))
+    return sums.select("dataset", F.inline(rows))
 
 
 def unassessable(profile: DataFrame) -> DataFrame:
@@ -123,9 +145,9 @@ def semantic_quality(decided: DataFrame, categories: DataFrame, domain: DataFram
     )
 
 
-def quality_dimensions(profile: DataFrame, rule_results: DataFrame, semantic: DataFrame, mandatory: list[str],
-                       expected_unique: list[str], dataset: str = "dataset") -> DataFrame:
-    """All ten dimensions, with ``ord`` for their order."""
+def quality_dimensions(profile: DataFrame, rule_results: DataFrame, semantic: DataFrame, mandatory: list[str] | DataFrame,
+                       expected_unique: list[str] | DataFrame, dataset: str | DataFrame = "dataset") -> DataFrame:
+    """All ten dimensions, with ``ord`` for their order; names as lists, or as relations of many data sets."""
     union = (
         completeness(profile, mandatory)
         .unionByName(uniqueness(profile, expected_unique))

@@ -72,8 +72,11 @@ _ASSESSMENTS = [
 ]
 
 
-def readiness_facts(labelled: DataFrame, dimensions: DataFrame, described_columns: int = 0) -> DataFrame:
-    """One row per data set with everything the scores are made of."""
+def readiness_facts(labelled: DataFrame, dimensions: DataFrame, described_columns: int | DataFrame = 0) -> DataFrame:
+    """One row per data set with everything the scores are made of.
+
+    ``described_columns`` is a number, or a relation ``(dataset, described)``.
+    """
     facts = labelled.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("columns"),
         F.max("row_count").alias("rows"),
@@ -89,11 +92,15 @@ def readiness_facts(labelled: DataFrame, dimensions: DataFrame, described_column
         F.max(F.when((F.col("dimension") == name) & (F.col("status") == "assessed"), F.col("score"))).alias(name)
         for name in _USED
     ])
+    if isinstance(described_columns, DataFrame):
+        facts = facts.join(described_columns, "dataset", "left").withColumn("described", F.coalesce("described", F.lit(0)))
+    else:
+        facts = facts.withColumn("described", F.lit(described_columns))
     return facts.join(scores, "dataset", "left").withColumn(
-        "coverage", F.lit(described_columns) / F.greatest(F.col("columns"), F.lit(1)))
+        "coverage", F.col("described") / F.greatest(F.col("columns"), F.lit(1)))
 
 
-def readiness(labelled: DataFrame, dimensions: DataFrame, described_columns: int = 0) -> DataFrame:
+def readiness(labelled: DataFrame, dimensions: DataFrame, described_columns: int | DataFrame = 0) -> DataFrame:
     """Four rows per data set: score, status, strengths, blockers, advice."""
     scored = readiness_facts(labelled, dimensions, described_columns).selectExpr(
         "*", f"{_ANALYTICS} AS analytics", f"{_ML} AS ml", f"{_LLM} AS language")
