@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from registry.queries import CLEAN_REGION, REJECTED_REGION, WARNING_REGION
+from registry.queries import CARDS, CLEAN_REGION, PEOPLE, REJECTED_REGION, WARNING_REGION
 from tablelens.config import fixed_values as fixed
 from tablelens.config import variant_values as variant
 from tablelens.config.domains import DOMAINS
@@ -18,6 +18,9 @@ COLUMNS = {
     "labels": ["doc_id", "quality", "toxic"],
     "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "people": ["c_custkey", "email", "phone", "currency", "country", "land", "discount_rate", "created_date", "updated_at", "active_flag",
+               "nothing", "city_region", "status_level", "remark_note"],
+    "cards": ["txn_key", "amount", "auth_status", "channel", "fraud_flag", "authorization_date", "blank"],
 }
 # Written out, so that a wrong weight in the library does not pass unseen.
 QUALITY_WEIGHTS = {
@@ -31,10 +34,24 @@ DIRTY = (
     "(SELECT event_id, ts, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type, "
     "CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, props FROM events)"
 )
+PEOPLE_SOURCE = f"({PEOPLE.format(customer='customer')})"
+CARDS_SOURCE = f"({CARDS.format(orders='orders')})"
+TYPES = {
+    "orders": ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"],
+    "lineitem": ["bigint", "bigint", "bigint", "int", "double", "double", "double", "double", "string", "string", "timestamp_ntz"],
+    "documents": ["bigint", "string", "string", "string", "bigint"],
+    "events": ["bigint", "timestamp_ntz", "bigint", "string", "double", "string"],
+    "people": ["bigint", "string", "string", "string", "string", "string", "bigint", "string", "string", "string", "string", "string", "string", "string"],
+}
 TEXT_DATES = (
     "(SELECT strftime(o_orderdate, '%Y-%m-%d') AS iso_date, strftime(o_orderdate, '%m/%d/%Y') AS us_date, "
     "strftime(o_orderdate, '%d.%m.%Y') AS dotted_date, strftime(o_orderdate, '%Y%m%d') AS plain_date, "
-    "strftime(o_orderdate, '%Y-%m') AS month_text, o_orderpriority AS no_date FROM orders)"
+    "strftime(o_orderdate, '%Y-%m') AS month_text, strftime(o_orderdate, '%m/%d/%Y') || ' 10:30' AS us_minute, "
+    "strftime(o_orderdate, '%Y/%m/%d') || ' 10:00:00' AS slash_second, strftime(o_orderdate, '%Y-%m-%d') || 'T10:30Z' AS iso_minute, "
+    "strftime(o_orderdate, '%d-%b-%Y') AS short_name, strftime(o_orderdate, '%B %-d, %Y') AS long_name, "
+    "strftime(o_orderdate, '%m/%d/') || lpad(CAST(60 + o_orderkey % 20 AS VARCHAR), 2, '0') AS short_year, "
+    "CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%d-%b-%Y') ELSE strftime(o_orderdate, '%B %-d, %Y') END AS two_ways, "
+    "o_orderpriority AS no_date FROM orders)"
 )
 
 
@@ -63,7 +80,13 @@ def _parsed(v: str, regex: str, fmt: str) -> str:
 
 DATE_TESTS = [
     _parsed("val", r"\d{4}-\d{2}-\d{2}", "%Y-%m-%d"),
-    r"regexp_full_match(val, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?') AND year(try_cast(val AS TIMESTAMP)) BETWEEN 1678 AND 2261",
+    r"regexp_full_match(val, '\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?') AND year(try_cast(val AS TIMESTAMP)) BETWEEN 1678 AND 2261",
+    _parsed("val", r"\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}", "%m/%d/%Y %H:%M"),
+    _parsed("val", r"\d{4}/\d{1,2}/\d{1,2} \d{2}:\d{2}:\d{2}", "%Y/%m/%d %H:%M:%S"),
+    _parsed("val", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}Z", "%Y-%m-%dT%H:%MZ"),
+    _parsed("val", r"\d{1,2}-[A-Z][a-z]{2}-\d{4}", "%d-%b-%Y"),
+    _parsed("val", r"[A-Z][a-z]{2,8} \d{1,2}, \d{4}", "%B %d, %Y"),
+    _parsed("val", r"\d{1,2}/\d{1,2}/\d{2}", "%m/%d/%y"),
     _parsed("val", r"\d{1,2}/\d{1,2}/\d{4}", "%m/%d/%Y"),
     _parsed("val", r"\d{1,2}/\d{1,2}/\d{4}", "%d/%m/%Y"),
     _parsed("val", r"\d{1,2}\.\d{1,2}\.\d{4}", "%d.%m.%Y"),
@@ -152,7 +175,9 @@ def best_key(name: str) -> str:
     return f"CASE WHEN {folded} = '' THEN 'column' ELSE {folded} END"
 
 
-def statistics(source: str, columns: list[str]) -> str:
+def statistics(source: str, columns: list[str], types: list[str]) -> str:
+    dtype = cases([(f"pos = {i}", text(t)) for i, t in enumerate(types)], "''")
+
     def numeric(value):
         return f"CASE WHEN numeric_parse_ratio > 0.5 THEN round({value}, 4) END"
 
@@ -163,8 +188,13 @@ def statistics(source: str, columns: list[str]) -> str:
            {numeric('num_std')} AS std_dev, {numeric('num_q25')} AS q25, {numeric('num_q50')} AS q50,
            {numeric('num_q75')} AS q75, min_string_length, max_string_length,
            round(avg_string_length, 4) AS avg_string_length, round(numeric_parse_ratio, 6) AS numeric_parse_ratio,
-           round(boolean_parse_ratio, 6) AS boolean_parse_ratio
-    FROM rated"""
+           round(boolean_parse_ratio, 6) AS boolean_parse_ratio, {dtype} AS dtype, coalesce(smallest, '') AS sample_values,
+           coalesce(frequent, '') AS representative_values, round(datetime_parse_ratio, 6) AS datetime_parse_ratio,
+           array_to_string(patterns, ', ') AS dominant_patterns,
+           (CASE WHEN null_ratio > 0.5 THEN 1 ELSE 0 END + CASE WHEN cardinality_ratio > 0.98 AND non_null_count > 10 THEN 1 ELSE 0 END)::BIGINT AS warnings
+    FROM rated LEFT JOIN (
+      SELECT pos, string_agg(val, ' | ' ORDER BY vn) FILTER (WHERE vn <= 10) AS smallest,
+             string_agg(val, ' | ' ORDER BY rn) FILTER (WHERE rn <= 10) AS frequent FROM value_counts GROUP BY pos) USING (pos)"""
 
 
 def has(label: str) -> str:
@@ -249,11 +279,11 @@ def label_ctes(source: str, columns: list[str]) -> str:
     )"""
 
 
-def labels(name: str) -> str:
+def labels(name: str, source: str | None = None) -> str:
     cast = cases([(f"refined_type = '{t}'", f"'{c}'") for t, c in [
         ("integer", "bigint"), ("decimal", "double"), ("percentage", "double"), ("boolean", "boolean"), ("date", "date"),
         ("datetime", "timestamp")]], "'string'")
-    return f"""WITH {label_ctes(name, COLUMNS[name])}
+    return f"""WITH {label_ctes(source or name, COLUMNS[name])}
     SELECT physical_name, refined_type, {cast} AS suggested_cast, identifier_score, is_grain_key,
            semantic_type AS candidate_semantic_type, role AS candidate_role, confidence AS candidate_confidence,
            CASE WHEN confidence >= 0.8 THEN 'confirmed' ELSE 'unresolved' END AS decision,
@@ -307,25 +337,26 @@ def variants(name: str) -> str:
     FROM labelled"""
 
 
-def category_rows(domain: str) -> str:
+def category_rows(domain: str, name_weight: float = 0.4, role_weight: float = 0.3) -> str:
     """(pos, category, weight, order) for every signal that hits."""
     rows = [
-        f"SELECT pos, {text(c)} AS category, 0.4 AS w, {i} AS o FROM labelled WHERE {words('key', w)}"
+        f"SELECT pos, {text(c)} AS category, {name_weight} AS w, {i} AS o FROM labelled WHERE {words('key', w)}"
         for i, (c, w) in enumerate(fixed.CATEGORY_NAME_WORDS)
     ]
     hit = cases([(words("semantic_type", w), text(c)) for c, w in fixed.CATEGORY_SEMANTIC_TYPES], "NULL")
     rows.append(f"SELECT pos, {hit} AS category, 0.5 AS w, 20 AS o FROM labelled WHERE ({hit}) IS NOT NULL")
-    rows.append("SELECT pos, 'Time Series Data', 0.3, 30 FROM labelled WHERE role = 'temporal_dimension'")
-    rows.append("SELECT pos, 'Master Data', 0.3, 30 FROM labelled WHERE role = 'identifier'")
-    boost, strength = fixed.CATEGORY_DOMAIN_BOOST[domain.lower()]
-    rows.append(f"SELECT pos, {text(boost)}, {0.2 if strength == 'strong' else 0.1}, 40 FROM labelled")
+    rows.append(f"SELECT pos, 'Time Series Data', {role_weight}, 30 FROM labelled WHERE role = 'temporal_dimension'")
+    rows.append(f"SELECT pos, 'Master Data', {role_weight}, 30 FROM labelled WHERE role = 'identifier'")
+    if domain.lower() in fixed.CATEGORY_DOMAIN_BOOST:
+        boost, strength = fixed.CATEGORY_DOMAIN_BOOST[domain.lower()]
+        rows.append(f"SELECT pos, {text(boost)}, {0.2 if strength == 'strong' else 0.1}, 40 FROM labelled")
     rows.append("SELECT pos, 'Time Series Data', 0.4, 50 FROM labelled WHERE datetime_parse_ratio >= 0.9")
     return " UNION ALL ".join(rows)
 
 
-def categories_ctes(name: str, domain: str) -> str:
-    return f"""{label_ctes(name, COLUMNS[name])},
-    signals AS ({category_rows(domain)}),
+def categories_ctes(name: str, domain: str, source: str | None = None, weights: tuple = (0.4, 0.3), limits: tuple = (0.5, 0.3, 3)) -> str:
+    return f"""{label_ctes(source or name, COLUMNS[name])},
+    signals AS ({category_rows(domain, *weights)}),
     summed AS (SELECT pos, category, sum(w::DOUBLE ORDER BY o) AS score, min(o) AS o FROM signals GROUP BY pos, category),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(score, 9) DESC, o) AS rn FROM summed),
     best AS (
@@ -335,19 +366,20 @@ def categories_ctes(name: str, domain: str) -> str:
     extra AS (
       SELECT pos, string_agg(category, ', ' ORDER BY rn) AS secondary_categories FROM (
         SELECT r.*, row_number() OVER (PARTITION BY r.pos ORDER BY rn) AS kept FROM ranked r JOIN best USING (pos)
-        WHERE rn > 1 AND score >= top * 0.5 - 1e-12 AND score >= 0.3 - 1e-12
-      ) WHERE kept <= 3 GROUP BY pos
+        WHERE rn BETWEEN 2 AND 1000 AND score >= top * {limits[0]} - 1e-12 AND score >= {limits[1]} - 1e-12
+      ) WHERE kept <= {limits[2]} GROUP BY pos
     ),
     classified AS (
-      SELECT pos, physical_name, primary_category, coalesce(secondary_categories, '') AS secondary_categories,
-             round(CASE WHEN second IS NOT NULL AND top - second > 0.3::DOUBLE THEN least(1, least(1, top) + 0.1::DOUBLE)
+      SELECT pos, physical_name, coalesce(primary_category, 'Operational Data') AS primary_category,
+             coalesce(secondary_categories, '') AS secondary_categories,
+             round(CASE WHEN top IS NULL THEN 0.5 WHEN second IS NOT NULL AND top - second > 0.3::DOUBLE THEN least(1, least(1, top) + 0.1::DOUBLE)
                         ELSE least(1, top) END, 3)::DOUBLE AS category_confidence
-      FROM labelled JOIN best USING (pos) LEFT JOIN extra USING (pos)
+      FROM labelled LEFT JOIN best USING (pos) LEFT JOIN extra USING (pos)
     )"""
 
 
-def categories(name: str, domain: str) -> str:
-    return f"""WITH {categories_ctes(name, domain)}
+def categories(name: str, domain: str, *more) -> str:
+    return f"""WITH {categories_ctes(name, domain, *more)}
     SELECT physical_name, primary_category, secondary_categories, category_confidence FROM classified"""
 
 
@@ -377,7 +409,7 @@ def category_variant(name: str, domain: str) -> str:
     FROM labelled JOIN best USING (pos) LEFT JOIN extra USING (pos)"""
 
 
-def domain_ctes(name: str, domain: str) -> str:
+def domain_ctes(name: str, domain: str, source: str | None = None) -> str:
     secondary = DOMAINS[domain]["secondary_domains"]
     rows = []
     for i, (d, w) in enumerate(secondary.items()):
@@ -388,7 +420,7 @@ def domain_ctes(name: str, domain: str) -> str:
             f"SELECT {i} AS dp, {text(d)} AS domain_name, CASE WHEN {keyword} THEN 1.5 ELSE 0 END "
             f"+ CASE WHEN semantic_type IS NOT NULL AND ({roles}) THEN 2.0 ELSE 0 END "
             f"+ CASE WHEN len(list_filter(coalesce(top_values, []), lambda v: {values})) > 0 THEN 0.5 ELSE 0 END AS w FROM labelled")
-    return f"""{label_ctes(name, COLUMNS[name])},
+    return f"""{label_ctes(source or name, COLUMNS[name])},
     evidence AS ({' UNION ALL '.join(rows)}),
     domain_scores AS (
       SELECT domain_name, dp, least(1.0, sum(w)::DOUBLE / greatest(count(*) * 4.0 * 0.15, 1.0))::DOUBLE AS score
@@ -634,7 +666,8 @@ n AS (SELECT bin, count(o_totalprice) AS n FROM slots LEFT JOIN orders ON o_tota
       AND (o_totalprice < high OR (bin = bins AND o_totalprice <= high)) GROUP BY bin)
 SELECT bin AS position, printf('%.1f', low) || '-' || printf('%.1f', high) AS label, n::DOUBLE AS value FROM slots JOIN n USING (bin)"""
 
-DATE_TEXTS = ["iso_date", "us_date", "dotted_date", "plain_date", "month_text", "no_date"]
+DATE_TEXTS = ["iso_date", "us_date", "dotted_date", "plain_date", "month_text", "us_minute", "slash_second", "iso_minute", "short_name",
+              "long_name", "short_year", "two_ways", "no_date"]
 
 CANDIDATES = f"""WITH {label_ctes('orders', COLUMNS['orders'])},
 f AS (SELECT min_by(physical_name, pos) FILTER (WHERE role = 'metric') AS m, min_by(physical_name, pos) FILTER (WHERE role = 'dimension') AS d,
@@ -694,12 +727,116 @@ def _volume(name: str) -> str:
       CAST(sum({cells}) AS BIGINT) AS data_bytes, '{keys}' AS normalized_keys FROM {name}"""
 
 
-def _names() -> str:
-    rows = []
-    for table, offset in (("lineitem", 0), ("orders", 100), ("customer", 200)):
-        for i, c in enumerate(COLUMNS[table]):
-            rows.append(f"({offset + i}, ' {c.split('_', 1)[1].upper()}--')")
-    return f"names(pos, name) AS (VALUES {', '.join(rows)}), keyed AS (SELECT *, {best_key('name')} AS k FROM names)"
+NAMES = f"""names AS (SELECT p_brand AS dataset, CAST(p_partkey AS INT) AS pos, ' ' || upper(p_name) || '--' AS name FROM part),
+keyed AS (SELECT *, {best_key('name')} AS k FROM names)"""
+
+_SIGNALS = [
+    ("high_cardinality", "non_null_count > 0 AND cardinality_ratio >= 0.98", "cardinality_ratio"),
+    ("moderate_cardinality", "non_null_count > 0 AND cardinality_ratio < 0.98 AND cardinality_ratio >= 0.9", "cardinality_ratio"),
+    ("low_null_ratio", "null_ratio <= 0.01", "null_ratio"), ("high_null_ratio_penalty", "null_ratio > 0.1", "null_ratio"),
+    ("zero_duplicates", "duplicate_count = 0 AND non_null_count > 1", "NULL"), ("uuid_pattern", has("UUID"), "NULL"),
+    ("refined_type_identifier", "refined_type = 'identifier'", "NULL"),
+    ("name_hint", "regexp_matches(key, '(_id|_key|_uuid|_guid|_code|_number|_num|_no|_ref)$|^(id|key|uuid|guid|code|number)$')", "NULL"),
+    ("low_cardinality_disqualifies", "cardinality_ratio < 0.5 AND non_null_count > 10", "cardinality_ratio"),
+]
+EVIDENCE = f"WITH {label_ctes(PEOPLE_SOURCE, COLUMNS['people'])} " + " UNION ALL ".join(
+    f"SELECT physical_name, '{name}' AS signal, round(CAST({value} AS DOUBLE), 4) AS value FROM labelled WHERE {condition}" for name, condition, value in _SIGNALS)
+
+DECISIONS = f"""WITH {label_ctes('orders', COLUMNS['orders'])}
+SELECT physical_name, CASE pos % 3 WHEN 0 THEN 'overridden' WHEN 1 THEN 'unresolved' ELSE CASE WHEN confidence >= 0.8 THEN 'confirmed' ELSE 'unresolved' END END AS decision,
+       CASE WHEN pos = 0 THEN 'order_number' ELSE semantic_type END AS confirmed_semantic_type, CASE WHEN pos = 3 THEN 'dimension' ELSE role END AS confirmed_role,
+       round(CASE WHEN pos % 3 < 2 THEN 0.5 WHEN confidence >= 0.8 THEN confidence * 0.9 ELSE confidence END, 4)::DOUBLE AS schema_confidence FROM labelled"""
+DESCRIBED = f"""WITH {label_ctes('orders', COLUMNS['orders'])}
+SELECT physical_name, CASE physical_name WHEN 'o_orderkey' THEN 'key' WHEN 'o_totalprice' THEN 'sum of the order' END AS description,
+       CASE physical_name WHEN 'o_orderkey' THEN true WHEN 'o_totalprice' THEN false END AS mandatory,
+       CASE physical_name WHEN 'o_orderkey' THEN true WHEN 'o_totalprice' THEN false END AS expected_unique, refined_type FROM labelled"""
+CARDS_DOMAIN = f"""WITH {domain_ctes('cards', 'Payments', CARDS_SOURCE)}, top AS (SELECT * FROM ranked_domains WHERE rank = 1)
+SELECT r.domain_name, round(r.score, 6) AS score, r.rank,
+       CASE WHEN top.score >= 0.75 THEN 'classified' WHEN top.score >= 0.5 THEN 'needs_review' ELSE 'unresolved' END AS decision,
+       coalesce(CASE WHEN top.score >= 0.75 THEN '' ELSE (
+         SELECT string_agg(x.domain_name, ', ' ORDER BY x.rank) FROM ranked_domains x
+         WHERE x.rank <= 3 AND x.score > 0 AND x.score >= CASE WHEN top.score >= 0.5 THEN 0.5 ELSE 0 END) END, '') AS candidates
+FROM ranked_domains r, top"""
+UNRESOLVED = f"""SELECT CASE WHEN status = 'rejected' THEN 'unresolved' ELSE 'accepted' END AS status, NULL::VARCHAR AS template_key, 0::BIGINT AS levels,
+       0::BIGINT AS edge_count, 1::BIGINT AS warnings FROM {edge_sql('orders', [('o_orderstatus', 'o_orderpriority')])}"""
+BUILT = f"""WITH e AS (SELECT * FROM {edge_sql(geo(WARNING_REGION), [('region', 'country')])}), c AS ({CONFLICTS.replace(geo(REJECTED_REGION), geo(WARNING_REGION))})
+SELECT 'chain' AS part, CASE status WHEN 'rejected' THEN 'unresolved' WHEN 'retained_with_warning' THEN 'partial' ELSE 'accepted' END AS name,
+       'region > country' AS value, 1::BIGINT AS n FROM e
+UNION ALL SELECT 'edge', parent_column || ' > ' || child_column, status, violating_child_count FROM e
+UNION ALL SELECT 'conflict', child_value, parent_values, parent_count FROM c"""
+LOADED = f"""WITH src AS (SELECT * FROM {CARDS_SOURCE})
+SELECT 'settlement_after_authorization' AS rule_key, 'column_comparison' AS rule_type, 0::BIGINT AS records_checked, 0::BIGINT AS pass_count,
+       0.0::DOUBLE AS score, '' AS target_columns, true AS failed
+UNION ALL SELECT 'amount_positive', 'numeric_range', count(amount), count(*) FILTER (WHERE amount > 0),
+       round(count(*) FILTER (WHERE amount > 0) / count(amount), 6)::DOUBLE, 'amount', false FROM src
+UNION ALL SELECT 'blank', 'regex_match', count(blank), 0::BIGINT, 1.0::DOUBLE, 'blank', false FROM src
+UNION ALL SELECT 'request_rule_1', 'allowed_values', count(auth_status), count(*) FILTER (WHERE auth_status IN ('F', 'O')),
+       round(count(*) FILTER (WHERE auth_status IN ('F', 'O')) / count(auth_status), 6)::DOUBLE, 'auth_status', false FROM src"""
+_FACTS = f"""WITH {label_ctes('orders', COLUMNS['orders'])}, f AS (
+  SELECT count(*) AS columns, max(row_count) AS rows, count(*) FILTER (WHERE role = 'metric') AS metrics,
+         count(*) FILTER (WHERE role = 'dimension') AS dimensions, count(*) FILTER (WHERE role = 'temporal_dimension') AS temporals,
+         count(*) FILTER (WHERE is_grain_key) AS keys, count(*) FILTER (WHERE cardinality_ratio > 0.9 AND NOT is_grain_key) AS wide, 3 / count(*) AS coverage,
+         1 - sum(null_count) FILTER (WHERE physical_name IN ('o_orderkey', 'o_custkey')) / (2 * max(row_count)) AS comp FROM labelled)"""
+_NOTES = [
+    ("analytics_readiness", "strengths", "HIGH_COMPLETENESS", "comp >= 0.9", "comp"), ("analytics_readiness", "strengths", "USABLE_METRICS", "metrics >= 2", "metrics"),
+    ("analytics_readiness", "strengths", "USABLE_DIMENSIONS", "dimensions >= 3", "dimensions"), ("analytics_readiness", "strengths", "IDENTIFIABLE_GRAIN", "keys > 0", "keys"),
+    ("analytics_readiness", "strengths", "TEMPORAL_FIELDS_AVAILABLE", "temporals > 0", "temporals"),
+    ("analytics_readiness", "blocking_issues", "NO_GRAIN_IDENTIFIED", "keys = 0", "NULL"), ("analytics_readiness", "recommendations", "ADD_TEMPORAL_FIELD", "temporals = 0", "NULL"),
+    ("ml_readiness", "strengths", "HIGH_COMPLETENESS", "comp >= 0.9", "comp"), ("ml_readiness", "strengths", "ADEQUATE_ROW_COUNT", "rows >= 10000", "rows"),
+    ("ml_readiness", "blocking_issues", "IDENTIFIER_CONTAMINATION", "keys / columns > 0.3", "round(keys / columns, 3)"),
+    ("ml_readiness", "blocking_issues", "INSUFFICIENT_ROWS", "rows < 100", "rows"),
+    ("ml_readiness", "recommendations", "EXCLUDE_IDENTIFIER_FEATURES", "keys > 0 AND keys / columns <= 0.3", "NULL"),
+    ("ml_readiness", "recommendations", "HIGH_CARDINALITY_FEATURES", "wide > 0", "wide"),
+    ("llm_readiness", "strengths", "HIGH_DESCRIPTION_COVERAGE", "coverage >= 0.8", "round(coverage, 3)"),
+    ("llm_readiness", "blocking_issues", "LOW_DESCRIPTION_COVERAGE", "coverage < 0.5", "round(coverage, 3)"),
+    ("llm_readiness", "recommendations", "ADD_COLUMN_DESCRIPTIONS", "coverage < 0.5", "NULL"),
+]
+NOTES = f"{_FACTS} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS assessment_type, '{k}' AS kind, '{c}' AS code, round(CAST({v} AS DOUBLE), 6) AS value FROM f WHERE {w}" for a, k, c, w, v in _NOTES)
+DISPATCH = f"""SELECT 'donut' AS chart_key, * FROM ({top_groups('orders', 'o_orderstatus', 'count(*)')})
+UNION ALL SELECT 'stacked', * FROM ({top_groups('orders', 'o_orderpriority', 'sum(o_totalprice)')})
+UNION ALL SELECT 'line', position, label, value FROM (SELECT row_number() OVER (ORDER BY label) AS position, label, n::DOUBLE AS value
+  FROM (SELECT strftime(o_orderdate, '%Y-%m') AS label, count(*) AS n FROM orders GROUP BY 1)) WHERE position <= 100
+UNION ALL SELECT 'mean', 1::BIGINT, 'o_totalprice', round(avg(o_totalprice), 2) FROM orders"""
+QUALITY_CHART = f"""WITH {quality_ctes()} SELECT row_number() OVER (ORDER BY ord) AS position, dimension AS label, round(score * 100, 1)::DOUBLE AS value
+FROM scored WHERE score IS NOT NULL"""
+# Two roles at most: the second takes the best column that the first did not.
+CHART_TEMPLATES = f"""WITH {label_ctes(CARDS_SOURCE, COLUMNS['cards'])},
+roles(t, r, role) AS (VALUES (0, 0, 'temporal_dimension'), (0, 1, 'transaction_identifier'), (1, 0, 'temporal_dimension'), (1, 1, 'monetary_amount'),
+  (2, 0, 'status_dimension'), (3, 0, 'decline_reason'), (4, 0, 'channel_dimension'), (4, 1, 'fraud_flag')),
+fits AS (
+  SELECT * FROM (SELECT t, r, pos, physical_name AS name, numeric_parse_ratio > 0.5 AS number, CASE WHEN coalesce(semantic_type, '') = x.role THEN 1
+    WHEN l.role = x.role THEN 2 WHEN key = x.role THEN 3
+    WHEN contains(coalesce(semantic_type, ''), x.role) OR (contains(x.role, coalesce(semantic_type, '')) AND coalesce(semantic_type, '') <> '') THEN 4
+    WHEN contains(key, x.role) THEN 5 END AS fit FROM roles x, labelled l) WHERE fit IS NOT NULL),
+a AS (SELECT * FROM fits WHERE r = 0 QUALIFY row_number() OVER (PARTITION BY t ORDER BY fit, pos) = 1),
+b AS (SELECT fits.* FROM fits JOIN a ON fits.t = a.t AND fits.name <> a.name WHERE fits.r = 1 QUALIFY row_number() OVER (PARTITION BY fits.t ORDER BY fits.fit, fits.pos) = 1),
+specs(t, chart_key, chart_type, aggregation, title, n) AS (VALUES
+  (0, 'transaction_volume_over_time', 'line', 'count', 'Transaction Volume Over Time', 2), (1, 'transaction_value_over_time', 'line', 'sum', 'Transaction Value Over Time', 2),
+  (2, 'payment_outcome_distribution', 'pie', 'count', 'Payment Outcome Distribution', 1), (3, 'authorization_decline_reasons', 'bar', 'count', 'Authorization Decline Reasons', 1),
+  (4, 'fraud_rate_by_channel', 'bar', 'mean', 'Fraud Rate by Channel', 2)),
+whole AS (
+  SELECT s.*, a.name AS first, b.name AS second,
+         CASE WHEN aggregation IN ('sum', 'mean') THEN CASE WHEN b.number THEN b.name WHEN a.number THEN a.name END END AS metric
+  FROM specs s JOIN a USING (t) LEFT JOIN b USING (t) WHERE n = 1 OR b.name IS NOT NULL)
+SELECT chart_key, 'business' AS category, chart_type, title, CASE WHEN first IS DISTINCT FROM metric THEN first ELSE second END AS dimension, metric, aggregation FROM whole
+UNION ALL SELECT * FROM (VALUES ('missing_values_by_column', 'profiling', 'bar', 'Missing Values by Column', NULL, NULL, 'value'),
+  ('quality_score_by_dimension', 'quality', 'bar', 'Quality Score by Dimension', NULL, NULL, 'value'),
+  ('rule_violations_by_rule', 'quality', 'bar', 'Rule Violations by Rule', NULL, NULL, 'value'))
+UNION ALL SELECT physical_name || '_numeric_distribution', 'profiling', 'histogram', physical_name || ' Distribution', NULL, physical_name, 'value'
+  FROM labelled WHERE role = 'metric'"""
+GUARDS = """SELECT * FROM (VALUES ('columns', 'DATASET_COLUMN_LIMIT_EXCEEDED'), ('no rows', 'NO_DATA_ROWS'), ('no columns', 'EMPTY_DATASET'),
+  ('size', 'FILE_SIZE_EXCEEDED'), ('format', 'UNSUPPORTED_FILE_TYPE'), ('domain', 'UNSUPPORTED_DOMAIN'), ('none', 'accepted')) AS g(guard, code)
+UNION ALL SELECT 'rows', CASE WHEN count(*) > 100 THEN 'DATASET_ROW_LIMIT_EXCEEDED' ELSE 'accepted' END FROM orders"""
+CSV_ROWS = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN NULL
+  ELSE c_mktsegment || ', "' || CAST(c_nationkey AS VARCHAR) || '"' END AS segment, CAST(c_acctbal AS VARCHAR) AS c_acctbal FROM customer"""
+READBACK = """SELECT * FROM (VALUES ('dataset_profiles', 1::BIGINT), ('column_profiles', 6), ('column_categories', 6), ('quality_assessments', 10), ('overall_quality', 1),
+  ('readiness_assessments', 4), ('secondary_domains', 1), ('columns', 6), ('completed', 1)) AS t(name, n)
+UNION ALL SELECT 'rows', count(*) FROM orders UNION ALL SELECT 'suggestions', count(*) FROM orders WHERE o_orderkey % 3 = 0"""
+CATALOGUE = " UNION ALL ".join(f"""SELECT '{name}' AS dataset, * FROM (WITH {label_ctes(name, COLUMNS[name])},
+  listed AS (SELECT pos, string_agg(val, ' | ' ORDER BY vn) AS sample_values FROM value_counts WHERE vn <= 10 GROUP BY pos)
+  SELECT physical_name, row_count, distinct_count, refined_type, identifier_score, is_grain_key, semantic_type AS candidate_semantic_type, role AS candidate_role,
+         sample_values FROM labelled LEFT JOIN listed USING (pos))""" for name in ("customer", "orders", "lineitem", "part", "supplier", "nation"))
 
 
 VALUE_LIST = """WITH {ctes} SELECT physical_name, {rank} AS position, val AS value, n AS occurrences FROM value_counts WHERE {rank} <= 10"""
@@ -712,17 +849,18 @@ DATE_COMPARE = rules(
 def all_oracles() -> dict[str, str]:
     w = CHART_WEIGHTS
     return {
-        "column_profile_orders": statistics("orders", COLUMNS["orders"]),
-        "column_profile_lineitem": statistics("lineitem", COLUMNS["lineitem"]),
-        "column_profile_documents": statistics("documents", COLUMNS["documents"]),
-        "column_profile_dirty_events": statistics(DIRTY, COLUMNS["events"]),
+        "column_profile_orders": statistics("orders", COLUMNS["orders"], TYPES["orders"]),
+        "column_profile_lineitem": statistics("lineitem", COLUMNS["lineitem"], TYPES["lineitem"]),
+        "column_profile_documents": statistics("documents", COLUMNS["documents"], TYPES["documents"]),
+        "column_profile_dirty_events": statistics(DIRTY, COLUMNS["events"], TYPES["events"]),
+        "column_profile_people": statistics(PEOPLE_SOURCE, COLUMNS["people"], TYPES["people"]),
         "dataset_profile_lineitem": _volume("lineitem"),
         "dataset_profile_documents": _volume("documents"),
         "duplicate_rows_events": "SELECT count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_type, "
                                  "user_id FROM events)) AS duplicate_row_count FROM events",
-        "normalize_names": f"WITH {_names()}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS n FROM keyed) "
-                           "SELECT CAST(pos AS BIGINT) AS pos, name, CASE WHEN n > 0 THEN k || '_' || n ELSE k END AS normalized_key FROM r",
-        "duplicate_keys": f"WITH {_names()} SELECT k AS base_key, count(*) AS columns FROM keyed GROUP BY k HAVING count(*) > 1",
+        "normalize_names": f"WITH {NAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, k ORDER BY pos) - 1 AS n FROM keyed) "
+                           "SELECT dataset, CAST(pos AS BIGINT) AS pos, name, CASE WHEN n > 0 THEN k || '_' || n ELSE k END AS normalized_key FROM r",
+        "duplicate_keys": f"WITH {NAMES} SELECT dataset, k AS base_key, count(*) AS columns FROM keyed GROUP BY dataset, k HAVING count(*) > 1",
         "top_values_part": VALUE_LIST.format(ctes=profile_ctes("part", COLUMNS["part"]), rank="rn"),
         "sample_values_part": VALUE_LIST.format(ctes=profile_ctes("part", COLUMNS["part"]), rank="vn"),
         "datetime_ratio_text_dates": f"WITH {profile_ctes(TEXT_DATES, DATE_TEXTS)} SELECT physical_name, "
@@ -799,4 +937,24 @@ def all_oracles() -> dict[str, str]:
         "drill_down_orders": f"SELECT 'o_orderpriority' AS current_level, NULL::VARCHAR AS next_level, label, value, count "
                              f"FROM ({cube('orders', ['o_orderstatus', 'o_orderpriority'], 'o_totalprice')}) "
                              "WHERE level_depth = 1 AND path = 'F'",
+        "labels_people": labels("people", PEOPLE_SOURCE),
+        "labels_cards": labels("cards", CARDS_SOURCE),
+        "identifier_evidence_people": EVIDENCE,
+        "confirmed_roles_orders": DECISIONS,
+        "described_columns_orders": DESCRIBED,
+        "categories_without_domain": categories("people", "Other", PEOPLE_SOURCE),
+        "categories_weighted": categories("orders", "Payments", None, (0.9, 0.8), (0.1, 0.1, 1)),
+        "domain_decision_cards": CARDS_DOMAIN,
+        "hierarchy_chain_warning": chain(WARNING_REGION),
+        "hierarchy_unresolved": UNRESOLVED,
+        "hierarchy_build_geo": BUILT,
+        "rules_loaded_cards": LOADED,
+        "readiness_notes": NOTES,
+        "chart_dispatch": DISPATCH,
+        "chart_quality": QUALITY_CHART,
+        "chart_templates_cards": CHART_TEMPLATES,
+        "table_guards": GUARDS,
+        "csv_customers": CSV_ROWS,
+        "run_readback_orders": READBACK,
+        "catalogue_labels": CATALOGUE,
     }

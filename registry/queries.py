@@ -5,16 +5,22 @@ Lists are joined to text so that results compare by value in any engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.config.domains import domain_config
+from tablelens.config.domains import chart_templates, domain_config
+from tablelens.errors import ProfileError
 from tablelens.functions.text import duplicate_column_keys, unique_column_keys
 from tablelens.operators import categories, charts, cubes, dataset, hierarchy, labels, profile, quality, readiness, rules
 from tablelens.operators.frequencies import column_frequencies, column_names, first_values, text_cells
+from tablelens.plans import catalogue
+from tablelens.plans import run as plan
+from tablelens.sources.results import list_suggestions, read_result, read_run, record_status, write_suggestions
 from tablelens.sources.settle import settled
+from tablelens.sources.tables import check_domain, check_table, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,14 +53,58 @@ def geo(spark: SparkSession, sf: str, region: str = CLEAN_REGION) -> DataFrame:
                      nation=table(spark, sf, "nation"), region=table(spark, sf, "region"))
 
 
+# People with the kinds of columns that the labels tell apart; no row is left out.
+PEOPLE = """
+SELECT c_custkey, 'user' || CAST(c_custkey % 50 AS STRING) || '@mail' || CAST(c_nationkey AS STRING) || '.org' AS email,
+       '+1 555 ' || lpad(CAST(c_custkey % 400 AS STRING), 7, '0') AS phone,
+       CASE c_nationkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'JPY' END AS currency,
+       CASE c_nationkey % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'DE' WHEN 3 THEN 'FR' ELSE 'JP' END AS country,
+       CASE c_nationkey % 3 WHEN 0 THEN 'USA' WHEN 1 THEN 'DEU' ELSE 'JPN' END AS land,
+       c_custkey % 101 AS discount_rate,
+       '2024-' || lpad(CAST(1 + c_custkey % 12 AS STRING), 2, '0') || '-' || lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0') AS created_date,
+       '2024-' || lpad(CAST(1 + c_custkey % 12 AS STRING), 2, '0') || '-' || lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0') || 'T10:30:00' AS updated_at,
+       CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'no' END AS active_flag,
+       CASE WHEN c_nationkey < 0 THEN 'x' END AS nothing, c_mktsegment AS city_region,
+       'tier ' || CAST(c_nationkey % 6 AS STRING) AS status_level, c_name AS remark_note
+FROM {customer}
+"""
+CARDS = """
+SELECT o_orderkey AS txn_key, floor(o_totalprice / 1000.0) * 1.0 AS amount, o_orderstatus AS auth_status, o_orderpriority AS channel,
+       CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS fraud_flag, o_orderdate AS authorization_date, CAST(NULL AS STRING) AS blank
+FROM {orders}
+"""
+
+
+def people(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(PEOPLE, customer=table(spark, sf, "customer"))
+
+
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(CARDS, orders=table(spark, sf, "orders"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see, for what a query writes and reads again."""
+    settled(spark.range(1))
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/tablelens-{uuid.uuid4().hex}"
+
+
 def text_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates of orders written out in five ways."""
+    """Dates of orders written out in many ways."""
     return table(spark, sf, "orders").selectExpr(
         "date_format(o_orderdate, 'yyyy-MM-dd') AS iso_date",
         "date_format(o_orderdate, 'MM/dd/yyyy') AS us_date",
         "date_format(o_orderdate, 'dd.MM.yyyy') AS dotted_date",
         "date_format(o_orderdate, 'yyyyMMdd') AS plain_date",
         "date_format(o_orderdate, 'yyyy-MM') AS month_text",
+        "date_format(o_orderdate, 'MM/dd/yyyy') || ' 10:30' AS us_minute",
+        "date_format(o_orderdate, 'yyyy/MM/dd') || ' 10:00:00' AS slash_second",
+        "date_format(o_orderdate, 'yyyy-MM-dd') || 'T10:30Z' AS iso_minute",
+        "date_format(o_orderdate, 'dd-MMM-yyyy') AS short_name",
+        "date_format(o_orderdate, 'MMMM d, yyyy') AS long_name",
+        "date_format(o_orderdate, 'MM/dd/') || lpad(CAST(60 + o_orderkey % 20 AS STRING), 2, '0') AS short_year",
+        "if(o_orderkey % 4 = 0, date_format(o_orderdate, 'dd-MMM-yyyy'), date_format(o_orderdate, 'MMMM d, yyyy')) AS two_ways",
         "o_orderpriority AS no_date",
     )
 
@@ -70,14 +120,20 @@ STATISTICS = [
 ]
 
 
-def named_statistics(df: DataFrame) -> DataFrame:
-    """Column statistics with the column's name, without the value lists."""
-    names = column_names(df).withColumnRenamed("name", "physical_name")
-    return names.join(F.broadcast(profile.column_statistics(df)), "pos")
+LISTS = [
+    "dtype", "array_join(sample_values, ' | ') AS sample_values", "array_join(representative_values, ' | ') AS representative_values",
+    "round(datetime_parse_ratio, 6) AS datetime_parse_ratio", "array_join(dominant_patterns, ', ') AS dominant_patterns",
+    "bigint(size(warnings)) AS warnings",
+]
+
+
+def whole_profile(df: DataFrame) -> DataFrame:
+    """Every statistic and both value lists of every column."""
+    return profile.column_profile(df)
 
 
-def statistics_query(name: str) -> Query:
-    return lambda spark, sf: named_statistics(table(spark, sf, name)).selectExpr(*STATISTICS)
+def profile_query(source: Callable) -> Query:
+    return lambda spark, sf: whole_profile(source(spark, sf)).selectExpr(*STATISTICS, *LISTS)
 
 
 def listed_values(df: DataFrame, by: str) -> DataFrame:
@@ -96,14 +152,14 @@ def label(df: DataFrame, name: str = "dataset") -> DataFrame:
     return labels.label_columns(settled(profile.column_profile(df, name)))
 
 
+LABELS = [
+    "physical_name", "refined_type", "suggested_cast", "round(identifier_score, 3) AS identifier_score", "is_grain_key",
+    "candidate_semantic_type", "candidate_role", "candidate_confidence", "decision", "round(schema_confidence, 4) AS schema_confidence",
+]
+
+
 def labels_query(name: str) -> Query:
-    def query(spark, sf):
-        roles = labels.confirmed_roles(labelled(spark, sf, name))
-        return roles.selectExpr(
-            "physical_name", "refined_type", "suggested_cast", "round(identifier_score, 3) AS identifier_score",
-            "is_grain_key", "candidate_semantic_type", "candidate_role", "candidate_confidence", "decision",
-            "round(schema_confidence, 4) AS schema_confidence")
-    return query
+    return lambda spark, sf: labels.confirmed_roles(labelled(spark, sf, name)).selectExpr(*LABELS)
 
 
 def variants_query(name: str) -> Query:
@@ -224,10 +280,7 @@ def review_query(spark, sf):
 
 def quality_parts(spark, sf):
     df = dirty_events(spark, sf)
-    # quality needs counts, not value lists
-    names = unique_column_keys(column_names(df)).select("dataset", "pos", F.col("name").alias("physical_name"), "normalized_key")
-    prof = settled(names.join(F.broadcast(profile.column_statistics(df)), "pos"))
-    return prof, settled(rules.evaluate_rules(df, EVENT_RULES))
+    return settled(whole_profile(df)), settled(rules.evaluate_rules(df, EVENT_RULES))
 
 
 def dimensions_of(prof: DataFrame, results: DataFrame) -> DataFrame:
@@ -297,7 +350,7 @@ def chart(function: Callable[..., DataFrame], name: str, *args) -> Query:
 
 def missing_query(spark, sf):
     df = dirty_events(spark, sf)
-    return charts.missing_values(named_statistics(df)).selectExpr("bigint(position) AS position", "label", "value")
+    return charts.missing_values(whole_profile(df)).selectExpr("bigint(position) AS position", "label", "value")
 
 
 def violations_query(spark, sf):
@@ -324,7 +377,7 @@ def validate_query(spark, sf):
     specs = column_names(df).selectExpr(
         "dataset", "pos AS ord", "concat('by_', name) AS chart_key", "'bar' AS chart_type", "name AS dimension",
         "CASE WHEN pos = 0 THEN 'nowhere' ELSE 'l_quantity' END AS metric")
-    return charts.validate_charts(specs, named_statistics(df)).selectExpr(
+    return charts.validate_charts(specs, whole_profile(df)).selectExpr(
         "chart_key", "dimension", "bigint(size(warnings)) AS warnings")
 
 
@@ -341,23 +394,180 @@ def drill_query(spark, sf):
 
 
 def names_query(spark, sf):
-    """Column names of three tables with a common prefix cut, so that keys repeat."""
-    names = None
-    for name in ("lineitem", "orders", "customer"):
-        part = column_names(table(spark, sf, name), "all").selectExpr("dataset", "pos", "name", "dtype")
-        offset = {"lineitem": 0, "orders": 100, "customer": 200}[name]
-        part = part.selectExpr("dataset", f"pos + {offset} AS pos",
-                               "concat(' ', upper(substr(name, instr(name, '_') + 1)), '--') AS name", "dtype")
-        names = part if names is None else names.unionByName(part)
-    return names
+    """A catalogue of names as rows: the parts of a brand are its columns, and many are called alike."""
+    return table(spark, sf, "part").selectExpr(
+        "p_brand AS dataset", "int(p_partkey) AS pos", "concat(' ', upper(p_name), '--') AS name", "p_type AS dtype")
 
 
 def normalize_query(spark, sf):
-    return unique_column_keys(names_query(spark, sf)).selectExpr("bigint(pos) AS pos", "name", "normalized_key")
+    return unique_column_keys(names_query(spark, sf)).selectExpr("dataset", "bigint(pos) AS pos", "name", "normalized_key")
 
 
 def duplicate_keys_query(spark, sf):
-    return duplicate_column_keys(names_query(spark, sf)).select("base_key", "columns")
+    return duplicate_column_keys(names_query(spark, sf)).select("dataset", "base_key", "columns")
+
+
+def evidence_query(spark, sf):
+    """Why a column counts as an identifier, signal by signal."""
+    return label(people(spark, sf)).selectExpr("physical_name", "inline(identifier_evidence)").selectExpr("physical_name", "signal", "value")
+
+
+def decisions_query(spark, sf):
+    """A reviewer's decisions: every third column of orders overridden, the next one left open, the rest unanswered."""
+    found = labelled(spark, sf, "orders")
+    decisions = found.where("pos % 3 < 2").selectExpr(
+        "dataset", "physical_name", "CASE pos % 3 WHEN 0 THEN 'overridden' ELSE 'whatever' END AS decision",
+        "CASE WHEN pos = 0 THEN 'order_number' END AS semantic_type", "CASE WHEN pos = 3 THEN 'dimension' END AS role", "0.5D AS confidence")
+    return labels.confirmed_roles(found, settled(decisions)).selectExpr(
+        "physical_name", "decision", "confirmed_semantic_type", "confirmed_role", "round(schema_confidence, 4) AS schema_confidence")
+
+
+def described_query(spark, sf):
+    df = table(spark, sf, "orders")
+    metadata = [{"column_name": "o_orderkey", "mandatory": True, "expected_unique": True, "description": "key"},
+                {"column_name": "o_totalprice", "description": "sum of the order"}, {"column_name": "nowhere", "mandatory": True}]
+    return labels.described(label(df), plan.metadata_relation(spark, metadata, "dataset")).selectExpr(
+        "physical_name", "description", "mandatory", "expected_unique", "refined_type")
+
+
+def undomained_query(spark, sf):
+    """Categories without a domain's boost, so that columns without any signal get the default of their role."""
+    return categories.data_categories(label(people(spark, sf)), "Other").selectExpr(
+        "physical_name", "primary_category", "array_join(secondary_categories, ', ') AS secondary_categories", "category_confidence")
+
+
+def weighted_query(spark, sf):
+    """Categories under other weights and limits."""
+    found = categories.data_categories(labelled(spark, sf, "orders"), "Payments", {"name_keyword_match": 0.9, "column_role_match": 0.8},
+                                       {"max_secondary_categories": 1, "secondary_min_ratio_of_primary": 0.1, "secondary_min_absolute": 0.1})
+    return found.selectExpr("physical_name", "primary_category", "array_join(secondary_categories, ', ') AS secondary_categories",
+                            "category_confidence")
+
+
+def cards_domain_query(spark, sf):
+    """Payment columns score every secondary domain apart, and none high enough to be sure."""
+    found = label(cards(spark, sf))
+    scores = categories.domain_scores(found, "Payments").selectExpr("dataset", "domain_name", "round(score, 6) AS score", "bigint(rank) AS rank")
+    decided = categories.secondary_domain(found, "Payments").selectExpr(
+        "dataset", "status AS decision", "array_join(transform(candidates, c -> c.name), ', ') AS candidates")
+    return scores.join(F.broadcast(decided), "dataset").drop("dataset")
+
+
+def unresolved_chain_query(spark, sf):
+    df = table(spark, sf, "orders")
+    found = hierarchy.select_chain(df, [("order", ["o_orderstatus", "o_orderpriority"]), ("one", ["o_orderstatus"])])
+    return found.selectExpr("status", "template_key", "bigint(size(level_columns)) AS levels", "edge_count", "bigint(size(warnings)) AS warnings")
+
+
+def build_query(spark, sf):
+    """From templates to a chain, with the edges and the conflicts of the chain's own levels."""
+    df = geo(spark, sf, WARNING_REGION)
+    chain, edges, conflicts = hierarchy.examine_hierarchy(df, settled(label(df)), "Customer")
+    found = chain.selectExpr("'chain' AS part", "status AS name", "array_join(level_columns, ' > ') AS value", "edge_count AS n")
+    if edges is not None:
+        found = found.unionByName(edges.selectExpr("'edge' AS part", "concat(parent_column, ' > ', child_column) AS name", "status AS value",
+                                                   "violating_child_count AS n"))
+        found = found.unionByName(conflicts.selectExpr("'conflict' AS part", "child_value AS name", "array_join(parent_values, ', ') AS value",
+                                                       "bigint(parent_count) AS n"))
+    return found
+
+
+def loaded_rules_query(spark, sf):
+    """Rules of the domain, with roles resolved to columns, and of a request; an unknown type is dropped."""
+    df = cards(spark, sf)
+    found = settled(label(df))
+    roles = {r["candidate_semantic_type"]: r["physical_name"] for r in labels.role_map(found).collect()}
+    asked = [{"rule_key": "blank", "type": "regex_match", "target_column": "blank", "pattern": "x"}, {"type": "nonsense"},
+             {"type": "allowed_values", "target_column": "auth_status", "values": ["F", "O"]}]
+    to_check = rules.domain_rules("Payments", "Fraud") + rules.request_rules(asked)
+    return rules.evaluate_rules(df, to_check, roles).selectExpr(
+        "rule_key", "rule_type", "records_checked", "pass_count", "round(score, 6) AS score",
+        "array_join(target_columns, ', ') AS target_columns", "error IS NOT NULL AS failed")
+
+
+def notes_query(spark, sf):
+    """What readiness rests on: every strength, blocker and piece of advice with its value."""
+    df = table(spark, sf, "orders")
+    found = label(df)
+    dims = quality.completeness(found, ["o_orderkey", "o_custkey"]).unionByName(quality.uniqueness(found, ["o_orderkey"]))
+    rated = readiness.readiness(found, dims, 3)
+    parts = [rated.selectExpr("assessment_type", f"'{kind}' AS kind", f"inline({kind})") for kind in ("strengths", "blocking_issues", "recommendations")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).selectExpr("assessment_type", "kind", "code", "round(value, 6) AS value")
+
+
+def dispatch_query(spark, sf):
+    """Charts of every kind through one entry; kinds without data of their own give none."""
+    df, data = table(spark, sf, "orders"), None
+    for key, kind, dimension, metric, aggregation in [
+            ("donut", "donut", "o_orderstatus", None, "count"), ("stacked", "stacked_bar", "o_orderpriority", "o_totalprice", "sum"),
+            ("line", "line", "o_orderdate", None, "count"), ("mean", "kpi", None, "o_totalprice", "mean"), ("box", "box", "o_orderstatus", None, "count"),
+            ("lost", "bar", "nowhere", None, "count")]:
+        part = charts.chart_data(df, {"chart_key": key, "chart_type": kind, "dimension": dimension, "metric": metric, "aggregation": aggregation})
+        if part is not None:
+            data = part if data is None else data.unionByName(part)
+    return data.selectExpr("chart_key", "bigint(position) AS position", "label", "value")
+
+
+def quality_chart_query(spark, sf):
+    return charts.quality_scores(dimensions_of(*quality_parts(spark, sf))).selectExpr("bigint(position) AS position", "label", "value")
+
+
+def template_charts_query(spark, sf):
+    found = settled(label(cards(spark, sf)))
+    domain = charts.template_charts(found, chart_templates("Payments")["domain"])
+    common = charts.profiling_charts(found, chart_templates("Payments")["profiling"])
+    return domain.unionByName(common).select("chart_key", "category", "chart_type", "title", "dimension", "metric", "aggregation")
+
+
+def guards_query(spark, sf):
+    """The code of every refusal, provoked with the orders at hand."""
+    df, codes = table(spark, sf, "orders"), []
+    for guard, provoke in [
+            ("rows", lambda: check_table(df, max_rows=100)), ("columns", lambda: check_table(df, max_columns=5)),
+            ("no rows", lambda: check_table(df.where("o_orderkey < 0"))), ("no columns", lambda: check_table(df.select())),
+            ("size", lambda: read_table(spark, f"{sf}/orders.parquet", max_mb=1e-6)), ("format", lambda: read_table(spark, f"{sf}/orders.xlsx")),
+            ("domain", lambda: check_domain("Sports")), ("none", lambda: check_table(df, max_rows=10**15, max_columns=6))]:
+        try:
+            provoke()
+            codes.append((guard, "accepted"))
+        except ProfileError as error:
+            codes.append((guard, error.code))
+    return spark.createDataFrame(codes, "guard string, code string")
+
+
+def csv_query(spark, sf):
+    """Customers written as CSV files with spellings of missing values, and read again as texts."""
+    path = f"{shared_folder(spark)}/customers.csv"
+    table(spark, sf, "customer").selectExpr(
+        "c_custkey", "CASE WHEN c_custkey % 5 = 0 THEN 'N/A' WHEN c_custkey % 7 = 0 THEN 'null' ELSE c_mktsegment || ', \"' || c_nationkey || '\"' END AS segment",
+        "c_acctbal").write.csv(path, header=True, quote='"', escape='"')
+    return read_table(spark, path).selectExpr("c_custkey", "segment", "c_acctbal")
+
+
+def readback_query(spark, sf):
+    """A run written, published and read back whole: rows per result table, and its state."""
+    root = shared_folder(spark)
+    done = plan.run_and_write(spark, root, table(spark, sf, "orders"), "Payments", "orders",
+                              metadata=[{"column_name": "o_orderkey", "mandatory": True, "expected_unique": True}])
+    suggested = table(spark, sf, "orders").selectExpr("o_orderkey AS suggestion_id", "o_orderstatus AS rule_key",
+                                                      "if(o_orderkey % 3 = 0, 'proposed', 'rejected') AS status")
+    write_suggestions(suggested, root, "suggested")
+    record_status(spark, root, "suggested", "completed", "Payments")
+    suggested = list_suggestions(read_result(spark, root, "rule_suggestions"), "suggested", "proposed")
+    record = read_run(spark, root, done.run_id)
+    sizes = ", ".join(f"named_struct('name', '{t}', 'n', bigint(size({t})))" for t in (
+        "dataset_profiles", "column_profiles", "column_categories", "quality_assessments", "overall_quality", "readiness_assessments", "secondary_domains"))
+    rows = record.selectExpr(f"inline(array({sizes}, named_struct('name', 'rows', 'n', row_count), named_struct('name', 'columns', 'n', bigint(column_count)), "
+                             "named_struct('name', status, 'n', bigint(json IS NOT NULL))))")
+    return rows.unionByName(suggested.groupBy().agg(F.count(F.lit(1)).alias("n")).selectExpr("'suggestions' AS name", "n"))
+
+
+def catalogue_query(spark, sf):
+    """Six tables labelled together."""
+    tables = {name: table(spark, sf, name) for name in ("customer", "orders", "lineitem", "part", "supplier", "nation")}
+    return catalogue.catalogue_labels(tables).selectExpr(
+        "dataset", "physical_name", "row_count", "distinct_count", "refined_type", "round(identifier_score, 3) AS identifier_score", "is_grain_key",
+        "candidate_semantic_type", "candidate_role", "array_join(sample_values, ' | ') AS sample_values")
 
 
 def dataset_query(name: str) -> Query:
@@ -372,12 +582,12 @@ def patterns_query(function: Callable, name: str, column: str) -> Query:
 
 
 def warnings_query(spark, sf):
-    return named_statistics(dirty_events(spark, sf)).selectExpr(
+    return whole_profile(dirty_events(spark, sf)).selectExpr(
         "physical_name", "bigint(size(warnings)) AS warnings", "array_join(dominant_patterns, ', ') AS patterns")
 
 
 def date_ratio_query(spark, sf):
-    return named_statistics(text_dates(spark, sf)).selectExpr(
+    return whole_profile(text_dates(spark, sf)).selectExpr(
         "physical_name", "round(datetime_parse_ratio, 6) AS datetime_parse_ratio",
         "array_join(dominant_patterns, ', ') AS dominant_patterns")
 
@@ -393,10 +603,11 @@ def grain_query(spark, sf):
 def all_queries() -> dict[str, Query]:
     duplicate_columns = ["event_type", "user_id"]
     return {
-        "column_profile_orders": statistics_query("orders"),
-        "column_profile_lineitem": statistics_query("lineitem"),
-        "column_profile_documents": statistics_query("documents"),
-        "column_profile_dirty_events": lambda spark, sf: named_statistics(dirty_events(spark, sf)).selectExpr(*STATISTICS),
+        "column_profile_orders": profile_query(lambda s, f: table(s, f, "orders")),
+        "column_profile_lineitem": profile_query(lambda s, f: table(s, f, "lineitem")),
+        "column_profile_documents": profile_query(lambda s, f: table(s, f, "documents")),
+        "column_profile_dirty_events": profile_query(dirty_events),
+        "column_profile_people": profile_query(people),
         "dataset_profile_lineitem": dataset_query("lineitem"),
         "dataset_profile_documents": dataset_query("documents"),
         "duplicate_rows_events": lambda spark, sf: dataset.duplicate_rows(
@@ -458,4 +669,24 @@ def all_queries() -> dict[str, Query]:
         "cube_lineitem": cube_query(lambda s, f: table(s, f, "lineitem"),
                                     ["l_returnflag", "l_linestatus", "l_suppkey"], "l_quantity"),
         "drill_down_orders": drill_query,
+        "labels_people": lambda spark, sf: labels.confirmed_roles(label(people(spark, sf))).selectExpr(*LABELS),
+        "labels_cards": lambda spark, sf: labels.confirmed_roles(label(cards(spark, sf))).selectExpr(*LABELS),
+        "identifier_evidence_people": evidence_query,
+        "confirmed_roles_orders": decisions_query,
+        "described_columns_orders": described_query,
+        "categories_without_domain": undomained_query,
+        "categories_weighted": weighted_query,
+        "domain_decision_cards": cards_domain_query,
+        "hierarchy_chain_warning": chain_query(WARNING_REGION),
+        "hierarchy_unresolved": unresolved_chain_query,
+        "hierarchy_build_geo": build_query,
+        "rules_loaded_cards": loaded_rules_query,
+        "readiness_notes": notes_query,
+        "chart_dispatch": dispatch_query,
+        "chart_quality": quality_chart_query,
+        "chart_templates_cards": template_charts_query,
+        "table_guards": guards_query,
+        "csv_customers": csv_query,
+        "run_readback_orders": readback_query,
+        "catalogue_labels": catalogue_query,
     }

@@ -42,7 +42,6 @@ DATE_FORMATS = [
 _NAMED_MONTH = {"day_name", "name_day"}
 # Formats that do not tell whether the month or the day comes first: month first, unless only day first gives a date.
 _OPEN_ORDER = ["month_slash", "month_dash", "short_year"]
-_NAMES = [name for name, *_ in DATE_FORMATS]
 # No date is shorter than a year; none is longer than the longest date, a blank and the longest time.
 SHORTEST_DATE = 4
 LONGEST_DATE = len("30 September 2024") + 1 + len("10:00:00.123456789+00:00")
@@ -89,7 +88,7 @@ def boolean_sql(text: str) -> str:
 
 
 def _let(value: str, name: str, body: str) -> str:
-    """``body`` with ``name`` bound to a value that is computed once.
+    """``body`` with ``name`` (no column's name) bound to a value that is computed once.
 
     A higher-order function is not unrolled into generated code.  Together with
     the statements around it the date formats would make a method beyond the
@@ -99,45 +98,44 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _iso_sql(name: str, guard: str, order: str, day_first: bool = False) -> str:
-    """The date of a text ``p.d`` as year-month-day."""
+    """The date ``tl_parts.d`` as year-month-day."""
     year, month, day = (f"${order[i]}" if i < len(order) else "01" for i in range(3))
     if day_first:
         month, day = day, month
-    groups = f"regexp_replace(p.d, {sql_string(guard)}, {sql_string(f'{year}-{month}-{day}')})"
+    groups = f"regexp_replace(tl_parts.d, {sql_string(guard)}, {sql_string(f'{year}-{month}-{day}')})"
     if name in _NAMED_MONTH:
         # the name stands between two dashes; three letters of a month or all of it, else there is no such month
         named = f"substring_index(substring_index({groups}, '-', 2), '-', -1)"
         number = (f"CASE WHEN char_length({named}) = 3 OR array_contains(array{sql_list(MONTH_NAMES)}, {named}) "
-                  f"THEN array_position(transform(array{sql_list(MONTH_NAMES)}, m -> left(m, 3)), left({named}, 3)) ELSE 0 END")
+                  f"THEN array_position(transform(array{sql_list(MONTH_NAMES)}, tl_month -> left(tl_month, 3)), left({named}, 3)) ELSE 0 END")
         return f"concat(left({groups}, 5), {number}, '-', substring_index({groups}, '-', -1))"
     if name == "short_year":
         # the century of two-digit years turns at 69
-        return f"concat(if(substr(p.d, -2) >= '69', '19', '20'), {groups})"
+        return f"concat(if(substr(tl_parts.d, -2) >= '69', '19', '20'), {groups})"
     return groups
 
 
-def _dated(readings: list[tuple[int, str, str, str, str, bool]]) -> str:
-    """The first of (bit, cheap test, guard, ISO form, ...) that a text ``p`` fits: struct of bit and ISO form."""
+def _dated(readings: list[tuple[int, str, str, str, bool]]) -> str:
+    """The first of (bit, cheap test, guard, ISO form, ...) that ``tl_parts`` fits: struct of bit and ISO form."""
     branches = " ".join(
-        f"WHEN {cheap.format(d='p.d')} AND p.d RLIKE {sql_string(guard)}{'' if timed else ' AND p.kind = 0'} "
-        f"THEN named_struct('bit', {bit} + p.kind, 'iso', concat({iso}, p.time))"
-        for bit, cheap, guard, iso, _, timed in readings
+        f"WHEN {cheap.format(d='tl_parts.d')} AND tl_parts.d RLIKE {sql_string(guard)}{'' if timed else ' AND tl_parts.kind = 0'} "
+        f"THEN named_struct('bit', {bit} + tl_parts.kind, 'iso', concat({iso}, tl_parts.time))"
+        for bit, cheap, guard, iso, timed in readings
     )
     return f"CASE {branches} END"
 
 
-_FIRST = _dated([(_DATE_BIT + TIME_KINDS * i, cheap, guard, _iso_sql(name, guard, order), name, timed)
+_FIRST = _dated([(_DATE_BIT + TIME_KINDS * i, cheap, guard, _iso_sql(name, guard, order), timed)
                  for i, (name, cheap, guard, order, timed) in enumerate(DATE_FORMATS)])
-_SECOND = _dated([(_DAY_FIRST_BIT + TIME_KINDS * k, *DATE_FORMATS[_NAMES.index(name)][1:3],
-                   _iso_sql(name, DATE_FORMATS[_NAMES.index(name)][2], DATE_FORMATS[_NAMES.index(name)][3], day_first=True), name, True)
-                  for k, name in enumerate(_OPEN_ORDER)])
+_SECOND = _dated([(_DAY_FIRST_BIT + TIME_KINDS * _OPEN_ORDER.index(name), cheap, guard, _iso_sql(name, guard, order, day_first=True), timed)
+                  for name, cheap, guard, order, timed in DATE_FORMATS if name in _OPEN_ORDER])
 
 
 def _valid_sql(dated: str) -> str:
     """A reading that names a time a nanosecond timestamp can hold, with that time; else null."""
-    year = f"left({dated}.iso, 4)"
-    return (f"CASE WHEN {year} BETWEEN '1678' AND '2261' THEN "
-            f"{_let(f'try_cast({dated}.iso AS timestamp)', 'ts', f'if(ts IS NULL, NULL, named_struct({chr(39)}bit{chr(39)}, {dated}.bit, {chr(39)}ts{chr(39)}, ts))')} END")
+    kept = f"if(tl_ts IS NULL, NULL, named_struct('bit', {dated}.bit, 'ts', tl_ts))"
+    return (f"CASE WHEN left({dated}.iso, 4) BETWEEN '1678' AND '2261' THEN "
+            f"{_let(f'try_cast({dated}.iso AS timestamp)', 'tl_ts', kept)} END")
 
 
 def dates_sql(text: str) -> str:
@@ -145,23 +143,22 @@ def dates_sql(text: str) -> str:
 
     A struct of ``first`` and ``second``, each null or a bit and a timestamp.
     """
-    parts = (
-        f"CASE WHEN contains({text}, ':') THEN named_struct('d', regexp_extract({text}, {sql_string(_DATED)}, 1), "
-        f"'time', concat('T', regexp_extract({text}, {sql_string(_DATED)}, 2)), "
-        # a second colon before any zone
-        f"'kind', if(regexp_extract({text}, {sql_string(_DATED)}, 2) RLIKE '^[0-9]+:[0-9]+:', 2, 1)) "
-        f"ELSE named_struct('d', {text}, 'time', '', 'kind', 0) END"
-    )
-    first, second = _let(_FIRST, "r", _valid_sql("r")), _let(_SECOND, "r", _valid_sql("r"))
-    read = _let(parts, "p", f"named_struct('first', {first}, 'second', {second})")
-    # most texts hold no digit at either end, and no date lacks one there
+    # a time without seconds gets them, since a zone may follow only after seconds
+    timed = _let(
+        f"regexp_extract({text}, {sql_string(_DATED)}, 2)", "tl_time",
+        f"named_struct('d', regexp_extract({text}, {sql_string(_DATED)}, 1), 'time', concat('T', "
+        "if(tl_time RLIKE '^[0-9]+:[0-9]+:', tl_time, regexp_replace(tl_time, '^([0-9]+:[0-9]+)', '$1:00'))), 'kind', if(tl_time RLIKE '^[0-9]+:[0-9]+:', 2, 1))")
+    parts = f"CASE WHEN contains({text}, ':') THEN {timed} ELSE named_struct('d', {text}, 'time', '', 'kind', 0) END"
+    first, second = _let(_FIRST, "tl_read", _valid_sql("tl_read")), _let(_SECOND, "tl_read", _valid_sql("tl_read"))
+    read = _let(parts, "tl_parts", f"named_struct('first', {first}, 'second', {second})")
+    # a date ends in a digit, or in the zone Z after one
     likely = f"char_length({text}) BETWEEN {SHORTEST_DATE} AND {LONGEST_DATE} AND {text} RLIKE '[0-9]Z?$'"
     return f"CASE WHEN {likely} THEN {read} END"
 
 
 def timestamp_sql(text: str) -> str:
     """Month-first where the order is open, else day-first."""
-    return _let(dates_sql(text), "dates", "coalesce(dates.first.ts, dates.second.ts)")
+    return _let(dates_sql(text), "tl_dates", "coalesce(tl_dates.first.ts, tl_dates.second.ts)")
 
 
 def _bit(condition: str, i: int) -> str:
@@ -176,10 +173,10 @@ def shape_sql(text: str, label: str, regex: str) -> str:
 
 def flags_sql(text: str) -> str:
     """One bit per shape pattern, per date reading, and for booleans."""
-    bits = [_bit(shape_sql("v", label, regex), i) for i, (label, regex) in enumerate(SHAPE_PATTERNS)]
-    bits.append(_let(dates_sql("v"), "dates", "coalesce(shiftleft(1L, dates.first.bit), 0L) + coalesce(shiftleft(1L, dates.second.bit), 0L)"))
-    bits.append(_bit(boolean_sql("v"), _BOOL_BIT))
-    return _let(text, "v", f"aggregate(array({', '.join(bits)}), 0L, (flags, bit) -> flags + bit)")
+    bits = [_bit(shape_sql("tl_value", label, regex), i) for i, (label, regex) in enumerate(SHAPE_PATTERNS)]
+    bits.append(_let(dates_sql("tl_value"), "tl_dates", "coalesce(shiftleft(1L, tl_dates.first.bit), 0L) + coalesce(shiftleft(1L, tl_dates.second.bit), 0L)"))
+    bits.append(_bit(boolean_sql("tl_value"), _BOOL_BIT))
+    return _let(text, "tl_value", f"aggregate(array({', '.join(bits)}), 0L, (tl_flags, tl_bit) -> tl_flags + tl_bit)")
 
 
 def long_flags_sql(text: str) -> str:

@@ -67,7 +67,8 @@ def check_table(df: DataFrame, max_rows: int | None = None, max_columns: int | N
                            {"actual_columns": len(df.columns), "maximum_columns": max_columns})
     if df.isEmpty():
         raise ProfileError("NO_DATA_ROWS", "the table has columns but no rows", {"columns": len(df.columns)})
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+    # a limit is an int; beyond it there is nothing to save by stopping early
+    if max_rows is not None and (df.limit(max_rows + 1) if max_rows < 2**31 - 1 else df).count() > max_rows:
         raise ProfileError("DATASET_ROW_LIMIT_EXCEEDED", "the table has too many rows", {"maximum_rows": max_rows})
     return df
 

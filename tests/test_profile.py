@@ -65,6 +65,21 @@ def test_long_values_come_back_whole(profile):
     assert body.representative_values == ["short", "x" * 300 + " end"]
 
 
+def test_long_values_sort_by_their_characters(spark):
+    """One order for all lengths, and beginnings that many values share."""
+    rng = random.Random(8)
+    values = ["m" * n for n in (1, 255, 256, 257, 300, 2000)] + ["a" * 400, "z", "", "a" * 399 + "b", "é" * 300]
+    values += ["same beginning " * 30 + f"{i:03d}" for i in rng.sample(range(200), 60)]
+    rows = [(v, v[::-1]) for v in values] * 2 + [(values[-1], None)] * 3
+    found = by_name(column_profile(spark.createDataFrame(rows, "a string, b string").repartition(7)))
+    for name, column in (("a", 0), ("b", 1)):
+        present = [r[column] for r in rows if r[column] is not None]
+        counts = {v: present.count(v) for v in present}
+        assert found[name].sample_values == sorted(counts, key=lambda v: v.encode())[:10]
+        assert found[name].representative_values == sorted(counts, key=lambda v: (-counts[v], v.encode()))[:10]
+        assert found[name].distinct_count == len(counts)
+
+
 def test_top_values_and_samples(profile):
     assert profile["flag"].representative_values == ["yes", "no"]
     assert profile["whole"].sample_values == sorted(str(i - 50) for i in range(100))[:10]
@@ -119,6 +134,9 @@ def test_date_reading(spark):
         "2024-02-29": "2024-02-29", "2024-02-30": None, "2024-01-05 10:11:12": "2024-01-05", "01/31/2024": "2024-01-31",
         "31/01/2024": "2024-01-31", "20240115": "2024-01-15", "2024-01": "2024-01-01", "2024": "2024-01-01",
         "15.01.2024": "2024-01-15", "5 Mar 2024": "2024-03-05", "Mar 5, 2024": "2024-03-05", "5 Foo 2024": None,
+        "01/02/2024 10:30": "2024-01-02", "31/01/2024 10:30:05": "2024-01-31", "2024/01/15 10:00:00": "2024-01-15", "2024-01-15T10:30Z": "2024-01-15",
+        "2024-01-15T10:30:00.5+02:00": "2024-01-15", "15-Jan-2024": "2024-01-15", "15 January 2024": "2024-01-15", "January 15, 2024": "2024-01-15",
+        "Janua 15, 2024": None, "12/31/69": "1969-12-31", "31/12/68": "2068-12-31", "5-Mar-2024 7:05": "2024-03-05", "2024 10:30": None,
         "2024/1/5": "2024-01-05", "12:30": None, "100": None, "12345": None, "9999-12-31": None,
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")
@@ -156,6 +174,24 @@ def test_dataset_profile(spark):
     assert duplicate_rows(df, ["c"]).first()["duplicate_row_count"] == 4
 
 
+def shape(df):
+    """(file scans, expands, exchanges read again) of the plan as it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Scan parquet") or plan.count("FileScan"), plan.count("Expand "), plan.count("ReusedExchange")
+
+
+def test_one_scan(spark):
+    from tablelens.operators import cubes, hierarchy
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    scans, expands, again = shape(cubes.cube_cells(lines, ["l_returnflag", "l_linestatus", "l_suppkey"], "l_quantity"))
+    assert (scans, expands) == (1, 0) and again > 0
+    assert shape(dataset_profile(lines))[0] == 1
+    assert shape(hierarchy.validate_edges(lines, [("l_returnflag", "l_linestatus"), ("l_linestatus", "l_suppkey")]))[0] == 1
+    assert shape(column_profile(lines.drop("l_returnflag", "l_linestatus")))[0] == 1
+
+
 def test_empty_table_has_a_profile(spark):
     rows = column_profile(spark.createDataFrame([], "a string, b double")).collect()
     assert [(r.row_count, r.cardinality_ratio) for r in rows] == [(0, 0.0), (0, 0.0)]
