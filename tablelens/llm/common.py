@@ -75,15 +75,33 @@ def give_back() -> None:
             trim(0)
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+#: Links of a node that one task joins, at least; nodes with more are hubs, whose links are split.
+HUB_LINKS = 1 << 16
+#: Hubs there can be at most, which are broadcast (16 bytes each).
+MOST_HUBS = 1 << 18
+
+
+def _meet_lowest(rows: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+    """Rows (u, v) with `low` of their u, from (u, low, links); a hub's rows are dealt to several tasks."""
+    parts = low.select("u", "low", F.greatest(F.ceil(F.col("links") / hub), F.lit(1)).cast("int").alias("parts"))
+    hubs = parts.where("parts > 1").select("u", "parts")
+    spread = rows.join(F.broadcast(hubs), "u", "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("v"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    spread = spread.select("u", "v", part.alias("part"))
+    copies = parts.select("u", "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return spread.join(copies, ["u", "part"])
+
+
+def components(links: DataFrame, a: str, b: str, hub_links: int | None = None) -> DataFrame:
     """Connected components of undirected links: (node, component), component the smallest node.
 
     Alternates the two star operations: every node hands its larger, then its
     smaller neighbours to its smallest one, until nothing moves.  Rounds grow
     with the logarithm of the longest chain.  A node with very many neighbours
-    is one partial minimum per task and a skewed join, which Spark splits.
-    Nodes are longs; links to oneself and null ends are ignored.  Nodes without
-    a link do not appear.
+    is one partial minimum per task, and its links are joined in parts of
+    `hub_links`, which grow with all links so that there are at most MOST_HUBS
+    such nodes.  Nodes are longs; links to oneself and null ends are ignored.
+    Nodes without a link do not appear.
     """
     u, v = F.col("u"), F.col("v")
     ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), quoted(a).alias("x"), quoted(b).alias("y"))
@@ -94,10 +112,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if state == before or state[0] == 0:
             return edges.select(u.alias("node"), v.alias("component"))
         before = state
+        # both ends of every link count, so at most this many nodes have more links than a hub
+        hub = max(hub_links or HUB_LINKS, 2 * state[0] // MOST_HUBS)
         both = edges.union(edges.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
-        large = both.where(v > u).join(low, "u").select(v.alias("u"), F.col("low").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(v.alias("u"), F.col("low").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"), F.count("*").alias("links"))
+        large = _meet_lowest(both.where(v > u), low, hub).select(v.alias("u"), F.col("low").alias("v")).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("links"))
+        small = _meet_lowest(large, low, hub).select(v.alias("u"), F.col("low").alias("v"))
         small = small.union(low.select("u", F.col("low").alias("v")))
         edges = cut(small.where("u != v").distinct())

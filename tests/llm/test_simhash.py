@@ -4,7 +4,9 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from tablelens.llm.common import components
 from tablelens.llm.simhash import fingerprint_links, hex_digits, simhash, simhash_components
 
 
@@ -82,3 +84,30 @@ def test_components_of_rows(spark):
 
 def test_empty_table(spark):
     assert simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hubs_are_split(spark):
+    """A star of many links, chains and cycles; whatever counts as a hub, components are the same."""
+    links = [(0, i) for i in range(1, 3001)] + [(5000 + i, 5001 + i) for i in range(40)] + [(9000, 9001), (9001, 9002), (9002, 9000), (3000, 7000), (8000, 8000), (None, 1)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {**{i: 0 for i in [*range(3001), 7000]}, **{5000 + i: 5000 for i in range(41)}, 9000: 9000, 9001: 9000, 9002: 9000}
+    for hub in (None, 100, 7):
+        got = {r["node"]: r["component"] for r in components(df, "a", "b", hub_links=hub).collect()}
+        assert {n: got.get(n, n) for n in want} == want and set(got) <= set(want)
+
+
+def test_a_hub_is_dealt_to_many_tasks(spark):
+    from tablelens.llm.common import _meet_lowest
+
+    rows = spark.range(1, 20001).selectExpr("0L AS u", "id AS v")
+    low = rows.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("links"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        met = _meet_lowest(rows, low, 1000)
+        sizes = [r["n"] for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 20000 and met.where("low != 1").count() == 0
+        assert max(sizes) < 12000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
