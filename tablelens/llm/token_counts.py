@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,8 +30,10 @@ from tokenizers import Tokenizer
 from tablelens.llm.common import raw_bytes
 from tablelens.llm.merges import Borders, merge_all
 
-CHUNKS_REMEMBERED = 600_000
-WORDS_REMEMBERED = 300_000
+#: Results a worker remembers, and the longest argument that is worth it: some 100 MB at most.
+CHUNKS_REMEMBERED = 400_000
+WORDS_REMEMBERED = 200_000
+REMEMBERED_LENGTH = 64
 
 
 class PrefixCounter:
@@ -76,6 +80,7 @@ class PrefixCounter:
             (self.last if ends else self.inside)[letters] = token
         # no token that ends in these two letters is longer
         self.reach, self.last_reach = _reach(self.inside), _reach(self.last)
+        self.longest = max(map(len, [*self.inside, *self.last]))
         self.borders = Borders(parts, order, lambda a, b: merges[a, b][0] if (a, b) in merges else None)
         self.chunks = _Remembered(self._count_chunk, CHUNKS_REMEMBERED)
         self.words = _Remembered(self._count_word, WORDS_REMEMBERED)
@@ -86,21 +91,22 @@ class PrefixCounter:
         """Tokens of each prefix of a word (in the library's spelling of bytes), each as a word of its own."""
         return self._relax(word, True)
 
-    def _relax(self, word: str, all_ends: bool) -> list[int]:
+    def _relax(self, word: str, all_ends: bool, most: int | None = None) -> list[int]:
+        """Tokens of each prefix (of the whole word at least); with `most`, prefixes that must have more are left out."""
         stays, inside, last_tokens = self.borders.stays, self.inside.get, self.last.get
         reach, last_reach = self.reach.get, self.last_reach.get
-        size = len(word)
+        size = len(word) if most is None else min(len(word), (most + 1) * self.longest)
         ends_with, tokens = [-1] * (size + 1), [0] * (size + 1)
         answers = [0] * (size + 1)
         for end in range(1, size + 1):
             two = word[end - 2:end] if end > 1 else ""
-            if end < size:
+            if end < len(word):
                 for start in range(max(0, end - reach(two, 1)), end):
                     token = inside(word[start:end])
                     if token is not None and (not start or stays(ends_with[start], token)):
                         ends_with[end], tokens[end] = token, tokens[start] + 1
                         break
-            if all_ends or end == size:
+            if all_ends or end == len(word):
                 for start in range(max(0, end - last_reach(two, 1)), end):
                     token = last_tokens(word[start:end])
                     if token is not None and (not start or stays(ends_with[start], token)):
@@ -141,26 +147,56 @@ class PrefixCounter:
             if used + more <= budget:
                 used, best = used + more, match.end()
                 continue
-            chars = match[0].decode("utf-8", "replace")
-            counts = self._chunk_prefixes(chars)
-            inner = max(k for k, n in enumerate(counts) if used + n <= budget)
-            return match.start() + len(chars[:inner].encode()) if inner else best
+            inner = self._fit_chunk(match[0].decode("utf-8", "replace"), budget - used)
+            return match.start() + len(inner.encode()) if inner else best
         return len(text)
 
-    def _chunk_prefixes(self, text: str) -> list[int]:
-        """Tokens of each prefix of a chunk."""
-        low = text.lower()
-        if not self.plain(text) or self.special is not None and self.special.search(text):
-            return [self._count_chunk(text[:k].encode()) for k in range(len(text) + 1)]
-        counts, done = [0], 0
-        for word in self.plain_words(low):
-            inner = self.prefixes(word)[1:]
+    def _fit_chunk(self, text: str, budget: int) -> str:
+        """The longest prefix of a text without white space that has at most `budget` tokens."""
+        if self.special is not None:
+            at, used = 0, 0
+            for found in self.special.finditer(text):
+                before = text[at:found.start()]
+                more = (self._count_plain(before) if before else 0) + 1
+                if used + more > budget:
+                    # a special string that is cut is plain text
+                    return text[:at] + self._fit_plain(text[at:found.end() - 1], budget - used)
+                at, used = found.end(), used + more
+            return text[:at] + self._fit_plain(text[at:], budget - used)
+        return self._fit_plain(text, budget)
+
+    def _fit_plain(self, text: str, budget: int) -> str:
+        """The same for a text without special strings.
+
+        The library cuts the text into words once.  All prefixes up to the word
+        in which the budget ends are known from the words' counts, and those in
+        it from its table.
+        """
+        plain = self.normalize(text)
+        each = [self.normalize(c) for c in text]
+        spelled = [w for w, _ in self.split(plain)] if plain else []
+        ends = list(accumulate(len(c.encode()) for c in each))
+        if "".join(each) != plain or sum(map(len, spelled)) != (ends[-1] if ends else 0):
+            # letters that combine with the ones before them: look at the prefixes themselves
+            kept = [k for k in range(len(text) + 1) if k == 0 or self._count_plain(text[:k]) <= budget]
+            return text[:kept[-1]]
+        used, begin, fits = 0, 0, 0
+        for word in spelled:
+            count = self.words[word]
+            if used + count <= budget:
+                used, begin = used + count, begin + len(word)
+                fits = begin
+                continue
+            table = self._relax(word, True, budget - used)
             if len(word) == 3 and word[0] == "'":
                 # cut short, an ending like 're is a mark and a letter
-                inner[1] = self.words["'"] + self.words[word[1]]
-            counts += [done + n for n in inner]
-            done = counts[-1]
-        return counts
+                table[2] = self.words["'"] + self.words[word[1]]
+            inner = [k for k, n in enumerate(table) if 0 < n <= budget - used]
+            within = {begin + k for k in inner}
+            last = max((e for e in ends if e in within), default=fits)
+            fits = max(fits, last)
+            break
+        return text[:bisect_right(ends, fits)]
 
 
 def _reach(tokens: dict[str, int]) -> dict[str, int]:
@@ -171,7 +207,7 @@ def _reach(tokens: dict[str, int]) -> dict[str, int]:
 
 
 class _Remembered(dict):
-    """Results by argument; forgets all when full."""
+    """Results by argument; long arguments are not kept, and when full all are forgotten."""
 
     def __init__(self, function, most: int):
         super().__init__()
@@ -180,7 +216,9 @@ class _Remembered(dict):
     def __missing__(self, key):
         if len(self) >= self.most:
             self.clear()
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if len(key) <= REMEMBERED_LENGTH:
+            self[key] = value
         return value
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -96,3 +97,35 @@ def test_odd_rows(spark, odd_rows):
         assert r["c"]["piece_ids"] == r["ids"] and r["c"]["round_trip"]
     empty = spark.createDataFrame([], "text string")
     assert empty.select(token_count(F.col("text"), WORDS), piece_ids(F.col("text"), PIECES)).collect() == []
+
+
+def longest_within(library, text, budget):
+    """Characters of the longest prefix within a budget, by encoding every prefix."""
+    return max(k for k in range(len(text) + 1) if len(library.encode(text[:k], add_special_tokens=False).ids) <= budget)
+
+
+def test_budgets_equal_all_prefixes():
+    library, own = Tokenizer.from_file(WORDS), counter(WORDS)
+    rng = random.Random(9)
+    letters = "中文字かなабвé'rtüß1.!" + "é" + "<|"
+    some = ["".join(rng.choices(letters, k=rng.randrange(1, 25))) for _ in range(250)]
+    some += ["don't", "we're", "они'll", "x<|endoftext|>中文", "中<|endoftext|", "<|startoftext|><|endoftext|>a", "éé", "ΑΣ", "straße"]
+    for text in some:
+        for budget in (0, 1, 2, 5, 9):
+            want = text[:longest_within(library, text, budget)]
+            got = text.encode()[:own.fit(text.encode(), budget)].decode()
+            # white space after the last token counts nothing, and there is none here
+            assert got == want, (text, budget)
+
+
+def test_budget_of_a_text_without_spaces_is_quick():
+    own = counter(WORDS)
+    text = "汉字" * 50_000
+    start = time.process_time()
+    assert 0 < own.fit(text.encode(), 5) < 100
+    at = own.fit(text.encode(), 1000)
+    assert time.process_time() - start < 2
+    library = Tokenizer.from_file(WORDS)
+    kept = text.encode()[:at].decode()
+    assert len(library.encode(kept, add_special_tokens=False).ids) <= 1000
+    assert len(library.encode(text[:len(kept) + 1], add_special_tokens=False).ids) > 1000
