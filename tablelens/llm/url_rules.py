@@ -68,18 +68,44 @@ def explicit(host: Column, path: Column, rules: list[PrefixRule]) -> tuple[Colum
     return rule, verdict
 
 
+def _merged(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tokens, label) with tokens that always occur together made one, and (token, stands_for) of all.
+
+    Tokens occur together if their rows are the same: equal numbers of rows and
+    equal sums of two hashes over them.  The smallest stands for the others, so
+    that a list of many such tokens has few item sets.
+    """
+    rows = cut(labelled.withColumn("row", F.monotonically_increasing_id()))
+    # decimals, since sums of hashes go beyond a long
+    sums = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
+    seen = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *sums)
+    # one entry per token and no list of them: a class may be large
+    least = seen.groupBy("n", "s1", "s2").agg(F.min("token").alias("stands_for"))
+    classes = cut(seen.join(least, ["n", "s1", "s2"]).select(F.col("stands_for"), "token"))
+    kept = classes.where("stands_for = token").select(F.col("token"))
+    each = rows.select("row", F.explode_outer("tokens").alias("token")).join(kept, "token", "left_semi")
+    lists = each.groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    merged = rows.select("row", "label").join(lists, "row", "left")
+    return merged.select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "label"), classes
+
+
 def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8) -> DataFrame:
     """(tokens, verdict, confidence, support, first) from (tokens, label); first is the rarest token.
 
-    FP-growth runs over the token lists with the label as one more item.
+    FP-growth runs over the token lists with the label as one more item.  Tokens
+    that never part are one item there, and each of them makes the rule
+    afterwards.  A rule has to beat the share its verdict has among all labels.
     """
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL_MARK), "label"))).alias("items"))
-    if items.isEmpty():
+    if labelled.isEmpty():
         return labelled.sparkSession.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double, first string")
+    merged, classes = _merged(labelled)
+    items = merged.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL_MARK), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     is_label = lambda t: t.startswith(LABEL_MARK)
     rules = model.associationRules.where(is_label(F.element_at("consequent", 1)) & (F.size("antecedent") <= MOST_TOKENS)
                                          & ~F.exists("antecedent", is_label))
+    # at a lift of one a rule is as sure as no rule
+    rules = rules.where((F.col("lift") > 1) | (F.col("confidence") == 1))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), F.expr(f"substring(consequent[0], {len(LABEL_MARK) + 1})").alias("verdict"),
                              "confidence", "support"))
     # a rule goes if one with some of its tokens is as sure of the same verdict
@@ -89,13 +115,24 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
     beaten = rules.select("tokens", "verdict", "confidence", F.explode(F.array_distinct(fewer)).alias("part"))
     beaten = beaten.join(shorter, "part").where("v = verdict AND c >= confidence").select("tokens", "verdict").distinct()
     kept = rules.join(beaten, ["tokens", "verdict"], "left_anti")
+    # any token of a class may stand where the class does; two of one class would say no more than one
+    members = classes.select(F.col("stands_for"), F.col("token").alias("member"))
+    for place in range(MOST_TOKENS):
+        kept = kept.join(members, F.get("tokens", F.lit(place)) == F.col("stands_for"), "left").withColumn("tokens", F.expr(
+            f"transform(tokens, (t, i) -> if(i = {place}, coalesce(member, t), t))")).drop("stands_for", "member")
+    kept = kept.withColumn("tokens", F.array_sort("tokens"))
     # how often each token occurs, among the single items FP-growth counted
-    counts = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("first"), "freq")
+    counts = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("stands_for"), "freq")
+    counts = counts.join(classes, "stands_for").select(F.col("token").alias("first"), "freq")
     each = kept.select("*", F.explode("tokens").alias("first")).join(counts, "first")
     rarest = each.groupBy("tokens", "verdict", "confidence", "support").agg(F.min(F.struct("freq", "first"))["first"].alias("first"))
     return cut(rarest)
 
 
+#: Parts that the pages of one token list are dealt to; the matches, one row per list, are copied to each.
+LIST_PARTS = 16
+
+
 def judge(pages: DataFrame, rules: list[PrefixRule], url_col: str = "url", min_support: float = 0.005,
           min_confidence: float = 0.8, default: str = DEFAULT_VERDICT) -> DataFrame:
     """The table with host, path, rule (explicit, else null), mined_rule (else null) and verdict."""
@@ -113,16 +150,17 @@ def judge(pages: DataFrame, rules: list[PrefixRule], url_col: str = "url", min_s
     # surest first; the order of the struct after signs are turned
     rank = F.struct((-F.col("r")["c"]).alias("c"), (-F.col("r")["s"]).alias("s"), F.col("r")["n"].alias("n"), F.col("r")["t"].alias("t"), F.col("r")["v"].alias("v"))
     best = hits.groupBy("tokens").agg(F.min(rank).alias("best"))
-    best = best.select(F.col("tokens").alias(name + "t"), F.concat_ws(" ", F.col("best")["t"]).alias(name + "m"), F.col("best")["v"].alias(name + "v"))
+    best = best.select(F.col("tokens").alias(name + "t"), F.concat_ws(" ", F.col("best")["t"]).alias(name + "m"), F.col("best")["v"].alias(name + "v"),
+                       F.explode(F.sequence(F.lit(0), F.lit(LIST_PARTS - 1))).alias(name + "q"))
 
-    out = without(pages, ["host", "path", "rule", "verdict", "mined_rule"])
-    own_url = url_col if url_col in out.columns else None
-    if own_url is None:
-        raise ValueError(f"{url_col} is the name of a column written here")
-    out = out.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("verdict", verdict)
+    # the url is read before columns of the names written here go
+    read = pages.withColumns({name + "h": host, name + "p": path})
+    out = without(read, ["host", "path", "rule", "verdict", "mined_rule"])
+    out = out.withColumnsRenamed({name + "h": "host", name + "p": "path"}).withColumn("rule", rule).withColumn("verdict", verdict)
     # decided urls need no list; they get a key that meets nothing and spreads over all tasks
     tokens = F.when(F.col("verdict").isNull(), url_tokens(F.col("host"), F.col("path")))
-    out = out.withColumn(name, tokens).join(best, F.col(name) == F.col(name + "t"), "left")
+    out = out.withColumns({name: tokens, name + "r": F.pmod(F.monotonically_increasing_id(), F.lit(LIST_PARTS)).cast("int")})
+    out = out.join(best, (F.col(name) == F.col(name + "t")) & (F.col(name + "r") == F.col(name + "q")), "left")
     mined_rule = F.when(F.col("verdict").isNull(), F.col(name + "m"))
     return out.withColumn("mined_rule", mined_rule).withColumn(
-        "verdict", F.coalesce("verdict", F.col(name + "v"), F.lit(default))).drop(name, name + "t", name + "m", name + "v")
+        "verdict", F.coalesce("verdict", F.col(name + "v"), F.lit(default))).drop(name, *(name + x for x in "tmvqr"))
