@@ -16,7 +16,7 @@ every text whole.
 Special cases: null and empty texts have no windows and get the score of a text
 without findings; without labels of both classes every score is the smoothed
 share of toxic labels; null labels are ignored, and of contradicting labels of
-one id the highest counts; equal rows are scored each; extra columns do no harm.
+one id the highest counts, of several texts of one id the smallest; equal rows are scored each; extra columns do no harm.
 """
 
 from __future__ import annotations
@@ -34,14 +34,25 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import cut, give_back, quoted, raw_bytes
 
-#: Bounds of what training collects.
+#: Labelled texts of each class that training takes at most.
 PER_CLASS = 4000
-MOST_BEGINNINGS = 2000
-MOST_WORDS = 4000
-MOST_WINDOWS = 20000
-MOST_APPENDED = 150
-ORDINARY_BYTES = 8192
-TOXIC_BYTES = 4096
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What training keeps of them at most; scoring knows no bounds."""
+
+    #: Typical word beginnings, and toxic words that have them.
+    beginnings: int = 2000
+    words: int = 4000
+    #: Windows of ordinary text.
+    windows: int = 20000
+    #: Most frequent toxic words kept beside what the trainer picks.
+    appended: int = 150
+    ordinary_bytes: int = 8192
+    toxic_bytes: int = 4096
+
+
 #: Texts before and after each window, known to both dictionaries.  The compressor stores short
 #: inputs as they are and looks for no match in the last bytes; with these, every window counts.
 CARRIER = b"~carrier-of-thirty-two-bytes-len~"
@@ -193,7 +204,7 @@ def _fit(rows: np.ndarray, labels: np.ndarray, prior: float) -> tuple[float, ...
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+          label_col: str = "toxic", per_class: int = PER_CLASS, bounds: Bounds = Bounds()) -> Model:
     """Train on the labelled documents given; hold others back before the call."""
     known = labels.select(quoted(id_col).alias("id"), quoted(label_col).alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     known = cut(known.groupBy("id").agg(F.max("label").cast("int").alias("label")))
@@ -204,9 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label in (0, 1):
         some = known.where(F.col("label") == label).orderBy(order, "id").limit(per_class)
         sample = some if sample is None else sample.union(some)
-    # ids of a bounded sample: 2 * per_class rows
+    # ids of a bounded sample: 2 * per_class rows; of several texts of one id the smallest counts
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("binary").alias("text"))
-    texts = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"])
+    texts = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     texts = cut(texts.withColumn("half", F.xxhash64("id", F.lit(1)) % 2 == 0))
     counts = {(r["half"], r["label"]): r["count"] for r in texts.groupBy("half", "label").count().collect()}
     if min(counts.get((half, label), 0) for half in (True, False) for label in (0, 1)) == 0:
@@ -219,15 +230,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     expected = (F.col("o") + 0.5) * (toxic_texts / ordinary_texts)
     beginnings = beginnings.withColumn("z", (F.col("t") - expected) / F.sqrt(expected + 1))
     beginnings = beginnings.where(f"t >= {min(5, max(1, toxic_texts // 20))} AND z >= {6.0 if toxic_texts >= 100 else 2.0}")
-    typical = frozenset(bytes(r["b"]) for r in beginnings.orderBy(F.desc("z"), "b").limit(MOST_BEGINNINGS).collect())
+    typical = frozenset(bytes(r["b"]) for r in beginnings.orderBy(F.desc("z"), "b").limit(bounds.beginnings).collect())
     words = first.where("label = 1").select(F.explode(_listed(_toxic_words, typical)("text")).alias("w"))
-    words = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(MOST_WORDS).collect()
+    words = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(bounds.words).collect()
     windows = first.where("label = 0").select(F.explode(_listed(_ordinary_windows)("text")).alias("w"))
-    windows = windows.orderBy(F.xxhash64("w"), "w").limit(MOST_WINDOWS).collect()
-    ordinary = _dictionary([bytes(r["w"]) for r in windows], ORDINARY_BYTES)
-    toxic = _dictionary([bytes(r["w"]) for r in words for _ in range(min(r["count"], 30))], TOXIC_BYTES)
+    windows = windows.orderBy(F.xxhash64("w"), "w").limit(bounds.windows).collect()
+    ordinary = _dictionary([bytes(r["w"]) for r in windows], bounds.ordinary_bytes)
+    toxic = _dictionary([bytes(r["w"]) for r in words for _ in range(min(r["count"], 30))], bounds.toxic_bytes)
     # the trainer samples; the most frequent words are appended so that it loses none
-    toxic += b"".join(bytes(r["w"]) for r in words[:MOST_APPENDED])
+    toxic += b"".join(bytes(r["w"]) for r in words[:bounds.appended])
 
     @F.arrow_udf("array<double>")
     def seen(values: pa.Array) -> pa.Array:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import zstandard
 from pyspark.sql import functions as F
 
 from tablelens.llm import toxicity
@@ -45,3 +46,31 @@ def test_odd_rows_and_missing_labels(spark, odd_rows):
         blind = toxicity.train(docs, some)
         assert {r["s"] for r in odd.select(toxicity.score(F.col("text"), blind).alias("s")).collect()} == {blind.constant}
     assert toxicity.train(docs.where("false"), labels).weights == ()
+
+
+def test_one_text_of_an_id_counts(spark):
+    rows = made(300, 4)
+    docs = spark.createDataFrame([(i // 2, t, x) for i, t, x in rows], "doc_id long, text string, toxic int")
+    labels = docs.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    models = [toxicity.train(docs.repartition(n).orderBy(F.rand(n)), labels) for n in (1, 7)]
+    assert models[0] == models[1] and models[0].weights
+
+
+def test_distances_equal_plain_compression(spark):
+    """Every window compressed anew with each dictionary."""
+    rows = made(400, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    known = toxicity._distances(model.ordinary, model.toxic)
+    settings = zstandard.ZstdCompressionParameters(
+        compression_level=9, strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, window_log=16, hash_log=14,
+        chain_log=14, search_log=4, target_length=32, write_content_size=0, write_dict_id=0, write_checksum=0)
+
+    def size(content, window):
+        held = zstandard.ZstdCompressionDict(content + toxicity.CARRIER + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=settings).compress(window))
+
+    for part in [b"jerkface", b"dumbo", b"thaing", b"zzzz", b"x" * 64, "é".encode(), b"vilescumthe"]:
+        window = toxicity.CARRIER + b" " + part + b" " + toxicity.TAIL
+        assert known[part] == size(model.ordinary, window) - size(model.ordinary + model.toxic, window)
+    assert known[b"jerkface"] >= toxicity.THRESHOLDS[0] > known[b"thaing"]
