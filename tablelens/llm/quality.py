@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import SPACE_RUN, SPACES, quoted, without, words
+from tablelens.llm.common import SPACES, SPACE_RUN, free_name, quoted, without, words
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -57,20 +57,21 @@ def rule_bits(names: tuple[str, ...] | list[str]) -> int:
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The table with one column per measurement (long)."""
-    out = without(docs, [*MEASURES, "n_lines", "__w", "__h", "__p"])
+    out = without(docs, [*MEASURES, "n_lines"])
+    parts, rows, hashes, again = (free_name(out, f"__{stem}") for stem in ("words", "lines", "hashes", "again"))
     text = F.coalesce(quoted(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACES, "") != "")
-    out = out.withColumn("__w", words(quoted(text_col))).withColumn("__l", lines)
+    out = out.withColumn(parts, words(quoted(text_col))).withColumn(rows, lines)
     out = out.withColumns({
-        "n_words": F.size("__w").cast("long"),
+        "n_words": F.size(parts).cast("long"),
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_lines": F.size("__l").cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "__h": _window_hashes(F.col("__w")),
-    }).drop("__w", "__l")
-    out = out.withColumn("__p", _repeated_starts(F.col("__h"))).drop("__h")
-    return out.withColumn("n_repeat_words", _covered(F.col("__p"), 3)).drop("__p")
+        "n_lines": F.size(rows).cast("long"),
+        "n_dup_lines": (F.size(rows) - F.size(F.array_distinct(rows))).cast("long"),
+        hashes: _window_hashes(F.col(parts)),
+    }).drop(parts, rows)
+    out = out.withColumn(again, _repeated_starts(F.col(hashes))).drop(hashes)
+    return out.withColumn("n_repeat_words", _covered(F.col(again), 3)).drop(again)
 
 
 def _window_hashes(parts: Column) -> Column:
