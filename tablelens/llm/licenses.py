@@ -97,9 +97,9 @@ def canonical(text: Column) -> Column:
     # a second pass for the line after a dropped one, whose line break went with it
     for _ in range(2):
         low = F.regexp_replace(low, COPYRIGHT_LINE, "\n")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", " "), F.lit(" "))
-    joined = reduce(lambda form, pair: F.replace(form, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUIVALENT_SPELLINGS, spaced)
-    return F.trim(joined)
+    spaced = F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
+    # a word ends at its border and not with a space, which the next word needs too
+    return reduce(lambda form, pair: F.regexp_replace(form, rf"\b{pair[0]}\b", pair[1]), EQUIVALENT_SPELLINGS, spaced)
 
 
 def digest(text: Column) -> Column:
@@ -117,6 +117,12 @@ def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> D
     return texts.groupBy(digest(F.col("text")).alias("license_digest")).agg(F.min("license").alias("license"))
 
 
+def known_from_files(spark: SparkSession, path: str) -> DataFrame:
+    """(license_digest, license) of whole licence texts, one file each and named after it, from a folder all executors see."""
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("license"))
+    return files.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("license_digest")).agg(F.min("license").alias("license"))
+
+
 def scan(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
     """The table with license_digest and license (null where the text is no known licence).
 

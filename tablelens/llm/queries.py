@@ -194,10 +194,11 @@ def _canonical_sql(text: str) -> str:
     form = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10))"
     for _ in range(2):
         form = f"regexp_replace({form}, '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
-    form = f"' ' || regexp_replace({form}, '[^a-z0-9]+', ' ', 'g') || ' '"
+    # every word gets two spaces of its own, so that neighbours share none
+    form = f"'  ' || regexp_replace({form}, '[^a-z0-9]+', '  ', 'g') || '  '"
     for old, new in licenses.EQUIVALENT_SPELLINGS:
-        form = f"replace({form}, ' {old} ', ' {new} ')"
-    return f"sha256(trim({form}))"
+        form = f"replace({form}, ' {old.replace(' ', '  ')} ', ' {new} ')"
+    return f"sha256(trim(regexp_replace({form}, ' +', ' ', 'g')))"
 
 
 def op10_sql() -> str:

@@ -43,6 +43,13 @@ def test_quality_measures(spark, odd_rows):
     assert quality.ledger(spark.createDataFrame([], "text string")).collect() == []
 
 
+def test_ledger_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d", "own", "l", "h", "p", 5)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, __w string, __l string, __h string, __words string, __lines int")
+    got = quality.ledger(df).first()
+    assert (got["__w"], got["__l"], got["__h"], got["__words"], got["__lines"], got["n_words"]) == ("own", "l", "h", "p", 5, 4)
+
+
 def test_policies_and_ablation(spark):
     clean = " ".join(f"word{i}" for i in range(80))
     texts = [clean, "too few", "a b c " * 40, clean + " |||" * 40, " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] * 30 + str(i) for i in range(60))]
@@ -99,6 +106,22 @@ def test_mined_rules_decide_other_urls(spark):
     assert url_rules.judge(spark.createDataFrame([], "url string"), queries.URL_RULES).collect() == []
 
 
+def test_tokens_that_always_go_together(spark):
+    """Long lists of tokens that never part are mined as one, and every one of them still makes a rule."""
+    words = [f"w{k}" for k in range(18)]
+    rows = [(words + ["x"], "block")] * 30 + [(["y", "x"], "allow")] * 30 + [(["y"], "allow")] * 5
+    found = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.05, 0.8).collect()
+    got = {tuple(r["tokens"]): (r["verdict"], r["confidence"], r["first"]) for r in found}
+    assert got == {(w,): ("block", 1.0, w) for w in words} | {("y",): ("allow", 1.0, "y")}
+
+
+def test_url_column_of_a_written_name_and_hot_lists(spark):
+    rows = [f"http://s{i}.bad.net/casino/{i}" for i in range(40)] + ["http://new.com/casino/5"] * 50
+    df = spark.createDataFrame([(u, i) for i, u in enumerate(rows)], "HOST string, rule int")
+    got = url_rules.judge(df, queries.URL_RULES, url_col="host").collect()
+    assert len(got) == 90 and {r["verdict"] for r in got} == {"block"} and got[0].asDict().keys() == {"host", "path", "rule", "verdict", "mined_rule"}
+
+
 def test_licenses(spark, odd_rows):
     mit = licenses.KNOWN_LICENSES["MIT"]
     texts = [mit, mit.upper().replace("\n", "  \n"), mit.replace("Copyright (c) <year> <copyright holders>", "Copyright (c) 1999-2003 Someone, Inc.\nCopyright 2004 Other"),
@@ -113,6 +136,24 @@ def test_licenses(spark, odd_rows):
     assert licenses.scan(df, licenses.known_digests(spark, {})).where("license IS NOT NULL").count() == 0
 
 
+def test_neighbours_with_equivalent_spellings(spark, tmp_path):
+    pairs = [("licence licence licence", "license license license"), ("per cent per cent a", "percent percent a"), ("sub licence favour", "sublicense favor"),
+             ("a licencee", "a licencee"), ("x\nCopyright (c) 1999 A\nnon commercial", "x noncommercial")]
+    df = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(pairs)], "doc_id long, text string, other string")
+    got = {r["doc_id"]: r for r in df.select("doc_id", licenses.canonical(F.col("text")).alias("c"), licenses.canonical(F.col("other")).alias("d")).collect()}
+    assert [got[i]["c"] for i in range(len(pairs))] == [u for _, u in pairs] == [got[i]["d"] for i in range(len(pairs))]
+    _, want = oracle("op10_licenses", documents=("doc_id BIGINT, text VARCHAR", [(i, t) for i, (t, _) in enumerate(pairs)]))
+    found = {r["doc_id"]: r["license_digest"] for r in licenses.scan(df, licenses.known_digests(spark)).collect()}
+    assert found == {i: d for i, d, _ in want}
+    # whole texts from files, met with other case, punctuation and copyright lines
+    body = "\n".join(f"{k}. The licensee may, in favour of \"others\", do thing {k}." for k in range(200))
+    (tmp_path / "Long-1.0").write_text(f"Long License\nCopyright (C) 2001 Some One\n{body}\n")
+    (tmp_path / "Empty").write_text(" \n")
+    known = licenses.known_from_files(spark, str(tmp_path))
+    texts = spark.createDataFrame([(1, "LONG LICENCE\n(c) 2020-2024 Somebody Else\n" + body.upper().replace("FAVOUR", "FAVOR").replace(".", " ;")), (2, body)], "doc_id int, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(texts, known).collect()} == {1: "Long-1.0", 2: None}
+
+
 def brute_targets(sizes, most=3):
     weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     total, fixed = sum(sizes.values()), {}
