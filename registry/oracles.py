@@ -833,6 +833,10 @@ CSV_ROWS = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custke
 READBACK = """SELECT * FROM (VALUES ('dataset_profiles', 1::BIGINT), ('column_profiles', 6), ('column_categories', 6), ('quality_assessments', 10), ('overall_quality', 1),
   ('readiness_assessments', 4), ('secondary_domains', 1), ('columns', 6), ('completed', 1)) AS t(name, n)
 UNION ALL SELECT 'rows', count(*) FROM orders UNION ALL SELECT 'suggestions', count(*) FROM orders WHERE o_orderkey % 3 = 0"""
+# The sketches' columns say whether their errors are as stated.
+MERGED = f"""WITH {profile_ctes('lineitem', COLUMNS['lineitem'])}
+SELECT physical_name, row_count, null_count, num_count, round(num_min, 4) AS min_value, round(num_max, 4) AS max_value, round(num_mean, 4) AS mean,
+       round(num_std, 3) AS std_dev, max_string_length, round(avg_string_length, 4) AS avg_string_length, true AS distinct_within, true AS quantiles_within FROM rated"""
 CATALOGUE = " UNION ALL ".join(f"""SELECT '{name}' AS dataset, * FROM (WITH {label_ctes(name, COLUMNS[name])},
   listed AS (SELECT pos, string_agg(val, ' | ' ORDER BY vn) AS sample_values FROM value_counts WHERE vn <= 10 GROUP BY pos)
   SELECT physical_name, row_count, distinct_count, refined_type, identifier_score, is_grain_key, semantic_type AS candidate_semantic_type, role AS candidate_role,
@@ -957,4 +961,5 @@ def all_oracles() -> dict[str, str]:
         "csv_customers": CSV_ROWS,
         "run_readback_orders": READBACK,
         "catalogue_labels": CATALOGUE,
+        "profile_merge_lineitem": MERGED,
     }

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tablelens.config.domains import chart_templates, domain_config
 from tablelens.errors import ProfileError
 from tablelens.functions.text import duplicate_column_keys, unique_column_keys
-from tablelens.operators import categories, charts, cubes, dataset, hierarchy, labels, profile, quality, readiness, rules
-from tablelens.operators.frequencies import column_frequencies, column_names, first_values, text_cells
+from tablelens.operators import categories, charts, cubes, dataset, hierarchy, labels, profile, quality, readiness, rules, states
+from tablelens.operators.frequencies import column_frequencies, column_names, first_values, read_numbers, text_cells
 from tablelens.plans import catalogue
 from tablelens.plans import run as plan
 from tablelens.sources.results import list_suggestions, read_result, read_run, record_status, write_suggestions
@@ -562,6 +562,28 @@ def readback_query(spark, sf):
     return rows.unionByName(suggested.groupBy().agg(F.count(F.lit(1)).alias("n")).selectExpr("'suggestions' AS name", "n"))
 
 
+def merge_query(spark, sf):
+    """States of two halves of lineitem merged: exact statistics, and whether the sketches keep to their errors.
+
+    The exact distinct counts and ranks come from the values themselves.
+    """
+    df = table(spark, sf, "lineitem")
+    halves = [states.column_states(df.where(f"l_orderkey % 2 = {k}")) for k in (0, 1)]
+    found = settled(states.state_profile(states.merged_states(halves[0].unionByName(halves[1]))))
+    freq = column_frequencies(df)
+    exact = freq.groupBy("pos").agg(F.count("val").alias("distinct_count"))
+    # rank of a sketched quartile among the numbers: values below it, and values up to it
+    ranks = read_numbers(freq).join(F.broadcast(found.select("pos", "q25", "q50", "q75")), "pos").groupBy("pos").agg(
+        F.sum("cnt").alias("n"), *[F.sum(F.when(F.col("num") < F.col(q), F.col("cnt")).otherwise(0)).alias(f"{q}_below") for q in ("q25", "q50", "q75")],
+        *[F.sum(F.when(F.col("num") <= F.col(q), F.col("cnt")).otherwise(0)).alias(f"{q}_to") for q in ("q25", "q50", "q75")])
+    near = " AND ".join(f"{q}_below / n <= {p} + {states.RANK_ERROR} AND {q}_to / n >= {p} - {states.RANK_ERROR}" for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
+    return found.join(exact, "pos").join(ranks, "pos", "left").selectExpr(
+        "physical_name", "row_count", "null_count", "num_count", "round(min_value, 4) AS min_value", "round(max_value, 4) AS max_value",
+        "round(mean, 4) AS mean", "round(std_dev, 3) AS std_dev", "bigint(max_string_length) AS max_string_length", "round(avg_string_length, 4) AS avg_string_length",
+        f"abs(distinct_estimate - distinct_count) <= greatest(1, distinct_count * {states.DISTINCT_ERROR}) AS distinct_within",
+        f"coalesce({near}, true) AS quantiles_within")
+
+
 def catalogue_query(spark, sf):
     """Six tables labelled together."""
     tables = {name: table(spark, sf, name) for name in ("customer", "orders", "lineitem", "part", "supplier", "nation")}
@@ -689,4 +711,5 @@ def all_queries() -> dict[str, Query]:
         "csv_customers": csv_query,
         "run_readback_orders": readback_query,
         "catalogue_labels": catalogue_query,
+        "profile_merge_lineitem": merge_query,
     }
