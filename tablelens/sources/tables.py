@@ -13,17 +13,37 @@ from tablelens.functions.text import null_if_missing, quoted
 FORMATS = ("csv", "parquet", "orc", "json")
 
 
-def read_csv(spark: SparkSession, path, sep: str = ",", encoding: str = "UTF-8", multiLine: bool = False, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path, sep: str = ",", encoding: str = "UTF-8", multiLine: bool = False,
+             check_breaks: bool = True, **options) -> DataFrame:
     """A CSV with header; every column a string, missing tokens null.
 
     Files are split over many tasks.  With ``multiLine`` values may hold line
-    breaks, and each file is read by one task.
+    breaks, and each file is read by one task.  Without it such a value would
+    make two rows, so files that hold one are refused; the check reads the lines
+    once more and ends at the first such line.  ``check_breaks=False`` spares it
+    where they are known not to occur.
     """
+    if check_breaks and not multiLine and encoding.upper() in _QUOTES_AS_ASCII:
+        refuse_broken_rows(spark, path)
     df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding, quote='"', escape='"',
                         multiLine=multiLine, **options)
     return missing_to_null(df)
 
 
+# Encodings that write a quote as ASCII does, so that lines can be checked as they are.
+_QUOTES_AS_ASCII = ["UTF-8", "UTF8", "US-ASCII", "ASCII", "ISO-8859-1", "LATIN1", "WINDOWS-1252", "CP1252"]
+
+
+def refuse_broken_rows(spark: SparkSession, path) -> None:
+    """Refuse text files in which a quoted value runs on to the next line: a line with an odd number of quotes."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    broken = spark.read.text(path).where(quotes % 2 == 1).limit(1).collect()
+    if broken:
+        raise ProfileError("QUOTED_LINE_BREAK", "a quoted value holds a line break; read the file with multiLine=True",
+                           {"path": str(path), "line": broken[0]["value"][:200]})
+
+
 def missing_to_null(df: DataFrame) -> DataFrame:
     """Null for every spelling of a missing value in the string columns."""
     return df.select([

@@ -216,6 +216,12 @@ def test_csv_and_guards(spark):
         f.write('id;note\n1;"a;b"\n2;N/A\n3;""\nNULL;"two\nlines"\n')
     df = read_csv(spark, path, sep=";", multiLine=True)
     assert {(r.id, r.note) for r in df.collect()} == {("1", "a;b"), ("2", None), ("3", None), (None, "two\nlines")}
+    with pytest.raises(ProfileError, match="QUOTED_LINE_BREAK"):
+        read_csv(spark, path, sep=";")
+    assert read_csv(spark, path, sep=";", check_breaks=False).count() == 5
+    with open(f"{folder}/whole.csv", "w", encoding="utf-8") as f:
+        f.write('id;note\n1;"say ""yes"""\n')
+    assert read_csv(spark, f"{folder}/whole.csv", sep=";").first().note == 'say "yes"'
     check_file_sizes(spark, path)
     with pytest.raises(ProfileError, match="FILE_SIZE_EXCEEDED"):
         check_file_sizes(spark, path, max_mb=1e-6)
