@@ -3,12 +3,17 @@
 Training texts give counts of words and of word pairs.  Pair counts are
 quantised to levels (powers of a base); the filter holds (pair, level) for every
 level up to the pair's own, so a pair's level is read by probing upwards until
-a probe fails.  The filter has a fixed largest size whatever the corpus, is cut
-into segments that tasks fill on their own, and is broadcast.  If a segment
-cannot hold all its pairs at the intended load, it holds those from the lowest
-level that fits: the counts of rarer pairs then read as zero, and smoothing
-covers them.  Probabilities mix the pair's relative frequency with the word's
-smoothed frequency; the more often a word was seen, the more its pairs count.
+a probe fails.  The filter is cut into segments, one per slice of the hash
+space; tasks fill them on their own, each as large as its entries ask, so the
+filter grows with the corpus and holds every pair.  It is broadcast if its
+measured size stays below a bound.  A larger one stays where it is: chunks send
+their distinct pairs to the segments and get the levels back.  Both ways probe
+the same bits and give the same scores.
+
+Probabilities mix the pair's relative frequency with the word's smoothed
+frequency; the more often a word was seen, the more its pairs count.  A level
+stands for its smallest count, so that over all next words the probabilities sum
+to at most one, but for pairs that the filter takes for seen.
 
 Word counts are exact: texts are cut into tokens once and kept as chunks of
 token numbers; a chunk asks for the counts of its distinct words, slices of the
@@ -40,11 +45,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tablelens.llm.common import cut, quoted
 
 CHUNK_BYTES = 8 << 20
-#: Bound of the broadcast filter.
+#: Size up to which the filter is broadcast.
 MOST_FILTER_BYTES = 64 << 20
-LEAST_FILTER_BYTES = 1 << 18
 HASHES = 3
-#: Filter bits per entry below which a segment leaves out its lowest level.
 BITS_PER_ENTRY = 4.5
 LEVEL_BASE = 2.0
 #: Weight of pairs after a word seen c times: c / (c + SPREAD * c ** POWER).
@@ -176,7 +179,7 @@ def _asked(chunk: dict, of: int) -> pa.RecordBatch:
         names=["slice", "chunk", "words", "counts", "pairs", "pair_counts"])
 
 
-ANSWERED = "slice int, chunk long, counts binary, tokens long, distinct long, lowest int, filter binary"
+ANSWERED = "slice int, chunk long, counts binary, tokens long, distinct long, filter_bytes long, filter binary"
 
 
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -184,14 +187,15 @@ def levels(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def _bits(pairs: np.ndarray, level, size: int) -> list[np.ndarray]:
-    """Places of (pair, level) in a segment of so many bits."""
+def _bits(pairs: np.ndarray, level, size) -> list[np.ndarray]:
+    """Places of (pair, level) in segments of so many bits."""
     x = _mixed(pairs + (np.asarray(level, np.uint64) << np.uint64(PAIR_BITS)))
     step = (x >> np.uint64(32)) | np.uint64(1)
-    return [((x + np.uint64(i) * step) % np.uint64(size)).astype(np.int64) for i in range(HASHES)]
+    size = np.asarray(size, np.uint64)
+    return [((x + np.uint64(i) * step) % size).astype(np.int64) for i in range(HASHES)]
 
 
-def _answer(segment_bits: int, base: float):
+def _answer(base: float, bits_per_entry: float):
     def of_slice(table: pa.Table) -> pa.Table:
         """Counts for every chunk that asked, and this slice's segment of the filter."""
         own = table["slice"][0].as_py()
@@ -205,49 +209,86 @@ def _answer(segment_bits: int, base: float):
         seen, each = np.unique(np.concatenate([_from_five(v.as_py()) for v in table["pairs"]]), return_inverse=True)
         often = np.bincount(each, np.concatenate([_unpacked(v.as_py(), np.int64) for v in table["pair_counts"]]), len(seen))
         level = levels(np.maximum(often, 1), base) if len(seen) else np.zeros(0, np.int64)
-        lowest, room = 1, segment_bits / BITS_PER_ENTRY
-        while (level - lowest + 1)[level >= lowest].sum() > room:
-            lowest += 1
-        segment = np.zeros(segment_bits, bool)
-        for k in range(lowest, int(level.max(initial=0)) + 1):
-            for places in _bits(seen[level >= k], k, segment_bits):
+        filter_bytes = 1 + int(level.sum() * bits_per_entry) // 8
+        segment = np.zeros(8 * filter_bytes, bool)
+        for k in range(1, int(level.max(initial=0)) + 1):
+            for places in _bits(seen[level >= k], k, len(segment)):
                 segment[places] = True
         n = len(answers)
         first = [True] + [False] * (n - 1)
         return pa.table([
             pa.array([own] * n, pa.int32()), table["chunk"].combine_chunks(), pa.array(answers, pa.binary()),
             pa.array([int(total.sum()) * f for f in first], pa.int64()), pa.array([int((total > 0).sum()) * f for f in first], pa.int64()),
-            pa.array([lowest if f else None for f in first], pa.int32()),
+            pa.array([filter_bytes * f for f in first], pa.int64()),
             pa.array([zlib.compress(np.packbits(segment, bitorder="little").tobytes(), 1) if f else None for f in first], pa.binary()),
-        ], names=["slice", "chunk", "counts", "tokens", "distinct", "lowest", "filter"])
+        ], names=["slice", "chunk", "counts", "tokens", "distinct", "filter_bytes", "filter"])
 
     return of_slice
 
 
 class _Filter:
-    """Reads levels of pairs from the filter."""
-
-    def __init__(self, raw: bytes, lowest: np.ndarray, of: int, segment_bits: int, base: float):
-        self.raw, self.lowest, self.of, self.segment_bits = np.frombuffer(raw, np.uint8), lowest, of, segment_bits
-        # the middle of each level's counts
-        self.values = np.array([0.0] + [max(base ** (k - 1), (base ** (k - 1) + base ** k - 1) / 2) for k in range(1, 200)])
-
-    def counts(self, pairs: np.ndarray) -> np.ndarray:
-        """Estimated count of each pair."""
+    """Reads levels of pairs from the segments of some slices."""
+
+    def __init__(self, segments: dict[int, bytes], of: int):
+        self.of = of
+        # a slice without pairs is an empty byte at the end
+        self.raw = np.frombuffer(b"".join(segments.values()) + b"\0", np.uint8)
+        self.start, self.size = np.full(1 << of, 8 * (len(self.raw) - 1), np.int64), np.full(1 << of, 8, np.uint64)
+        at = 0
+        for own, segment in segments.items():
+            self.start[own], self.size[own] = at, 8 * len(segment)
+            at += 8 * len(segment)
+
+    def levels(self, pairs: np.ndarray) -> np.ndarray:
+        """Level of each pair; 0: not in the filter."""
         own = (pairs >> np.uint64(PAIR_BITS - self.of)).astype(np.int64)
         inner = pairs & np.uint64((1 << 40) - 1)
-        reached = np.zeros(len(pairs), np.int64)
-        active, level = np.arange(len(pairs)), self.lowest[own].astype(np.int64)
-        while len(active):
+        reached = np.zeros(len(pairs), np.uint8)
+        active, level = np.arange(len(pairs)), 1
+        while len(active) and level < 200:
             held = np.ones(len(active), bool)
-            for places in _bits(inner[active], level[active], self.segment_bits):
-                at = own[active] * self.segment_bits + places
+            for places in _bits(inner[active], level, self.size[own[active]]):
+                at = self.start[own[active]] + places
                 held &= (self.raw[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             active = active[held]
-            reached[active] = level[active]
-            level[active] += 1
-            active = active[level[active] < len(self.values)]
-        return self.values[reached]
+            reached[active] = level
+            level += 1
+        return reached
+
+
+def _probes(of: int):
+    def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct pairs of each chunk, by slice."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk = batch.slice(k, 1).to_pylist()[0]
+                pairs = np.unique(_pairs(*_tokens(chunk)))
+                found, at = _slices(pairs, PAIR_BITS, of)
+                packets = [_five_bytes(pairs[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.int32()), pa.array([chunk["chunk"]] * len(packets), pa.int64()), pa.array(packets, pa.binary())],
+                    names=["slice", "chunk", "pairs"])
+
+    return of_chunks
+
+
+PROBED = "chunk long, slice int, levels binary"
+
+
+def _probed(of: int):
+    def of_slice(probes: pa.Table, segments: pa.Table) -> pa.Table:
+        """Levels of the pairs that chunks ask a slice for."""
+        known = _Filter({s["slice"]: zlib.decompress(s["filter"]) for s in segments.to_pylist()}, of)
+        found = []
+        for own, raw in zip(probes["slice"], probes["pairs"], strict=True):
+            inner = _from_five(raw.as_py())
+            # the upper bits of a pair are its slice
+            upper = np.uint64(own.as_py() << (PAIR_BITS - of) & ~((1 << 40) - 1))
+            found.append(_packed(known.levels(inner | upper)))
+        return pa.table([probes["chunk"].combine_chunks(), probes["slice"].combine_chunks(), pa.array(found, pa.binary())],
+                        names=["chunk", "slice", "levels"])
+
+    return of_slice
 
 
 SCORED = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -258,24 +299,32 @@ def _scored_types(id_type: pa.DataType) -> list[pa.DataType]:
     return [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
 
+def _in_turn(answers: list[dict], name: str, kind) -> np.ndarray:
+    """What the slices answered, in the order of the hashes."""
+    parts = sorted((a["slice"], a[name]) for a in answers if a[name] is not None)
+    return np.concatenate([_unpacked(raw, kind) for _, raw in parts])
+
+
+def _score(filter_at, base: float, total: int, distinct: int, train_texts: int, spread: float, power: float, id_type: pa.DataType):
+    # the least count of each level
+    least = np.concatenate(([0.0], np.ceil(base ** np.arange(199.0) - 1e-9)))
 
-def _score(filter_at, of: int, segment_bits: int, base: float, total: int, distinct: int, train_texts: int, spread: float, power: float, id_type: pa.DataType):
     def of_chunk(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        kept = []
+        kept, answered = [], answers.to_pylist()
         # a chunk is one row
         for chunk in chunks.to_pylist():
             numbers, sizes, hashes = _tokens(chunk)
             counts = np.empty(len(hashes), np.int64)
-            by_slice = sorted(zip(answers["slice"].to_pylist(), answers["counts"].to_pylist(), strict=True))
-            counts[np.argsort(hashes)] = np.concatenate([_unpacked(c, np.int64) for _, c in by_slice])
+            counts[np.argsort(hashes)] = _in_turn(answered, "counts", np.int64)
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
             own = counts[numbers]
             plain = (own + 0.5) / (total + 0.5 * (distinct + 1))
             before = np.empty_like(own)
             before[1:] = own[:-1]
             before[starts] = train_texts
-            raw, lowest = filter_at.value
-            together = _Filter(raw, lowest, of, segment_bits, base).counts(_pairs(numbers, sizes, hashes))
+            pairs, where = np.unique(_pairs(numbers, sizes, hashes), return_inverse=True)
+            level = filter_at.value.levels(pairs) if filter_at is not None else _in_turn(answered, "levels", np.uint8)
+            together = least[level[where]]
             weight = before / (before + spread * np.maximum(before, 1) ** power)
             after = np.minimum(1.0, together / np.maximum(before, 1))
             whole = np.log10(weight * after + (1 - weight) * plain)
@@ -290,7 +339,7 @@ def _score(filter_at, of: int, segment_bits: int, base: float, total: int, disti
 
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", base: float = LEVEL_BASE,
            spread: float = SPREAD, power: float = POWER, chunk_bytes: int = CHUNK_BYTES,
-           most_filter_bytes: int = MOST_FILTER_BYTES) -> DataFrame:
+           most_filter_bytes: int = MOST_FILTER_BYTES, bits_per_entry: float = BITS_PER_ENTRY) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     Learns from the rows that are not held out and scores all.  base_score is
@@ -305,25 +354,23 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     chunks = rows.mapInArrow(_chunked(chunk_bytes, id_type), blobs)
     # from here on a chunk has its name
     chunks = cut(chunks.withColumn("chunk", F.monotonically_increasing_id()))
-    size = chunks.agg(F.count("*"), F.sum("tokens"), F.sum("train")).first()
-    tokens, train_texts = size[1] or 0, size[2] or 0
+    size = chunks.agg(F.count("*"), F.sum("train")).first()
+    train_texts = size[1] or 0
     # slices of the hash spaces; enough for memory, few enough that what a chunk asks of one stays large
-    of = max(8, min(14, math.ceil(math.log2(max(1, size[0])))))
-    wanted = 1 << math.ceil(math.log2(max(2, tokens)) - 1)
-    segment_bits = 8 * min(most_filter_bytes, max(LEAST_FILTER_BYTES, wanted)) >> of
+    of = max(8, min(17, math.ceil(math.log2(max(1, size[0])))))
     asked = chunks.select("chunk", "held", "sizes", "numbers", "words").mapInArrow(_ask(of), ASKED)
-    answered = cut(asked.groupBy("slice").applyInArrow(_answer(segment_bits, base), ANSWERED))
-    # one row per slice: the filter's bound holds for what the driver gets
-    segments = answered.where("filter IS NOT NULL").select("slice", "tokens", "distinct", "lowest", "filter").collect()
-    raw, lowest = np.zeros((segment_bits << of) // 8, np.uint8), np.ones(1 << of, np.int32)
-    for s in segments:
-        at = s["slice"] * segment_bits // 8
-        raw[at:at + segment_bits // 8] = np.frombuffer(zlib.decompress(s["filter"]), np.uint8)
-        lowest[s["slice"]] = s["lowest"]
-    total, distinct = sum(s["tokens"] for s in segments), sum(s["distinct"] for s in segments)
-    del segments
-    filter_at = spark.sparkContext.broadcast((raw.tobytes(), lowest))
-    score = _score(filter_at, of, segment_bits, base, total, distinct, train_texts, spread, power, id_type)
-    answers = answered.select("chunk", "slice", "counts")
+    answered = cut(asked.groupBy("slice").applyInArrow(_answer(base, bits_per_entry), ANSWERED))
+    total, distinct, filter_bytes = (x or 0 for x in answered.agg(F.sum("tokens"), F.sum("distinct"), F.sum("filter_bytes")).first())
+    segments = answered.where("filter IS NOT NULL").select("slice", "filter")
+    answers = answered.select("chunk", "slice", "counts", F.lit(None).cast("binary").alias("levels"))
+    if filter_bytes <= most_filter_bytes:
+        known = _Filter({r["slice"]: zlib.decompress(r["filter"]) for r in segments.collect()}, of)
+        filter_at = spark.sparkContext.broadcast(known)
+    else:
+        filter_at = None
+        probes = chunks.select("chunk", "sizes", "numbers", "words").mapInArrow(_probes(of), "slice int, chunk long, pairs binary")
+        levels_found = probes.groupBy("slice").cogroup(segments.groupBy("slice")).applyInArrow(_probed(of), PROBED)
+        answers = answers.unionByName(levels_found, allowMissingColumns=True)
+    score = _score(filter_at, base, total, distinct, train_texts, spread, power, id_type)
     asks = chunks.select("chunk", "ids", "held", "sizes", "numbers", "words")
     return asks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {id_kind.simpleString()}, {SCORED}")
