@@ -48,7 +48,7 @@ CHUNK_BYTES = 8 << 20
 #: Size up to which the filter is broadcast.
 MOST_FILTER_BYTES = 64 << 20
 HASHES = 3
-BITS_PER_ENTRY = 4.5
+BITS_PER_ENTRY = 6.0
 LEVEL_BASE = 2.0
 #: Weight of pairs after a word seen c times: c / (c + SPREAD * c ** POWER).
 SPREAD, POWER = 1.5, 0.9
