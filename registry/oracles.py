@@ -552,6 +552,26 @@ ORDER_ROWS = [
 ] + [rule_row(k, t, "0 * count(*)", "0", "", failed="true") for k, t in [
     ("no_column", "non_null"), ("no_pattern", "regex_match"), ("bad_operator", "column_comparison")]]
 
+ORDER_LIST_ROWS = [
+    rule_row("customer_in_credit", "allowed_values", "count(o_custkey)",
+             "count(*) FILTER (WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0))", "o_custkey"),
+    rule_row("customer_known", "allowed_values", "count(o_custkey)",
+             "count(*) FILTER (WHERE o_custkey IN (SELECT c_custkey FROM customer))", "o_custkey"),
+    rule_row("customer_once", "expected_unique", "count(*)", "count(DISTINCT o_custkey)", "o_custkey"),
+    rule_row("short_list", "allowed_values", "count(o_orderstatus)", "count(*) FILTER (WHERE o_orderstatus IN ('F', 'O'))", "o_orderstatus"),
+    rule_row("price_listed", "allowed_values", "count(o_totalprice)",
+             "count(*) FILTER (WHERE o_totalprice IN (SELECT o_totalprice FROM orders WHERE o_orderkey % 3 = 0))", "o_totalprice"),
+    rule_row("no_list", "allowed_values", "0 * count(*)", "0", "", failed="true"),
+    rule_row("no_list_column", "allowed_values", "0 * count(*)", "0", "", failed="true"),
+]
+TEXT_LIST_ROWS = [
+    rule_row("text_listed", "allowed_values", "count(text)",
+             "count(*) FILTER (WHERE text IN (SELECT text FROM documents WHERE lang = 'en'))", "text"),
+    rule_row("text_once", "expected_unique", "count(*)", "count(DISTINCT text) + max((text IS NULL)::INT)", "text"),
+    rule_row("source_listed", "allowed_values", "count(source)",
+             "count(*) FILTER (WHERE source IN (SELECT source FROM documents WHERE lang = 'en'))", "source"),
+]
+
 REVIEW = """WITH s AS (
   SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'proposed' WHEN event_type = 'view' THEN 'approved'
          ELSE 'superseded' END AS status FROM events),
@@ -900,6 +920,8 @@ def all_oracles() -> dict[str, str]:
         "hierarchy_chain_clean": chain(CLEAN_REGION),
         "hierarchy_chain_rejected": chain(REJECTED_REGION),
         "rules_events": rules(DIRTY, EVENT_ROWS),
+        "rules_value_lists_orders": rules("orders", ORDER_LIST_ROWS),
+        "rules_value_lists_documents": rules("documents", TEXT_LIST_ROWS),
         "rules_orders": rules("orders", ORDER_ROWS),
         "rule_date_comparison": DATE_COMPARE,
         "rule_review": REVIEW,

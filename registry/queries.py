@@ -253,6 +253,45 @@ def order_rules_query(spark, sf):
         "array_join(target_columns, ', ') AS target_columns", "error IS NOT NULL AS failed")
 
 
+ORDER_LIST_RULES = [
+    {"rule_key": "customer_in_credit", "type": "allowed_values", "target_column": "o_custkey", "values_from": "in_credit"},
+    {"rule_key": "customer_known", "type": "allowed_values", "target_column": "o_custkey", "values_from": "customers",
+     "values_column": "c_custkey"},
+    {"rule_key": "customer_once", "type": "expected_unique", "target_column": "o_custkey"},
+    {"rule_key": "short_list", "type": "allowed_values", "target_column": "o_orderstatus", "values": ["F", "O"]},
+    {"rule_key": "price_listed", "type": "allowed_values", "target_column": "o_totalprice", "values_from": "prices"},
+    {"rule_key": "no_list", "type": "allowed_values", "target_column": "o_custkey", "values_from": "nowhere"},
+    {"rule_key": "no_list_column", "type": "allowed_values", "target_column": "o_custkey", "values_from": "customers",
+     "values_column": "nothing"},
+]
+TEXT_LIST_RULES = [
+    {"rule_key": "text_listed", "type": "allowed_values", "target_column": "text", "values_from": "texts"},
+    {"rule_key": "text_once", "type": "expected_unique", "target_column": "text"},
+    {"rule_key": "source_listed", "type": "allowed_values", "target_column": "source", "values_from": "texts",
+     "values_column": "source"},
+]
+
+
+def list_rules_query(name: str, rule_list: list[dict], lists: Callable) -> Query:
+    return lambda spark, sf: rules.evaluate_rules(table(spark, sf, name), rule_list, value_lists=lists(spark, sf)).selectExpr(
+        "rule_key", "rule_type", "records_checked", "pass_count", "fail_count", "round(score, 6) AS score",
+        "array_join(target_columns, ', ') AS target_columns", "error IS NOT NULL AS failed")
+
+
+def order_lists(spark, sf):
+    customers = table(spark, sf, "customer")
+    return {
+        "in_credit": customers.where("c_acctbal >= 0").select("c_custkey"),
+        "customers": customers,
+        # of few distinct values against many, with nulls and repeats among them
+        "prices": table(spark, sf, "orders").selectExpr("if(o_orderkey % 3 = 0, o_totalprice, NULL)"),
+    }
+
+
+def text_lists(spark, sf):
+    return {"texts": table(spark, sf, "documents").where("lang = 'en'").select("text", "source")}
+
+
 def date_comparison_query(spark, sf):
     df = table(spark, sf, "orders").selectExpr(
         "date_format(o_orderdate, 'yyyy-MM-dd') AS ordered",
@@ -670,6 +709,8 @@ def all_queries() -> dict[str, Query]:
         "rules_events": rule_query(dirty_events, EVENT_RULES),
         "rules_orders": order_rules_query,
         "rule_date_comparison": date_comparison_query,
+        "rules_value_lists_orders": list_rules_query("orders", ORDER_LIST_RULES, order_lists),
+        "rules_value_lists_documents": list_rules_query("documents", TEXT_LIST_RULES, text_lists),
         "rule_review": review_query,
         "quality_dimensions": quality_query,
         "quality_overall": overall_query,

@@ -51,6 +51,11 @@ _LONG_PARTS = {
 }
 
 
+def inline_value(texts: DataFrame) -> DataFrame:
+    """``(val, digest)`` as a frequency table has them, of a relation with ``text``."""
+    return texts.selectExpr(f"left(text, {INLINE_CHARS}) AS val", f"CASE WHEN {_LONG} THEN {_LONG_PARTS['digest'][0]} END AS digest")
+
+
 def count_values(cells: DataFrame, long_texts: bool = True) -> DataFrame:
     """Frequencies of ``(pos, text)`` cells; see ``column_frequencies``."""
     if not long_texts:

@@ -1,20 +1,22 @@
 """Declarative rules, evaluated together in one pass over the table.
 
 A rule is a dict (``rule_key``, ``type`` and the type's parameters).  All rules
-of row-local type become pairs of conditional counts in a single aggregation;
-uniqueness goes through a count per value.  No user text is run as code: the
-types are a fixed list, values and patterns enter as literals.
+of row-local type become pairs of conditional counts in a single aggregation.
+Uniqueness and long lists of allowed values are decided once per distinct value,
+both on one table of value counts.  No user text is run as code: the types are a
+fixed list, patterns and short lists enter as literals, long lists and those that
+are tables (``values_from``) are joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.config.domains import domain_config
 from tablelens.functions.parsing import numeric_value, starts_with_match, timestamp_value
 from tablelens.functions.text import as_text
-from tablelens.operators.frequencies import column_frequencies
+from tablelens.operators.frequencies import column_frequencies, inline_value
 
 RULE_TYPES = [
     "non_null", "expected_unique", "regex_match", "allowed_values", "numeric_range", "date_range",
@@ -24,6 +26,8 @@ COMPARISONS = {
     ">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b,
     "<": lambda a, b: a < b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b,
 }
+#: Lists of allowed values that are longer do not enter the plan as literals.
+LITERAL_VALUES = 1000
 RESULT_SCHEMA = (
     "dataset string, ord int, rule_key string, rule_type string, records_checked bigint, pass_count bigint, "
     "fail_count bigint, score double, target_columns array<string>, error string"
@@ -147,15 +151,51 @@ def _score(kind: Column) -> Column:
     return F.when(F.col("records_checked") > 0, F.col("pass_count") / F.col("records_checked")).otherwise(empty)
 
 
+def _value_list(spark: SparkSession, rule: dict, value_lists: dict[str, DataFrame]) -> DataFrame | None:
+    """The allowed values as a relation ``(text)``; None if they enter as literals."""
+    name = rule.get("values_from")
+    if name is not None:
+        values = value_lists.get(name)
+        column = None if values is None else rule.get("values_column", values.columns[0])
+        if values is None or column not in values.columns:
+            raise _Skip("value list not found")
+        return values.select(as_text(values, column).alias("text"))
+    values = rule.get("values", [])
+    return spark.createDataFrame([(str(v),) for v in values], "text string") if len(values) > LITERAL_VALUES else None
+
+
+def _listed_counts(freq: DataFrame, listed: list[tuple[int, int, DataFrame]]) -> DataFrame:
+    """``(ord, records_checked, pass_count)`` of lists ``(ord, pos, values)``; each distinct value is looked up once."""
+    # out of a generator, so that no null filter on them goes below the aggregation all branches share
+    values = freq.selectExpr("pos", "cnt", "inline(array(named_struct('val', val, 'digest', coalesce(digest, ''))))")
+    places = freq.sparkSession.createDataFrame([(i, pos) for i, pos, _ in listed], "ord int, pos int")
+    known = None
+    for i, _, allowed in listed:
+        part = inline_value(allowed.where("text IS NOT NULL")).selectExpr(f"{i} AS ord", "val", "coalesce(digest, '') AS digest")
+        known = part if known is None else known.unionByName(part)
+    known = known.distinct().withColumn("known", F.lit(True))
+    # one row per rule on the broadcast side; the lists are joined by their size
+    asked = values.where("val IS NOT NULL").join(F.broadcast(places), "pos")
+    return asked.join(known, ["ord", "val", "digest"], "left").groupBy("ord").agg(
+        F.sum("cnt").alias("records_checked"), F.sum(F.when(F.col("known"), F.col("cnt")).otherwise(0)).alias("pass_count"))
+
+
 def evaluate_rules(df: DataFrame, rules: list[dict], role_map: dict[str, str] | None = None,
-                   dataset: str = "dataset") -> DataFrame:
-    """One result row per active rule, in rule order (``ord``)."""
+                   dataset: str = "dataset", value_lists: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One result row per active rule, in rule order (``ord``).
+
+    The allowed values of a rule may be a table: ``values_from`` names one of
+    ``value_lists``, ``values_column`` its column, else the first.  Values are
+    compared in text form, whole; nulls and repeats in a list mean nothing.
+    """
     spark, role_map = df.sparkSession, role_map or {}
-    local, unique, errors = [], [], []
+    local, unique, listed, errors = [], [], [], []
     for i, rule in enumerate(r for r in rules if r.get("active", True)):
         try:
             if rule["type"] == "expected_unique":
                 unique.append((i, rule, _target(df, rule, role_map)))
+            elif rule["type"] == "allowed_values" and (values := _value_list(spark, rule, value_lists or {})) is not None:
+                listed.append((i, rule, _target(df, rule, role_map), values))
             else:
                 local.append((i, rule, *_compile(df, rule, role_map)))
         except _Skip as skip:
@@ -177,16 +217,19 @@ def evaluate_rules(df: DataFrame, rules: list[dict], role_map: dict[str, str] |
             for i, rule, columns, _, _ in local
         ])
         parts.append(_finished(counted.select(F.inline(rows)), dataset))
-    if unique:
+    by_value = [r[:3] for r in unique + listed]
+    if by_value:
         position = {name: i for i, name in enumerate(df.columns)}
-        # a missing value is a value here: its first row passes
-        values = column_frequencies(df, sorted({name for _, _, name in unique})).groupBy("pos").agg(
-            F.sum("cnt").alias("records_checked"), F.count(F.lit(1)).alias("pass_count"))
-        wanted = spark.createDataFrame(
-            [(i, rule["rule_key"], rule["type"], position[name], [name]) for i, rule, name in unique],
-            "ord int, rule_key string, rule_type string, pos int, target_columns array<string>")
-        counted = wanted.join(F.broadcast(values), "pos", "left").fillna(0, ["records_checked", "pass_count"])
-        parts.append(_finished(counted, dataset))
+        freq = column_frequencies(df, sorted({name for _, _, name in by_value}))
+        wanted = "ord int, rule_key string, rule_type string, pos int, target_columns array<string>"
+        # a missing value is a value to uniqueness: its first row passes
+        once = freq.groupBy("pos").agg(F.sum("cnt").alias("records_checked"), F.count(F.lit(1)).alias("pass_count"))
+        looked_up = _listed_counts(freq, [(i, position[name], values) for i, _, name, values in listed]) if listed else None
+        for of, counts, key in ((unique, once, "pos"), ([r[:3] for r in listed], looked_up, "ord")):
+            if of:
+                asked = spark.createDataFrame([(i, rule["rule_key"], rule["type"], position[name], [name]) for i, rule, name in of], wanted)
+                counted = asked.join(F.broadcast(counts), key, "left").fillna(0, ["records_checked", "pass_count"])
+                parts.append(_finished(counted, dataset))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

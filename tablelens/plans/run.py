@@ -121,23 +121,24 @@ def chart_specs(labelled: DataFrame, domain: str, levels: list[str]) -> DataFram
 
 def run(df: DataFrame, domain: str, dataset: str = "dataset", metadata: list[dict] | None = None,
         request_rules: list[dict] | None = None, decisions: DataFrame | None = None,
-        run_id: str | None = None, cube_bounds: dict | None = None) -> ProfileRun:
+        run_id: str | None = None, cube_bounds: dict | None = None, value_lists: dict[str, DataFrame] | None = None) -> ProfileRun:
     """Profile a table end to end.
 
     The profile (one row per column) is settled once; labels, quality and
     readiness are projections over it.  Only names that decide which jobs to
     build come to the driver: roles, chain levels, chart specifications.
-    ``cube_bounds`` are the bounds of ``cube_cells``.
+    ``cube_bounds`` are the bounds of ``cube_cells``, ``value_lists`` the tables
+    that rules name in ``values_from``.
     """
     check_domain(domain)
     check_table(df)
     return run_labelled(df, settled(labels.label_columns(column_profile(df, dataset))), domain, dataset, metadata, request_rules,
-                        decisions, run_id, cube_bounds)
+                        decisions, run_id, cube_bounds, value_lists)
 
 
 def run_labelled(df: DataFrame, labelled: DataFrame, domain: str, dataset: str, metadata: list[dict] | None = None,
                  request_rules: list[dict] | None = None, decisions: DataFrame | None = None,
-                 run_id: str | None = None, cube_bounds: dict | None = None) -> ProfileRun:
+                 run_id: str | None = None, cube_bounds: dict | None = None, value_lists: dict[str, DataFrame] | None = None) -> ProfileRun:
     """``run`` from a labelled profile on."""
     spark = df.sparkSession
     metadata = metadata or []
@@ -155,7 +156,7 @@ def run_labelled(df: DataFrame, labelled: DataFrame, domain: str, dataset: str,
     secondary = named["domain_name"] if named else None
     role_map = {r["candidate_semantic_type"]: r["physical_name"] for r in labels.role_map(labelled).collect()}
     to_check = rules.domain_rules(domain, secondary) + rules.request_rules(request_rules)
-    rule_results = settled(rules.evaluate_rules(df, to_check, role_map, dataset))
+    rule_results = settled(rules.evaluate_rules(df, to_check, role_map, dataset, value_lists))
 
     semantic = quality.semantic_quality(decided, category_result, domain_result, chain)
     dimensions = settled(quality.quality_dimensions(labelled, rule_results, semantic, mandatory, unique, dataset))

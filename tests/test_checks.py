@@ -48,6 +48,45 @@ def test_rules(spark):
     ]
 
 
+def test_value_lists(spark):
+    """Tables as lists: long values by their whole text, nulls, repeats, numbers, an empty list, a column twice."""
+    long = "x" * 300
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, None), (long + "1", 2.0), (long + "2", float("nan"))], "s string, n double")
+    texts = spark.createDataFrame([("a", 2), ("a", None), (None, 2), (long + "2", 1), (long, 3)], "t string, k int")
+    specs = [
+        {"target_column": "s", "values_from": "texts"}, {"target_column": "n", "values_from": "doubles"},
+        {"target_column": "s", "values_from": "none"}, {"target_column": "s", "values": [str(i) for i in range(2000)] + ["b"]},
+        {"target_column": "s", "values_from": "texts", "values_column": "k"}, {"target_column": "zz", "values_from": "texts"},
+        {"target_column": "s", "values_from": "absent"},
+    ]
+    lists = {"texts": texts, "none": texts.where("false"), "doubles": texts.selectExpr("double(k)")}
+    found = rules.evaluate_rules(df, [{"rule_key": str(i), "type": "allowed_values", **s} for i, s in enumerate(specs)]
+                                 + [{"rule_key": "once", "type": "expected_unique", "target_column": "s"}], value_lists=lists)
+    got = [(r.records_checked, r.pass_count, r.error is None) for r in found.orderBy("ord").collect()]
+    assert got == [(4, 2, True), (3, 3, True), (4, 0, True), (4, 1, True), (4, 0, True), (0, 0, False), (0, 0, False), (5, 5, True)]
+    empty = rules.evaluate_rules(df.where("false"), [{"rule_key": "e", "type": "allowed_values", **specs[0]}], value_lists=lists).first()
+    assert (empty.records_checked, empty.score) == (0, 1.0)
+
+
+def test_value_list_of_a_table_stays_out_of_the_plan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    wanted = spark.range(0, 300_000, 3)
+    found = rules.evaluate_rules(orders, [
+        {"rule_key": "listed", "type": "allowed_values", "target_column": "o_orderkey", "values_from": "keys"},
+        {"rule_key": "given", "type": "allowed_values", "target_column": "o_orderkey", "values": list(range(0, 300_000, 3))},
+        {"rule_key": "once", "type": "expected_unique", "target_column": "o_orderkey"}], value_lists={"keys": wanted})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # lists and uniqueness read one shuffle of one scan
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") >= 1 and "29997" not in plan
+    rows = {r.rule_key: (r.records_checked, r.pass_count) for r in found.collect()}
+    expected = orders.selectExpr("count(*)", "count_if(o_orderkey % 3 = 0 AND o_orderkey < 300000)").first()
+    assert rows["listed"] == rows["given"] == tuple(expected)
+
+
 def test_rule_errors_and_nothing_to_check(spark):
     df = spark.createDataFrame([(None,), (None,)], "s string")
     found = rules.evaluate_rules(df, [
