@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,14 +88,3 @@ def duplicate_column_keys(names: DataFrame) -> DataFrame:
     """Keys more than one column of a dataset maps to."""
     keyed = names.withColumn("base_key", column_key(F.col("name")))
     return keyed.groupBy("dataset", "base_key").agg(F.count(F.lit(1)).alias("columns")).where("columns > 1")
-
-
-def contains_any(text: Column, words) -> Column:
-    """True when ``text`` contains one of ``words`` as a substring."""
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
-
-
-def has_segment(key: Column, words) -> Column:
-    """True when one of ``words`` is bounded by ``_`` or the ends of ``key``."""
-    padded = F.concat(F.lit("_"), key, F.lit("_"))
-    return contains_any(padded, [f"_{w}_" for w in words])
