@@ -96,12 +96,13 @@ def resolve_rules(asked: dict[str, list[dict]], role_maps: DataFrame) -> dict[st
 
 
 def catalogue_run(tables: dict[str, DataFrame], domains: dict[str, str], metadata: list[dict] | None = None,
-                  request_rules: list[dict] | None = None, decisions: DataFrame | None = None) -> Catalogue:
+                  request_rules: list[dict] | None = None, decisions: DataFrame | None = None,
+                  value_lists: dict[str, DataFrame] | None = None) -> Catalogue:
     """Profile, label, check and score a catalogue.
 
     ``domains`` names the domain of every table; entries of ``metadata`` and
-    ``request_rules`` name theirs in ``dataset``.  The results are those of a
-    ``run`` of each table.
+    ``request_rules`` name theirs in ``dataset``; ``value_lists`` are tables that
+    rules name in ``values_from``.  The results are those of a ``run`` of each table.
     """
     spark = next(iter(tables.values())).sparkSession
     for dataset, df in tables.items():
@@ -124,7 +125,7 @@ def catalogue_run(tables: dict[str, DataFrame], domains: dict[str, str], metadat
     role_maps = settled(labels.role_map(labelled))
     resolved = resolve_rules(asked, role_maps)
     # one job for the rules of all tables
-    rule_results = settled(_together([rules.evaluate_rules(df, resolved[d], {}, d) for d, df in tables.items()]))
+    rule_results = settled(_together([rules.evaluate_rules(df, resolved[d], {}, d, value_lists) for d, df in tables.items()]))
 
     semantic = quality.semantic_quality(decided, category_result, domain_result, chain)
     dimensions = settled(quality.quality_dimensions(

@@ -16,7 +16,8 @@ METADATA = [{"dataset": "orders", "column_name": "o_orderkey", "mandatory": True
             {"dataset": "customer", "column_name": "c_name", "mandatory": True},
             {"dataset": "part", "column_name": "nowhere", "expected_unique": True}]
 RULES = [{"dataset": "orders", "rule_key": "positive", "type": "numeric_range", "target_role": "monetary_amount", "min_value": 0},
-         {"dataset": "customer", "rule_key": "segment", "type": "allowed_values", "target_column": "c_mktsegment", "values": ["BUILDING"]}]
+         {"dataset": "customer", "rule_key": "segment", "type": "allowed_values", "target_column": "c_mktsegment", "values": ["BUILDING"]},
+         {"dataset": "orders", "rule_key": "known", "type": "allowed_values", "target_column": "o_custkey", "values_from": "in_credit"}]
 
 
 @pytest.fixture(scope="module")
@@ -34,10 +35,13 @@ def rows(df, dataset):
 
 
 def test_equals_single_runs(spark, tables):
-    got = catalogue_run(tables, DOMAINS, METADATA, RULES)
+    lists = {"in_credit": tables["customer"].where("c_acctbal >= 0").select("c_custkey")}
+    got = catalogue_run(tables, DOMAINS, METADATA, RULES, value_lists=lists)
+    known = got.rule_evaluations.where("rule_key = 'known'").first()
+    assert known["error"] is None and 0 < known["pass_count"] < known["records_checked"]
     for dataset in ("customer", "orders", "part"):
         own = [{k: v for k, v in m.items() if k != "dataset"} for m in METADATA if m["dataset"] == dataset]
-        one = run(tables[dataset], DOMAINS[dataset], dataset, own, [r for r in RULES if r["dataset"] == dataset])
+        one = run(tables[dataset], DOMAINS[dataset], dataset, own, [r for r in RULES if r["dataset"] == dataset], value_lists=lists)
         for name in ("column_profiles", "column_categories", "secondary_domains", "hierarchy_chains", "rule_evaluations",
                      "quality_assessments", "overall_quality", "readiness_assessments"):
             want = getattr(one, name)
