@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablelens.config.fixed_values import MAX_SAMPLE_VALUES
 from tablelens.operators import categories, hierarchy, labels, quality, readiness, rules
-from tablelens.operators.frequencies import count_values, has_long_text, long_form, text_cells
+from tablelens.operators.frequencies import count_values, has_long_text, text_cells, typed_form
 from tablelens.operators.profile import profile_of
 from tablelens.sources.settle import settled
 from tablelens.sources.tables import check_domain, check_table
@@ -52,7 +52,7 @@ def catalogue_profile(tables: dict[str, DataFrame], max_values: int = MAX_SAMPLE
     spark, names, cells, texts, offset = next(iter(tables.values())).sparkSession, [], [], [], 0
     for dataset, df in tables.items():
         names += [(dataset, i, name, dtype, offset + i) for i, (name, dtype) in enumerate(df.dtypes)]
-        cells.append(long_form(df, offset=offset))
+        cells.append(typed_form(df, offset=offset))
         long_cells = text_cells(df, offset)
         texts += [] if long_cells is None else [long_cells]
         offset += len(df.columns)

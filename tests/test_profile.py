@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 from tablelens.functions.parsing import timestamp
+from tablelens.functions.text import as_text
+from tablelens.operators import frequencies
 from tablelens.operators.dataset import dataset_profile, duplicate_rows
 from tablelens.operators.frequencies import column_frequencies, read_numbers
 from tablelens.operators.profile import column_profile, column_statistics, custom_pattern_ratio, detect_patterns
@@ -156,6 +158,67 @@ def test_nan_and_negative_zero(spark):
     assert row.sample_values == ["0.0", "0.00025", "1500000000.0"]
 
 
+def test_typed_values_read_as_their_texts(spark):
+    """Columns counted as numbers and times have the profile of their texts, also where texts are spelled specially."""
+    rng = random.Random(5)
+    whole = [0, 1, 2, -1, 1677, 1678, 2024, 2261, 2262, 9999, 9999999, 10000000, 16771231, 16780101, 20240230, 20240229, 22611231, 22620101,
+             -20240229, 2**53 + 1, 2**63 - 1, -(2**63)] + [rng.randint(-(10**e), 10**e) for e in range(1, 19) for _ in range(8)]
+    real = [0.0, -0.0, 1.0, 0.25, -0.25, 12.34, -12.34, 1e7, 9999999.99, 12345678.9, 1e15 + 0.125, 1e16, 1e-3, 1e-4, 1.5e-4, -2.5e-4, 9.9e-5,
+            0.00012345678901234567, 0.00012345678901234569, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    real += [rng.gauss(0, 1) * 10 ** rng.randint(-6, 18) for _ in range(100)] + [round(rng.gauss(0, 1) * 10**5, 2) for _ in range(50)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # 02:30 comes twice on 2024-10-27
+    try:
+        df = spark.createDataFrame(
+            [(w, real[i % len(real)], 1729984000 + 1800 * (i % 20)) for i, w in enumerate(whole)] + [(None, None, None)], "whole long, real double, at long"
+        ).selectExpr("whole", "int(try_cast(whole AS int)) AS small", "real", "timestamp_seconds(at) AS clock",
+                     "timestamp_micros(try_multiply(at, 999983)) AS micros", "timestamp_ntz '1677-01-01' + make_interval(at % 600) AS local",
+                     "float(real) AS single", "whole > 5 AS flag")
+        texts = df.select(*[as_text(df, name).alias(name) for name in df.columns])
+        typed, text = (by_name(column_profile(d)) for d in (df, texts))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    for name in df.columns:
+        a, b = typed[name].asDict(), text[name].asDict()
+        for field in a:
+            if field == "dtype":
+                continue
+            assert a[field] == b[field] or a[field] == pytest.approx(b[field], rel=1e-12, nan_ok=True), (name, field)
+    assert typed["clock"].distinct_count == 18
+
+
+@pytest.mark.parametrize("share", [1, 3, 1024])
+def test_bounded_lists_equal_sorted_ones(spark, monkeypatch, share):
+    """What a share of the values rules out is never among the first ones, whatever the share."""
+    monkeypatch.setattr(frequencies, "BOUND_SHARE", share)
+    rng = random.Random(11)
+    rows = [(int(rng.paretovariate(0.7)) % 5000, f"same beginning {rng.randint(0, 40000):06d}", rng.choice(["x" * 256, "x" * 300 + str(rng.randint(0, 30)), "y", "", None]),
+             rng.choice([7, 8])) for _ in range(30000)]
+    found = by_name(column_profile(spark.createDataFrame(rows, "a int, b string, c string, d long").repartition(5)))
+    for column, name in enumerate("abcd"):
+        counts = {}
+        for row in rows:
+            if row[column] is not None:
+                counts[str(row[column])] = counts.get(str(row[column]), 0) + 1
+        assert found[name].sample_values == sorted(counts)[:10]
+        assert found[name].representative_values == sorted(counts, key=lambda v: (-counts[v], v))[:10]
+
+
+def test_counted_values_are_read_four_times(spark):
+    """Statistics, quantiles, bounds and lists read the counted values once each; numbers and times are counted untouched."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = column_profile(spark.range(100).selectExpr("id", "id / 7 AS part", "timestamp_seconds(id) AS at", "string(id) AS name"))
+        lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    final = [line for line in lines if "HashAggregate(keys=[pos" in line and "val#" in line and "functions=[count(1)" in line]
+    assert 0 < len(final) <= 4
+    counted = column_frequencies(spark.range(9).selectExpr("id", "timestamp_seconds(id) AS at"))
+    below = counted._jdf.queryExecution().sparkPlan().toString().split("partial_count")[1]
+    assert "timestamp_seconds" in below and "as string" not in below
+
+
 def test_patterns(spark):
     df = spark.createDataFrame([("ab12",), ("ab",), ("xab1",), (None,)], "t string")
     assert custom_pattern_ratio(df, "t", "ab").first()[0] == pytest.approx(2 / 3)
