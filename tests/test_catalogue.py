@@ -48,6 +48,17 @@ def test_equals_single_runs(spark, tables):
             assert rows(getattr(got, name).select(want.columns), dataset) == rows(want, dataset), (dataset, name)
 
 
+def test_counted_values_of_all_tables_are_read_four_times(spark, tables):
+    """Statistics, quantiles, bounds and lists read the counted values of the catalogue once each."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = catalogue_profile(tables)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    final = [line for line in lines if "HashAggregate(keys=[pos" in line and "val#" in line and "functions=[count(1)" in line]
+    assert 0 < len(final) <= 4
+
+
 def test_one_shuffle_for_all_cells(tables):
     profile = catalogue_profile(tables)
     profile.collect()
